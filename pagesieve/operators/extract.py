@@ -135,9 +135,13 @@ def _images() -> Column:
 
 
 def _scripts() -> Column:
-    placed = F.transform(
-        F.col("tok"),
-        lambda x, i: F.struct(x["n"].alias("n"), x["t"].alias("t"), ((i + 1) < F.col("head_end")).alias("head")),
+    # ``let`` keeps the position out of the lambda, where it would be found again per token.
+    placed = let(
+        F.array_position(F.transform(F.col("tok"), lambda x: x["n"]), "/head"),
+        lambda end: F.transform(
+            F.col("tok"),
+            lambda x, i: F.struct(x["n"].alias("n"), x["t"].alias("t"), ((i + 1) < end).alias("head")),
+        ),
     )
 
     def one(x: Column, i: Column) -> Column:
@@ -317,7 +321,6 @@ _PARTS = {
     "markup": (lambda: H.markup_only(F.col("tok")), ()),
     "metas": (_metas, ()),
     "link_tags": (_link_tags, ()),
-    "head_end": (lambda: F.array_position(F.transform(F.col("tok"), lambda x: x["n"]), "/head"), ()),
     "walk": (lambda: H.tree_walk(F.col("tok")), ()),
     "links": (_anchors, ("markup",)),
 }
@@ -352,7 +355,7 @@ _FIELDS = {
         (),
     ),
     "signals": (_signals, ("link_tags", "links", "walk")),
-    "scripts": (_scripts, ("head_end",)),
+    "scripts": (_scripts, ()),
     "stylesheets": (_stylesheets, ("link_tags",)),
     "inline_styles": (_inline_styles, ()),
     "hints": (_hints, ("link_tags",)),
