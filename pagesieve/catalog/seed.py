@@ -10,11 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.core import per_session
 from .registry import table
 
-P = F.col("page_id")
-
-
 def _cat(*parts) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
@@ -24,7 +22,7 @@ def _if(cond: Column, *parts) -> Column:
 
 
 def _mod(n: int) -> Column:
-    return (P % n).cast("int")
+    return (F.col("page_id") % n).cast("int")
 
 
 def _lang(x: Column) -> Column:
@@ -33,6 +31,7 @@ def _lang(x: Column) -> Column:
 
 def with_neighbours(pages: DataFrame) -> DataFrame:
     """Add u (URL without fragment), origin, path and the URLs of related pages."""
+    P = F.col("page_id")
     urls = pages.select("page_id", F.regexp_replace("url", "#.*$", "").alias("u"))
     out = pages.withColumns(
         {
@@ -48,6 +47,7 @@ def with_neighbours(pages: DataFrame) -> DataFrame:
 
 
 def _jsonld() -> Column:
+    P = F.col("page_id")
     d = _mod(10)
     product = _cat(
         '{"@type":"Product"',
@@ -88,7 +88,9 @@ def _jsonld() -> Column:
     return _if(body.isNotNull(), '<script type="application/ld+json">', body, "</script>")
 
 
+@per_session
 def _head() -> Column:
+    P = F.col("page_id")
     u, nxt, prv, origin = F.col("u"), F.col("nxt"), F.col("prv"), F.col("origin")
     k = _mod(8).cast("string")
     alt = lambda lang, href: ['<link rel="alternate" hreflang="', lang, '" href="', href, '">']
@@ -130,7 +132,9 @@ def _head() -> Column:
     )
 
 
+@per_session
 def _body() -> Column:
+    P = F.col("page_id")
     pid = P.cast("string")
     image = lambda i: _if(
         _mod(3) > i,
@@ -183,7 +187,12 @@ def seeded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fetch results per page that follow from ``page_id``: status, redirects and headers."""
-    rows = with_neighbours(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return with_neighbours(table(spark, sf_dir, "pages").select("page_id", "url")).select(*_fetch_columns())
+
+
+@per_session
+def _fetch_columns() -> list[Column]:
+    P = F.col("page_id")
     h = lambda name, cond, *values: F.when(cond, F.struct(F.lit(name).alias("k"), F.array(*[F.lit(v) for v in values]).alias("v")))
     yes = F.lit(True)
     headers = F.map_from_entries(
@@ -224,7 +233,7 @@ def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = (
         F.when(error != "", F.lit(0)).when(_mod(13) == 5, F.lit(404)).when(_mod(26) == 7, F.lit(503)).otherwise(F.lit(200))
     )
-    return rows.select(
+    return [
         "page_id",
         F.col("u").alias("url"),
         F.when(F.size(chain) > 0, chain[0]["from"]).otherwise(F.col("u")).alias("initial_url"),
@@ -235,7 +244,7 @@ def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         headers.alias("headers"),
         chain.alias("redirect_chain"),
         F.timestamp_seconds(F.lit(1704067200) + P).alias("captured_at"),
-    )
+    ]
 
 
 # SQL counterpart: what the fragments say, as columns per page.

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # White space as browsers define it for text (fixed value).
@@ -52,3 +54,31 @@ def words_array(value: Column) -> Column:
 def js_round(value: Column) -> Column:
     """Half-up rounding to a LONG, as browsers round positive numbers."""
     return F.floor(value + F.lit(0.5))
+
+
+def per_session(build: Callable) -> Callable:
+    """Build an expression once per Spark context; expressions do not depend on the input."""
+    cache: dict = {}
+
+    @functools.wraps(build)
+    def wrapper(*args):
+        key = (id(SparkContext._active_spark_context), *args)
+        if key not in cache:
+            cache[key] = build(*args)
+        return cache[key]
+
+    return wrapper
+
+
+def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``withColumns`` whose results are computed exactly once.
+
+    A filter or join key on an ordinary computed column is pushed below the
+    projection together with a copy of its expression, which costs a second
+    evaluation of, say, a whole page parse. Optimizer rules do not move
+    predicates on generator output, while those on the other columns still reach
+    the scan.
+    """
+    kept = [F.col(c) for c in df.columns if c not in columns]
+    made = F.struct(*[v.alias(k) for k, v in columns.items()])
+    return df.select(*kept, F.inline(F.array(made)))

@@ -379,9 +379,9 @@ def url_breadcrumb(u: Column) -> Column:
     def build(s: Column) -> Column:
         plus = lambda x: F.replace(x, F.lit("+"), F.lit("%2B"))
         names = F.transform(
-            F.filter(F.split(s["path"], "/"), lambda x: x != ""),
+            F.slice(F.filter(F.split(s["path"], "/"), lambda x: x != ""), 1, 3),
             lambda x: F.coalesce(F.try_url_decode(plus(x)), x),
         )
-        return F.array_join(F.concat(F.array(hostname_of(s)), F.slice(names, 1, 3)), " › ")
+        return F.array_join(F.concat(F.array(hostname_of(s)), names), " › ")
 
     return F.coalesce(let(split_url(u), build), F.lit(""))

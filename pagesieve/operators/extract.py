@@ -7,15 +7,12 @@ resolve URLs row by row, where the expression is compiled once.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
-from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import urls as U
-from ..functions.core import clean, let, str_array, words_array
+from ..functions.core import clean, let, per_session, settled, str_array, words_array
 
 HINT_RELS = ["preload", "modulepreload", "preconnect", "prefetch", "dns-prefetch"]
 # Elements that load resources: tag, attribute, kind, active (fixed values).
@@ -33,6 +30,12 @@ RESOURCE_TAGS = [
 ]
 
 
+@per_session
+def _link_columns() -> tuple[Column, Column]:
+    target = F.when(F.col("kind") == "http", U.absolute_url(F.col("raw_href"), F.col("base"))).otherwise(F.col("raw_href"))
+    return target, U.split_url(F.col("href"))
+
+
 def link_kind(href: Column) -> Column:
     v = F.lower(F.trim(href))
     return (
@@ -377,33 +380,33 @@ _FIELDS = {
 FACT_COLUMNS = list(_FIELDS)
 
 
-@lru_cache(maxsize=256)
-def _built(name: str, part: bool, _context: int) -> Column:
-    """Expressions do not depend on the input, so each is built once per session."""
+@per_session
+def _built(name: str, part: bool) -> Column:
     return (_PARTS if part else _FIELDS)[name][0]()
 
 
-@lru_cache(maxsize=4)
-def _source(_context: int) -> dict[str, Column]:
+@per_session
+def _source() -> dict[str, Column]:
     return {"base": U.split_url(F.col("url")), "tok": H.tokens(F.col("html"))}
 
 
 def extract_facts(pages: DataFrame, *fields: str) -> DataFrame:
     """One row of nested facts per page; all of them when no field is named."""
-    context = id(SparkContext._active_spark_context)
     fields = fields or tuple(FACT_COLUMNS)
     needed: set[str] = set()
     for field in fields:
         for part in _FIELDS[field][1]:
             needed |= {part, *_PARTS[part][1]}
-    out = pages.withColumns(_source(context))
-    first = {p: _built(p, True, context) for p in _PARTS if p in needed and not _PARTS[p][1]}
-    second = {p: _built(p, True, context) for p in _PARTS if p in needed and _PARTS[p][1]}
+    out = pages.withColumns(_source())
+    first = {p: _built(p, True) for p in _PARTS if p in needed and not _PARTS[p][1]}
+    second = {p: _built(p, True) for p in _PARTS if p in needed and _PARTS[p][1]}
     for stage in (first, second):
         if stage:
             out = out.withColumns(stage)
+    made = {"base": F.col("base"), **{f: _built(f, False) for f in fields}}
+    staged = settled(out, {f"{k}_": v for k, v in made.items()})
     kept = [F.col(c) for c in pages.columns if c != "html"]
-    return out.select(*kept, F.col("base"), *[_built(f, False, context).alias(f) for f in fields])
+    return staged.select(*kept, *[F.col(f"{k}_").alias(k) for k in made])
 
 
 def head_signals(pages: DataFrame) -> DataFrame:
@@ -454,8 +457,9 @@ def _no_fragment(u: Column) -> Column:
 def links(pages: DataFrame) -> DataFrame:
     """Edge table: one row per ``<a href>`` with resolved URL, label, kind and rel flags."""
     rows = explode_items(_need(pages, "links"), "links", "url", "base").withColumn("kind", link_kind(F.col("raw_href")))
-    target = F.when(F.col("kind") == "http", U.absolute_url(F.col("raw_href"), F.col("base"))).otherwise(F.col("raw_href"))
-    rows = rows.withColumn("href", target).withColumn("parts", U.split_url(F.col("href")))
+    target, parts = _link_columns()
+    rows = settled(rows, {"href": target})
+    rows = settled(rows, {"parts": parts})
     return rows.select(
         "page_id",
         F.col("url").alias("page_url"),
