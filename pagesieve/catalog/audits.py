@@ -11,7 +11,7 @@ from ..operators import extract as X
 from ..operators import pagetype as T
 from ..operators import robots as RB
 from ..operators import schema as S
-from ..plans.audit import page_facts, page_reports
+from ..plans.audit import page_facts, page_reports, stored
 from ..sources.fetch import response_meta
 from .facts import HREFLANG_SQL, LINKS_SQL
 from .graph import link_results, robots_docs, ROBOTS_SQL
@@ -58,7 +58,7 @@ def audit_link_counts(spark, sf_dir):
 
 def _with_errors(spark, sf_dir):
     """Rows of readable pages and error rows of those whose fetch failed."""
-    rows = _rows(spark, sf_dir)
+    rows = stored(_rows(spark, sf_dir))
     failed = fetch_log(spark, sf_dir).where("error <> '' OR status >= 500")
     kept = rows.join(failed.select("page_id"), "page_id", "left_anti")
     return kept.unionByName(A.error_rows(failed.select("page_id", "url", "final_url", "status", "redirected", "error"), rows))
@@ -94,7 +94,7 @@ def duplicate_groups(spark, sf_dir):
 
 @query("duplicate_members", f"WITH {AUDIT_SQL}, {_LONG} SELECT p AS page_id, field, pages FROM dl JOIN dg USING (field, key)")
 def duplicate_members(spark, sf_dir):
-    return A.duplicate_members(_rows(spark, sf_dir)).select("page_id", "field", "pages")
+    return A.duplicate_members(stored(_rows(spark, sf_dir))).select("page_id", "field", "pages")
 
 
 @query(
@@ -112,7 +112,7 @@ def document_duplicates(spark, sf_dir):
         p IN (SELECT p FROM m WHERE field = 'description') AS duplicate_description, p IN (SELECT p FROM m WHERE field = 'h1') AS duplicate_h1 FROM ar""",
 )
 def annotate_duplicates(spark, sf_dir):
-    return A.annotate_duplicates(_rows(spark, sf_dir)).select("page_id", "duplicate_title", "duplicate_description", "duplicate_h1")
+    return A.annotate_duplicates(stored(_rows(spark, sf_dir))).select("page_id", "duplicate_title", "duplicate_description", "duplicate_h1")
 
 
 @query(
@@ -186,7 +186,7 @@ def pagination_families(spark, sf_dir):
 
 @query(
     "pagination_duplicates",
-    f"WITH {_SERIES}, f AS (SELECT family FROM fam GROUP BY family HAVING count(DISTINCT url) > 1) SELECT family, 'description' AS field, description AS key, count(DISTINCT url) AS urls FROM fam JOIN f USING (family) GROUP BY family, description HAVING count(DISTINCT url) > 1 UNION ALL SELECT family, 'title', title, count(DISTINCT url) FROM fam JOIN f USING (family) GROUP BY family, title HAVING count(DISTINCT url) > 1",
+    f"WITH {_SERIES}, f AS (SELECT family FROM fam GROUP BY family HAVING count(DISTINCT url) > 1 AND bool_or(url LIKE '%page%')) SELECT family, 'description' AS field, description AS key, count(DISTINCT url) AS urls FROM fam JOIN f USING (family) GROUP BY family, description HAVING count(DISTINCT url) > 1 UNION ALL SELECT family, 'title', title, count(DISTINCT url) FROM fam JOIN f USING (family) GROUP BY family, title HAVING count(DISTINCT url) > 1",
 )
 def pagination_duplicates(spark, sf_dir):
     return A.pagination_duplicates(_series(spark, sf_dir)).select("family", "field", "key", "urls")
@@ -194,7 +194,8 @@ def pagination_duplicates(spark, sf_dir):
 
 @query(
     "annotate_pagination",
-    f"WITH {_SERIES} SELECT url, family AS pagination_family, false AS duplicate_pagination_title, url LIKE '%b=1' AS duplicate_pagination_description FROM fam",
+    f"""WITH {_SERIES}, d AS (SELECT family, title FROM fam WHERE url LIKE '%b=1' GROUP BY ALL HAVING count(DISTINCT url) > 1)
+        SELECT url, family AS pagination_family, url LIKE '%b=1' AND (family, title) IN (SELECT (family, title) FROM d) AS duplicate_pagination_title, url LIKE '%b=1' AS duplicate_pagination_description FROM fam""",
 )
 def annotate_pagination(spark, sf_dir):
     return A.annotate_pagination(_series(spark, sf_dir)).select(
@@ -377,7 +378,7 @@ def param_links(spark, sf_dir):
 
 @query(
     "pager_links",
-    f"WITH {LINKS_SQL} SELECT p AS page_id, href, idx, regexp_extract(href, 'page=(\\d+)', 1)::BIGINT AS page FROM lk WHERE raw LIKE '/list?%'",
+    f"WITH {LINKS_SQL} SELECT p AS page_id, href, idx, coalesce(nullif(regexp_extract(href, 'page=(\\d+)', 1), ''), p::VARCHAR)::BIGINT AS page FROM lk WHERE raw LIKE '/list?%' OR (raw LIKE '/p/%' AND p > 0)",
 )
 def pager_links(spark, sf_dir):
     return CM.pager_links(X.links(seeded_pages(spark, sf_dir))).where("page IS NOT NULL").select("page_id", "href", "idx", "page")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark import SparkContext
+from pyspark.errors import utils as errors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,15 +59,42 @@ def js_round(value: Column) -> Column:
     return F.floor(value + F.lit(0.5))
 
 
+def _plain_name(value: Column) -> str | None:
+    """Name of a column argument that is nothing but a name."""
+    text = value._jc.toString() if hasattr(value, "_jc") else ""
+    return text if re.fullmatch(r"[A-Za-z_][\w.]*", text) else None
+
+
+@contextlib.contextmanager
+def _no_call_sites():
+    """Large expressions need thousands of small calls; skip recording where each was made."""
+    saved = getattr(errors, "_enable_debugging_cache", None)
+    errors._enable_debugging_cache = False
+    try:
+        yield
+    finally:
+        errors._enable_debugging_cache = saved
+
+
 def per_session(build: Callable) -> Callable:
-    """Build an expression once per Spark context; expressions do not depend on the input."""
+    """Build an expression once per Spark context; expressions do not depend on the input.
+
+    Column arguments take part only when they are plain names.
+    """
     cache: dict = {}
 
     @functools.wraps(build)
-    def wrapper(*args):
-        key = (id(SparkContext._active_spark_context), *args)
+    def wrapper(*args, **kwargs):
+        parts = [id(SparkContext._active_spark_context)]
+        for a in (*args, *kwargs.values()):
+            part = _plain_name(a) if isinstance(a, Column) else a
+            if part is None and isinstance(a, Column):
+                return build(*args, **kwargs)
+            parts.append((type(a).__name__, part))
+        key = (*parts, *kwargs)
         if key not in cache:
-            cache[key] = build(*args)
+            with _no_call_sites():
+                cache[key] = build(*args, **kwargs)
         return cache[key]
 
     return wrapper

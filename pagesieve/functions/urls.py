@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .core import clean, let, text_of
+from .core import clean, let, per_session, text_of
 
 _SEP = "\u0001"
 _HTTP = r"^(?i)(https?):[/\\]*([^/\\?#@]*@)?([^/\\?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
@@ -68,6 +68,7 @@ def _fold_dots(path: Column) -> Column:
     return F.when(path.rlike(r"(?i)/(?:\.|%2e){1,2}(?:/|$)"), full).otherwise(path)
 
 
+@per_session
 def split_url(u: Column) -> Column:
     """``struct(scheme, userinfo, host, path, query, fragment)`` of an http(s) URL, else NULL.
 
@@ -117,6 +118,7 @@ def _other_scheme(u: Column, fragment: bool) -> Column:
     return s if fragment else F.regexp_replace(s, "#.*$", "")
 
 
+@per_session
 def href(u: Column, *, fragment: bool = True, on_invalid: str = "raw", http_only: bool = False) -> Column:
     """Serialised URL. ``on_invalid`` is ``raw``, ``trim``, ``empty`` or ``null``."""
     fallback = {
@@ -136,16 +138,19 @@ def href(u: Column, *, fragment: bool = True, on_invalid: str = "raw", http_only
     return let(split_url(u), pick)
 
 
+@per_session
 def normalize_url(u: Column, on_invalid: str = "trim", http_only: bool = False) -> Column:
     """Comparable URL: serialised and without fragment; '' stays ''."""
     return href(u, fragment=False, on_invalid=on_invalid, http_only=http_only)
 
 
+@per_session
 def http_url(u: Column) -> Column:
     """Comparable URL if it is http(s), else ''."""
     return normalize_url(u, on_invalid="empty", http_only=True)
 
 
+@per_session
 def absolute_url(ref: Column, base: Column) -> Column:
     """Resolve ``ref`` against ``base``, a struct from :func:`split_url`; fragment kept."""
 
@@ -165,11 +170,13 @@ def absolute_url(ref: Column, base: Column) -> Column:
     return let(_trimmed(ref), build)
 
 
+@per_session
 def url_host(u: Column) -> Column:
     """Lower-case host name without port, '' when the URL is not http(s)."""
     return F.coalesce(let(split_url(u), hostname_of), F.lit(""))
 
 
+@per_session
 def url_origin(u: Column) -> Column:
     return F.coalesce(let(split_url(u), origin_of), F.lit(""))
 
@@ -178,6 +185,7 @@ def same_host(a: Column, b: Column) -> Column:
     return (url_host(a) != "") & (url_host(a) == url_host(b))
 
 
+@per_session
 def is_third_party(u: Column, page: Column) -> Column:
     """Different origin; unknown URLs never count as third party."""
     left, right = url_origin(u), url_origin(page)
@@ -207,6 +215,7 @@ def search_params(parts: Column) -> Column:
     )
 
 
+@per_session
 def query_params(u: Column) -> Column:
     """Ordered parameters with a non-blank value, each with its class."""
     return F.transform(
@@ -266,21 +275,25 @@ def _strip(u: Column, build) -> Column:
     return F.coalesce(let(split_url(u), build), F.lit(""))
 
 
+@per_session
 def strip_pagination(u: Column) -> Column:
     return _strip(
         u, lambda s: _without_params(s, lambda n: classify_param(n) == "pagination", _unpaged_path(s["path"]))
     )
 
 
+@per_session
 def strip_non_content(u: Column) -> Column:
     dropped = ("filter", "sort", "tracking", "session", "pagination")
     return _strip(u, lambda s: _without_params(s, lambda n: classify_param(n).isin(*dropped)))
 
 
+@per_session
 def strip_variant_params(u: Column) -> Column:
     return _strip(u, lambda s: _without_params(s, is_variant_param))
 
 
+@per_session
 def variant_params(u: Column) -> Column:
     """Distinct names of variant-like parameters that have a value."""
     params = F.filter(
@@ -298,6 +311,7 @@ def _page_in_path(path: Column) -> Column:
     return F.regexp_extract(path, r"(?i)(?:^|/)(?:page|p)/(\d+)(?:/|$)", 1)
 
 
+@per_session
 def pagination_param(u: Column) -> Column:
     """``struct(name, number)`` of the first usable page parameter or path part, else NULL."""
 
@@ -324,6 +338,7 @@ def pagination_param(u: Column) -> Column:
     return let(split_url(u), build)
 
 
+@per_session
 def page_signal(u: Column) -> Column:
     """``struct(detected, number, source, raw)``: the first page-like parameter decides."""
 
@@ -356,6 +371,7 @@ def page_signal(u: Column) -> Column:
     return let(split_url(u), build)
 
 
+@per_session
 def pagination_family_key(u: Column) -> Column:
     """URL shared by all pages of a series: page parts dropped, parameters sorted."""
 
@@ -373,6 +389,7 @@ def pagination_family_key(u: Column) -> Column:
     return _strip(u, build)
 
 
+@per_session
 def url_breadcrumb(u: Column) -> Column:
     """Host and up to three decoded path parts, as search results show them."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..functions.core import clean, keep_true, str_array
+from ..functions.core import clean, keep_true, per_session, settled, str_array
 from .extract import link_kind
 from .schema import field
 
@@ -28,20 +28,24 @@ def _codes(*pairs: tuple[Column, str, str]) -> Column:
     )
 
 
-def _with_canonical(df: DataFrame) -> DataFrame:
+@per_session
+def _canonical_columns() -> list[dict[str, Column]]:
     """Comparable page and canonical URLs and whether they agree."""
+    c = F.col
+    return [
+        {"cur": U.http_url(c("url")), "can_raw": clean(c("canonical.href")), "can": U.http_url(c("canonical.href"))},
+        {"cur_origin": U.url_origin(c("cur")), "can_origin": U.url_origin(c("can"))},
+    ]
+
+
+def _with_canonical(df: DataFrame) -> DataFrame:
+    for stage in _canonical_columns():
+        df = settled(df, stage)
+    known = (F.col("cur_origin") != "") & (F.col("can_origin") != "")
     return df.withColumns(
-        {
-            "cur": U.http_url(F.col("url")),
-            "can_raw": clean(F.col("canonical")["href"]),
-            "can": U.http_url(F.col("canonical")["href"]),
-        }
-    ).withColumns(
         {
             "self_canonical": _same(F.col("cur"), F.col("can")),
-            "cross_origin": (U.url_origin(F.col("cur")) != "")
-            & (U.url_origin(F.col("can")) != "")
-            & (U.url_origin(F.col("cur")) != U.url_origin(F.col("can"))),
+            "cross_origin": known & (F.col("cur_origin") != F.col("can_origin")),
         }
     )
 
@@ -53,21 +57,24 @@ def product_audit(df: DataFrame) -> DataFrame:
     ``canonical``. Pages that are no product pages come out with ``applicable`` false.
     """
     c = F.col
-    out = _with_canonical(df).withColumns(
+    out = settled(
+        _with_canonical(df),
         {
             "variants": U.variant_params(c("url")),
+            "base_url": U.strip_variant_params(c("url")),
             "applicable": (c("page_type")["primary"] == "product") | (F.size("products") > 0) | (F.size("groups") > 0),
-        }
+        },
     )
-    out = out.withColumns(
+    out = settled(
+        out,
         {
-            "base_variant": (F.size("variants") > 0) & (c("can_raw") != "") & _same(U.strip_variant_params(c("url")), c("can")),
+            "base_variant": (F.size("variants") > 0) & (c("can_raw") != "") & _same(c("base_url"), c("can")),
             "variant_urls": F.array_distinct(
                 F.filter(F.transform("products", lambda n: U.http_url(field(n, "url"))), lambda v: v != "")
             ),
             "out_of_stock": (F.size("states") > 0) & F.forall("states", lambda s: s.isin(OUT_OF_STOCK)),
             "discontinued": F.array_contains("states", "discontinued"),
-        }
+        },
     )
     described = (F.size("products") > 0) | (F.size("groups") > 0)
     no_can, many = c("can_raw") == "", c("canonical")["count"] > 1
@@ -150,8 +157,8 @@ def _resolved_links(df: DataFrame) -> DataFrame:
     )
     risky = lambda u: F.exists(U.query_params(u), lambda p: p["kind"].isin("filter", "sort", "tracking", "session"))
     label = lambda l: F.lower(l["label"]).rlike(r"^(?:next|prev|previous|older|newer|\d+|[‹›«»←→])$")
-    out = df.withColumn("internal_links", internal)
-    return out.withColumns(
+    return settled(
+        settled(df, {"internal_links": internal}),
         {
             "param_link_count": F.size(F.filter("internal_links", lambda l: risky(l["href"]))),
             "pager_link_count": F.size(
@@ -162,7 +169,7 @@ def _resolved_links(df: DataFrame) -> DataFrame:
                     )
                 )
             ),
-        }
+        },
     ).drop("internal_links")
 
 
@@ -174,7 +181,8 @@ def category_audit(df: DataFrame) -> DataFrame:
     """
     c = F.col
     header = F.coalesce(c("x_robots"), str_array([])) if "x_robots" in df.columns else str_array([])
-    out = _resolved_links(_with_canonical(df)).withColumns(
+    out = settled(
+        _resolved_links(_with_canonical(df)),
         {
             "params": F.coalesce(U.query_params(c("url")), F.array().cast("array<struct<name:string,value:string,kind:string>>")),
             "page_number": F.coalesce(U.pagination_param(c("url"))["number"], F.lit(1).cast("bigint")),
@@ -185,7 +193,9 @@ def category_audit(df: DataFrame) -> DataFrame:
             "applicable": (c("page_type")["primary"] == "category")
             | (c("item_lists") > 0)
             | (c("signals")["itemlist_microdata"] > 0),
-        }
+            "unpaged_url": U.strip_pagination(c("url")),
+            "clean_base": U.strip_non_content(c("url")),
+        },
     )
     kind = lambda *k: F.exists("params", lambda p: p["kind"].isin(*k))
     out = out.withColumns(
@@ -212,16 +222,11 @@ def category_audit(df: DataFrame) -> DataFrame:
         (parameterized & flags["noindex"] & flags["index"], "category.params.robots_conflict", "warning"),
         (c("param_link_count") >= 10, "category.facets.internal_links", "warning"),
         (deep & no_can, "category.pagination.canonical_missing", "warning"),
-        (deep & ~no_can & _same(U.strip_pagination(c("url")), c("can")), "category.pagination.canonical_first_page", "warning"),
+        (deep & ~no_can & _same(c("unpaged_url"), c("can")), "category.pagination.canonical_first_page", "warning"),
         (deep & no_prev, "category.pagination.prev_missing", "warning"),
         (_same(c("next_"), c("cur")), "category.pagination.next_self", "warning"),
         (_same(c("prev_"), c("cur")), "category.pagination.prev_self", "warning"),
         (_same(c("next_"), c("prev_")), "category.pagination.neighbors_same", "warning"),
     )
     none = F.array().cast("array<struct<id:string,severity:string>>")
-    return out.withColumns(
-        {
-            "category_issues": F.when(c("applicable"), issues).otherwise(none),
-            "clean_base": U.strip_non_content(c("url")),
-        }
-    )
+    return out.withColumn("category_issues", F.when(c("applicable"), issues).otherwise(none))

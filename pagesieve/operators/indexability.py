@@ -37,22 +37,28 @@ def redirect_path(chain: Column) -> Column:
     """URLs visited by a chain of hops, without immediate repeats at the joints."""
 
     def step(path: Column, hop: Column) -> Column:
-        start, end = U.normalize_url(hop["from"]), U.normalize_url(hop["to"])
         last = F.try_element_at(path, F.lit(-1))
-        joins = (start != "") & (last.isNull() | (last != start))
+        joins = (hop["from"] != "") & (last.isNull() | (last != hop["from"]))
         return F.concat(
-            path, F.when(joins, F.array(start)).otherwise(str_array([])), F.when(end != "", F.array(end)).otherwise(str_array([]))
+            path,
+            F.when(joins, F.array(hop["from"])).otherwise(str_array([])),
+            F.when(hop["to"] != "", F.array(hop["to"])).otherwise(str_array([])),
         )
 
-    return F.aggregate(chain, F.array().cast("array<string>"), step)
+    ends = lambda h: F.transform(F.array(h["from"], h["to"]), lambda u: U.normalize_url(u))
+    hops = F.transform(chain, lambda h: let(ends(h), lambda e: F.struct(e[0].alias("from"), e[1].alias("to"))))
+    return F.aggregate(hops, F.array().cast("array<string>"), step)
 
 
+@per_session
 def redirect_diagnostics(chain: Column) -> Column:
-    path = redirect_path(chain)
-    return F.struct(
-        F.size(chain).alias("hops"),
-        (F.size(path) > F.size(F.array_distinct(path))).alias("loop"),
-        (F.size(chain) > 5).alias("excessive"),
+    return let(
+        redirect_path(chain),
+        lambda path: F.struct(
+            F.size(chain).alias("hops"),
+            (F.size(path) > F.size(F.array_distinct(path))).alias("loop"),
+            (F.size(chain) > 5).alias("excessive"),
+        ),
     )
 
 

@@ -198,12 +198,9 @@ def with_product_nodes(facts: DataFrame) -> DataFrame:
     """Add ``nodes``, ``products``, ``groups``, ``breadcrumbs`` and ``chosen`` (products, else groups)."""
     nodes = F.col("nodes")
     typed = lambda *names: F.filter(nodes, lambda n: has_type(n, *names))
-    out = facts.withColumn("nodes", _all_nodes(F.col("schemas"))).withColumns(
-        {
-            "products": typed("product"),
-            "groups": typed("productgroup"),
-            "breadcrumbs": F.size(typed("breadcrumblist")),
-        }
+    out = settled(
+        settled(facts, {"nodes": _all_nodes(F.col("schemas"))}),
+        {"products": typed("product"), "groups": typed("productgroup"), "breadcrumbs": F.size(typed("breadcrumblist"))},
     )
     return out.withColumn("chosen", F.when(F.size("products") > 0, F.col("products")).otherwise(F.col("groups")))
 
@@ -225,71 +222,78 @@ def _linked(all_nodes: Column, owners: Column, name: str) -> Column:
     return F.array_distinct(F.transform(hits, lambda h: F.struct(h["block"].alias("b"), h["ord"].alias("k"))))
 
 
-def product_offers(facts: DataFrame) -> DataFrame:
-    """Offer data per page from direct and typed offer nodes."""
+def _by_key(keys: Column) -> Column:
+    """Nodes named by (block, ord) keys, in key order."""
+    return F.transform(
+        keys, lambda r: F.get(F.filter("nodes", lambda n: (n["block"] == r["b"]) & (n["ord"] == r["k"])), F.lit(0))
+    )
+
+
+@per_session
+def _offer_columns() -> tuple[dict[str, Column], dict[str, Column]]:
     nodes, chosen = F.col("nodes"), F.col("chosen")
     typed = F.transform(
         F.filter(nodes, lambda n: has_type(n, "offer", "aggregateoffer")),
         lambda n: F.struct(n["block"].alias("b"), n["ord"].alias("k")),
     )
     keys = F.array_distinct(F.concat(_linked(nodes, chosen, "offers"), typed))
-    offers = F.transform(
-        keys, lambda r: F.get(F.filter(nodes, lambda n: (n["block"] == r["b"]) & (n["ord"] == r["k"])), F.lit(0))
-    )
-    out = facts.withColumn("offer_nodes", offers)
     o = F.col("offer_nodes")
     raw = F.flatten(F.transform(o, lambda n: _values(n, "availability")))
-    states = F.transform(raw, normalize_availability)
-    kept = F.filter(
+    tagged = F.filter(
         F.transform(raw, lambda v, i: F.struct(v.alias("raw"), normalize_availability(v).alias("state"), i.alias("i"))),
-        lambda e: (e["state"] != ""),
+        lambda e: e["state"] != "",
     )
-    out = out.withColumns(
-        {
-            "offer_count": F.size(o),
-            "price_": _first_field(o, "price"),
-            "low_price": _first_field(o, "lowPrice"),
-            "high_price": _first_field(o, "highPrice"),
-            "currency": _first_field(o, "priceCurrency"),
-            "offer_url": _first_field(o, "url"),
-            "states": F.array_distinct(F.filter(states, lambda s: s != "")),
-            "availability": F.array_join(
-                F.transform(
-                    F.filter(kept, lambda e: ~F.exists(kept, lambda p: (p["state"] == e["state"]) & (p["i"] < e["i"]))),
-                    lambda e: e["raw"],
-                ),
-                ", ",
-            ),
-        }
+    first = let(
+        tagged,
+        lambda all_: F.filter(all_, lambda e: ~F.exists(all_, lambda p: (p["state"] == e["state"]) & (p["i"] < e["i"]))),
     )
+    return {"offer_nodes": _by_key(keys)}, {
+        "offer_count": F.size(o),
+        "price_": _first_field(o, "price"),
+        "low_price": _first_field(o, "lowPrice"),
+        "high_price": _first_field(o, "highPrice"),
+        "currency": _first_field(o, "priceCurrency"),
+        "offer_url": _first_field(o, "url"),
+        "available_": first,
+    }
+
+
+def product_offers(facts: DataFrame) -> DataFrame:
+    """Offer data per page from direct and typed offer nodes."""
+    first, second = _offer_columns()
+    out = settled(settled(facts, first), second)
     price = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("price_", "low_price", "high_price")], F.lit(""))
-    return out.withColumn("price", price).drop("price_", "offer_nodes")
+    return out.withColumns(
+        {
+            "price": price,
+            "states": F.transform("available_", lambda e: e["state"]),
+            "availability": F.array_join(F.transform("available_", lambda e: e["raw"]), ", "),
+        }
+    ).drop("price_", "offer_nodes", "available_")
+
+
+@per_session
+def _field_columns() -> tuple[dict[str, Column], dict[str, Column]]:
+    chosen, rated = F.col("chosen"), F.col("rating_nodes")
+    reviews = F.aggregate(chosen, F.lit(0), lambda acc, n: acc + F.size(_kids(n, "review")))
+    filled = lambda name: F.nullif(_first_field(rated, name), F.lit(""))
+    return {"rating_nodes": _by_key(_linked(F.col("nodes"), chosen, "aggregateRating"))}, {
+        "name": _first_field(chosen, "name"),
+        "images": F.array_distinct(F.flatten(F.transform(chosen, lambda n: _values(n, "image")))),
+        "sku": _first_field(chosen, "sku"),
+        "gtin": _first_field(chosen, "gtin14", "gtin13", "gtin12", "gtin8", "gtin"),
+        "brand": _first_field(chosen, "brand"),
+        "rating": _first_field(rated, "ratingValue"),
+        "reviews": F.coalesce(
+            filled("reviewCount"), filled("ratingCount"), F.when(reviews > 0, reviews.cast("string")), F.lit("")
+        ),
+    }
 
 
 def product_fields(facts: DataFrame) -> DataFrame:
     """The ten product fields, images and completeness, on top of :func:`product_offers`."""
-    nodes, chosen = F.col("nodes"), F.col("chosen")
-    ratings = _linked(nodes, chosen, "aggregateRating")
-    pick = lambda keys: F.transform(
-        keys, lambda r: F.get(F.filter(nodes, lambda n: (n["block"] == r["b"]) & (n["ord"] == r["k"])), F.lit(0))
-    )
-    reviews = F.aggregate(chosen, F.lit(0), lambda acc, n: acc + F.size(_kids(n, "review")))
-    out = facts.withColumn("rating_nodes", pick(ratings)).withColumns(
-        {
-            "name": _first_field(chosen, "name"),
-            "images": F.array_distinct(F.flatten(F.transform(chosen, lambda n: _values(n, "image")))),
-            "sku": _first_field(chosen, "sku"),
-            "gtin": _first_field(chosen, "gtin14", "gtin13", "gtin12", "gtin8", "gtin"),
-            "brand": _first_field(chosen, "brand"),
-            "rating": _first_field(F.col("rating_nodes"), "ratingValue"),
-            "reviews": F.coalesce(
-                F.nullif(_first_field(F.col("rating_nodes"), "reviewCount"), F.lit("")),
-                F.nullif(_first_field(F.col("rating_nodes"), "ratingCount"), F.lit("")),
-                F.when(reviews > 0, reviews.cast("string")),
-                F.lit(""),
-            ),
-        }
-    )
+    first, second = _field_columns()
+    out = settled(settled(facts, first), second)
     image = F.coalesce(F.get("images", F.lit(0)), F.lit(""))
     values = [F.col(c) for c in ("name", "sku", "gtin", "brand", "price", "currency", "availability", "rating", "reviews")]
     present = sum([F.when(v != "", 1).otherwise(0) for v in [*values, image]], F.lit(0))
@@ -298,8 +302,8 @@ def product_fields(facts: DataFrame) -> DataFrame:
     )
 
 
-def listing_items(facts: DataFrame) -> DataFrame:
-    """Distinct listing URLs per page: products, list items, then microdata links; at most 500 kept by the page."""
+@per_session
+def _listing_columns() -> dict[str, Column]:
     nodes, base = F.col("nodes"), F.col("base")
 
     def candidate(n: Column) -> Column:
@@ -313,10 +317,13 @@ def listing_items(facts: DataFrame) -> DataFrame:
 
     from_schema = F.filter(F.flatten(F.transform(nodes, candidate)), lambda u: F.coalesce(u, F.lit("")) != "")
     from_markup = F.transform(F.col("signals")["listing_refs"], lambda r: U.absolute_url(r, base))
-    urls = F.filter(F.transform(F.concat(from_schema, from_markup), U.http_url), lambda u: u != "")
-    return facts.withColumns(
-        {
-            "listing": F.slice(F.array_distinct(urls), 1, 500),
-            "item_lists": F.size(F.filter(nodes, lambda n: has_type(n, "itemlist"))),
-        }
-    )
+    urls = F.filter(F.transform(F.concat(from_schema, from_markup), lambda u: U.http_url(u)), lambda u: u != "")
+    return {
+        "listing": F.slice(F.array_distinct(urls), 1, 500),
+        "item_lists": F.size(F.filter(nodes, lambda n: has_type(n, "itemlist"))),
+    }
+
+
+def listing_items(facts: DataFrame) -> DataFrame:
+    """Distinct listing URLs per page: products, list items, then microdata links, first 500 as the audit reads them."""
+    return settled(facts, _listing_columns())

@@ -11,6 +11,7 @@ from ..operators import indexability as N
 from ..operators import issues as I
 from ..operators import pagetype as T
 from ..operators import schema as S
+from ..session import checkpoint_dir
 from ..sources.fetch import latest, response_meta
 
 
@@ -45,3 +46,13 @@ def page_reports(
     df = I.evaluate(df)
     df = I.apply_rules(df) if rules is not None else I.with_score(df)
     return T.page_type(N.indexability(df))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write an intermediate table to the shared checkpoint folder and read it back.
+
+    Use it where a costly table feeds several branches: pages are parsed once, and a
+    lost executor re-reads files instead of recomputing.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
