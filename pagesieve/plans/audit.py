@@ -34,10 +34,14 @@ REPORT_FIELDS = tuple(dict.fromkeys((*I.FACTS_NEEDED, *T.FACTS_NEEDED)))
 
 
 def page_reports(
-    pages: DataFrame, fetch_log: DataFrame | None = None, extra_fields: tuple[str, ...] = (), rules: dict | None = None
+    pages: DataFrame,
+    fetch_log: DataFrame | None = None,
+    extra_fields: tuple[str, ...] = (),
+    rules: dict | None = None,
+    typed: bool = True,
 ) -> DataFrame:
-    """Issues, score, verdict and page type for every page."""
-    fields = tuple(dict.fromkeys((*REPORT_FIELDS, *extra_fields)))
+    """Issues, score, verdict and (if ``typed``) page type for every page."""
+    fields = tuple(dict.fromkeys((*(REPORT_FIELDS if typed else I.FACTS_NEEDED), *extra_fields)))
     df = page_facts(pages, *fields, fetch_log=fetch_log)
     if rules is not None:
         from ..operators.rules import rules_literal
@@ -45,7 +49,8 @@ def page_reports(
         df = df.withColumn("rules", rules_literal(rules))
     df = I.evaluate(df)
     df = I.apply_rules(df) if rules is not None else I.with_score(df)
-    return T.page_type(N.indexability(df))
+    df = N.indexability(df)
+    return T.page_type(df) if typed else df
 
 
 def stored(df: DataFrame) -> DataFrame:
