@@ -434,7 +434,7 @@ tl AS (SELECT *, array_to_string(list_filter([CASE WHEN error <> '' THEN error W
 def _targets(spark, sf_dir):
     pages = N.indexability(page_facts(seeded_pages(spark, sf_dir), "canonical", "robots", fetch_log=fetch_log(spark, sf_dir)))
     noindex = F.array_contains("meta_directives", "noindex") | F.array_contains("header_directives", "noindex")
-    known = pages.select("norm_url", "status", "redirected", "error", noindex.alias("noindex"), "norm_canonical")
+    known = pages.select("page_id", "norm_url", "status", "redirected", "error", noindex.alias("noindex"), "norm_canonical")
     return H.hreflang_targets(X.hreflang(seeded_pages(spark, sf_dir)), known)
 
 
@@ -483,8 +483,8 @@ _NEXT = "CASE WHEN p % 9 = 0 THEN p WHEN p % 7 = 0 AND p >= 3 THEN p - 3 WHEN p
 @query(
     "canonical_walk",
     f"""WITH RECURSIVE {SEED_SQL}, n AS (SELECT p, u, {_NEXT} AS q, CASE WHEN p % 13 = 6 THEN 404 ELSE 200 END AS st FROM s),
-        e AS (SELECT n.p, n.u, n.st, t.p AS q FROM n LEFT JOIN n t ON t.p = n.q),
-        w AS (SELECT p AS start, q AS at, [p] AS visited, 0 AS lv, true AS going, false AS loop FROM e WHERE q IS NOT NULL
+        e AS (SELECT n.p, n.u, n.st, (SELECT min(o.p) FROM n o WHERE o.u = t.u) AS q FROM n LEFT JOIN n t ON t.p = n.q),
+        w AS (SELECT p AS start, q AS at, [(SELECT min(o.p) FROM n o WHERE o.u = e.u)] AS visited, 0 AS lv, true AS going, false AS loop FROM e WHERE q IS NOT NULL
           UNION ALL
           SELECT start, CASE WHEN e.q IS NULL OR e.q = w.at OR list_contains(list_append(visited, w.at), e.q) THEN w.at ELSE e.q END, list_append(visited, w.at), lv + 1,
             NOT (e.q IS NULL OR e.q = w.at OR list_contains(list_append(visited, w.at), e.q)), e.q IS NOT NULL AND e.q <> w.at AND list_contains(list_append(visited, w.at), e.q)

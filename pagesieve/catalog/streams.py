@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..session import checkpoint_dir
 from ..streaming import jobs
+from .history import REGRESSION_SQL, versions
 from .registry import query
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -92,3 +95,15 @@ def check_progress(spark, sf_dir):
     rows = jobs.run_to_table(jobs.check_progress(results), "complete")
     latest = rows.groupBy("operation").agg(F.max_by(F.struct("requested", "checked", "failed"), "batch").alias("r"))
     return latest.select("operation", "r.*")
+
+
+@query("stream_regressions", f"WITH {REGRESSION_SQL} SELECT 'https://shop.example.com/o/' || o AS url, id, direction FROM ch")
+def stream_regressions(spark, sf_dir):
+    before, after = versions(spark, sf_dir)
+    root = f"{checkpoint_dir(spark)}/alerts-{uuid.uuid4().hex}"
+    arriving = after.select("url", F.lit("new").alias("id"), F.lit("Snapshot").alias("name"), F.current_timestamp().alias("created_at"), "snapshot")
+    arriving.write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{root}/in").schema).parquet(f"{root}/in")
+    jobs.stream_regressions(stream, before, root).awaitTermination()
+    changes = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/changes")
+    return changes.select("url", "id", "direction")

@@ -13,17 +13,18 @@ MAX_LEVELS = 5
 def canonical_walk(pages: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
     """Follow each page's canonical for up to ``max_levels`` targets.
 
-    ``pages`` has one row per URL: ``page_id, norm_url, norm_canonical, canonical_count,
+    ``pages``: ``page_id, norm_url, norm_canonical, canonical_count,
     status, redirected, hops, error``. The levels are unrolled equi-joins on the URL, so
     a target many pages point to is one build row, never a group. The result keeps one
     row per start page with its ``path``, ``levels`` and how the walk ended.
     """
-    node = pages.select(
-        F.col("norm_url").alias("n_url"), F.col("norm_canonical").alias("n_next"), F.col("canonical_count").alias("n_count"),
-        F.col("status").alias("n_status"), F.coalesce("redirected", F.lit(False)).alias("n_redirected"),
-        F.coalesce("hops", F.lit(0)).alias("n_hops"), F.coalesce("error", F.lit("")).alias("n_error"),
-        F.lit(True).alias("n_known"),
+    facts = F.struct(
+        F.col("norm_canonical").alias("n_next"), F.col("canonical_count").alias("n_count"), F.col("status").alias("n_status"),
+        F.coalesce("redirected", F.lit(False)).alias("n_redirected"), F.coalesce("hops", F.lit(0)).alias("n_hops"),
+        F.coalesce("error", F.lit("")).alias("n_error"),
     )
+    # Pages that share a URL count once: the one with the smallest id.
+    node = pages.groupBy(F.col("norm_url").alias("n_url")).agg(F.min_by(facts, "page_id").alias("f")).select("n_url", "f.*")
     step = "struct<url:string,next:string,count:int,status:int,redirected:boolean,hops:int,error:string>"
     walk = pages.where("norm_canonical <> ''").select(
         "page_id",

@@ -31,22 +31,39 @@ def _shown(value: Column, array: bool = False) -> Column:
     return F.coalesce(F.nullif(text, F.lit("")), F.lit("—"))
 
 
+@per_session
+def _lists() -> list[dict[str, Column]]:
+    """Resolved references, once per page."""
+    base = F.col("base")
+    http = F.filter(
+        F.transform("links", lambda l: F.struct(l["rel"].alias("rel"), link_kind(l["raw_href"]).alias("kind"), l["raw_href"].alias("raw"))),
+        lambda l: l["kind"] == "http",
+    )
+    kinds = F.concat(
+        F.transform("http_", lambda l: F.struct(F.lit("link").alias("k"), l["raw"].alias("ref"))),
+        F.transform("images", lambda i: F.struct(F.lit("image").alias("k"), i["src"].alias("ref"))),
+        F.transform("hreflang", lambda h: F.struct(F.lower(h["lang"]).alias("k"), h["ref"].alias("ref"))),
+    )
+    resolved = F.transform(kinds, lambda r: F.struct(r["k"].alias("k"), U.absolute_url(r["ref"], base).alias("u")))
+    return [{"http_": http}, {"resolved_": resolved}]
+
+
 @per_session
 def _cells(has_headers: bool, has_meta: bool) -> Column:
     c = F.col
-    base = c("base")
-    links = F.transform(
-        "links", lambda l: F.struct(l["rel"].alias("rel"), link_kind(l["raw_href"]).alias("kind"), l["raw_href"].alias("raw"))
-    )
-    http = F.filter(links, lambda l: l["kind"] == "http")
-    targets = F.transform(http, lambda l: U.absolute_url(l["raw"], base))
+    http, base = c("http_"), c("base")
+    n_links, n_images = F.size(http), F.size("images")
+    urls = lambda start, length: F.transform(F.slice("resolved_", start, length), lambda r: r["u"])
+    targets = urls(F.lit(1), n_links)
     inside = lambda u: F.startswith(u, F.concat(U.origin_of(base), F.lit("/")))
     internal = F.size(F.filter(targets, inside))
     rel = lambda flag: F.size(F.filter(http, lambda l: F.array_contains(l["rel"], flag)))
     severity = lambda s: F.size(F.filter("issues", lambda i: i["severity"] == s))
     outline = F.transform("headings", lambda h: F.concat(F.lit("H"), h["level"].cast("string"), F.lit(" "), h["text"]))
     declared = F.array_sort(
-        F.transform("hreflang", lambda h: F.concat(F.lower(h["lang"]), F.lit(" → "), U.absolute_url(h["ref"], base)))
+        F.transform(
+            F.slice("resolved_", n_links + n_images + 1, F.size("hreflang")), lambda r: F.concat(r["k"], F.lit(" → "), r["u"])
+        )
     )
 
     def header(key: str) -> Column:
@@ -81,7 +98,7 @@ def _cells(has_headers: bool, has_meta: bool) -> Column:
             "Images", "Missing dimensions",
             _shown(F.size(F.filter("images", lambda i: (i["width_attr"] == "") | (i["height_attr"] == "")))),
         ),
-        ("Images", "Image sources", _shown(cap_list(_sorted(F.transform("images", lambda i: U.absolute_url(i["src"], base)))), True)),
+        ("Images", "Image sources", _shown(cap_list(_sorted(urls(n_links + 1, n_images))), True)),
         ("Schema", "Schema types", _shown(schema_types(c("schemas")), True)),
         ("Schema", "Invalid JSON-LD", _shown(F.size(F.filter("schemas", lambda s: ~s["valid"])))),
         ("Hreflang", "Hreflang count", _shown(F.size("hreflang"))),
@@ -107,6 +124,8 @@ def _cells(has_headers: bool, has_meta: bool) -> Column:
 def compare_summary(reports: DataFrame) -> DataFrame:
     """``page_id, cells``: the forty displayed values of each page report."""
     have = set(reports.columns)
+    for stage in _lists():
+        reports = settled(reports, stage)
     return settled(reports, {"cells": _cells("headers" in have, "x_robots" in have)}).select("page_id", "cells")
 
 

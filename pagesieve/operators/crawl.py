@@ -15,7 +15,8 @@ MAX_URLS = 250
 def clamp_int(value: Column, default: int, low: int, high: int) -> Column:
     """Half-up rounded number within bounds, ``default`` when it is no number."""
     number = value.try_cast("double")
-    return F.coalesce(F.greatest(F.lit(low), F.least(F.lit(high), F.floor(number + 0.5))), F.lit(default)).cast("int")
+    bounded = F.greatest(F.lit(low), F.least(F.lit(high), F.floor(number + 0.5)))
+    return F.when(number.isNull() | F.isnan(number), F.lit(default)).otherwise(bounded).cast("int")
 
 
 def crawl_options(url_limit=None, depth_limit=None, same_host: bool = True) -> dict:

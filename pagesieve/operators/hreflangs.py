@@ -64,10 +64,12 @@ def hreflang_local(edges: DataFrame) -> DataFrame:
 def hreflang_targets(edges: DataFrame, pages: DataFrame) -> DataFrame:
     """Health of every declared alternate: reciprocity, status, redirect, noindex, canonical.
 
-    ``pages`` has one row per URL: ``norm_url, status, redirected, error, noindex,
-    norm_canonical``. Return links are found by joining the edges with themselves on
+    ``pages``: ``page_id, norm_url, status, redirected, error, noindex, norm_canonical``;
+    of pages that share a URL the one with the smallest id counts. Return links are found by joining the edges with themselves on
     (source, target) swapped; both sides are distinct on their key first.
     """
+    facts = F.struct("status", "redirected", "error", "noindex", "norm_canonical")
+    pages = pages.groupBy("norm_url").agg(F.min_by(facts, "page_id").alias("f")).select("norm_url", "f.*")
     t = tagged(edges)
     own = t.where("target = source AND tag <> 'x-default'").select("source", "tag").distinct()
     links = t.select(F.col("source").alias("from_"), F.col("target").alias("to_"), F.col("tag").alias("back_tag")).distinct()
