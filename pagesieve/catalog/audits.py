@@ -17,7 +17,7 @@ from .facts import HREFLANG_SQL, LINKS_SQL
 from .graph import link_results, robots_docs, ROBOTS_SQL
 from .media import TIMING_SQL, _resources
 from .pages import ISSUES_SQL, SCORES, VERDICT, BASE_SQL
-from .registry import query, table
+from .registry import keys, query, table
 from .seed import SEED_SQL, fetch_log, seeded_pages
 
 _T = "trim(title)"
@@ -138,7 +138,7 @@ def sort_audit(spark, sf_dir):
 
 @query("select_pages", "SELECT page_id, url FROM pages ORDER BY page_id LIMIT 100")
 def select_pages(spark, sf_dir):
-    return A.select_pages(table(spark, sf_dir, "pages").select("page_id", "url"), 100)
+    return A.select_pages(keys(spark, sf_dir), 100)
 
 
 @query(
@@ -156,7 +156,7 @@ def audit_summary(spark, sf_dir):
 
 def _series(spark, sf_dir):
     """Each page URL and two more pages of the same series, with titles that repeat within it."""
-    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("u"))
+    pages = keys(spark, sf_dir).select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("u"))
     p = F.col("page_id")
     trimmed = F.regexp_replace("u", "/$", "")
     variants = F.array(
@@ -220,7 +220,7 @@ def pagination_link_status(spark, sf_dir):
         SELECT p AS page_id, count(*) AS checked, count(*) FILTER (WHERE state = 'ok') AS ok, count(*) FILTER (WHERE state = 'broken') AS broken, count(*) FILTER (WHERE state = 'redirect') AS redirect, count(*) FILTER (WHERE state = 'unknown') AS unknown FROM c GROUP BY p""",
 )
 def pagination_link_counts(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "#.*$", "").alias("href"))
+    pages = keys(spark, sf_dir).select("page_id", F.regexp_replace("url", "#.*$", "").alias("href"))
     child = pages.withColumn("parent", F.floor((F.col("page_id") - 1) / 2)).where("page_id > 0")
     links = child.select(F.col("parent").alias("page_id"), "href", F.lit("next").alias("label"))
     return A.pagination_link_counts(A.pagination_link_status(links, link_results(spark, sf_dir)))
@@ -418,7 +418,7 @@ def url_inventory(spark, sf_dir):
     "SELECT norm, count(*) AS pages FROM (SELECT regexp_replace(url, '#.*$', '') AS norm FROM pages UNION ALL SELECT regexp_replace(url, '#.*$', '') FROM pages WHERE page_id % 3 = 0) GROUP BY norm HAVING count(*) > 1",
 )
 def collapsing_urls(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    pages = keys(spark, sf_dir)
     again = pages.where("page_id % 3 = 0").withColumn("url", F.concat("url", F.lit("#again")))
     return CN.collapsing_urls(pages.unionByName(again))
 
@@ -431,7 +431,7 @@ def collapsing_urls(spark, sf_dir):
 )
 def param_usage(spark, sf_dir):
     links = X.links(seeded_pages(spark, sf_dir)).where("kind = 'http'").select(F.col("href").alias("url"))
-    return CN.param_usage(links.unionByName(table(spark, sf_dir, "pages").select("url")))
+    return CN.param_usage(links.unionByName(keys(spark, sf_dir).select("url")))
 
 
 @query(

@@ -15,7 +15,7 @@ from ..operators import sitemaps as SM
 from ..plans.audit import page_facts
 from .facts import HREFLANG_SQL, LINKS_SQL
 from .pages import VERDICT
-from .registry import query, table
+from .registry import keys, query, table
 from .seed import BASE_SQL, SEED_SQL, fetch_log, seeded_pages
 
 
@@ -168,7 +168,7 @@ def broken_links(spark, sf_dir):
 
 
 def robots_docs(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select(
+    pages = keys(spark, sf_dir).select(
         "page_id", F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("host"), F.regexp_extract("url", r"^(https?://[^/]+)", 1).alias("origin")
     )
     hosts = pages.groupBy("host").agg(F.min(F.struct("page_id", "origin")).alias("f"))
@@ -258,7 +258,7 @@ def robots_groups(spark, sf_dir):
     f"""WITH {SEED_SQL}, {ROBOTS_SQL} SELECT p AS page_id, full_path AS path, hit NOT LIKE 'dis%' AS allowed, split_part(hit, ':', 1) AS rule_type, CASE WHEN hit = '' THEN NULL ELSE split_part(hit, ':', 2)::INT END AS rule_line FROM re""",
 )
 def robots_eval(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    pages = keys(spark, sf_dir)
     return RB.robots_eval(pages, robots_docs(spark, sf_dir)).select("page_id", "path", "allowed", "rule_type", "rule_line")
 
 
@@ -267,7 +267,7 @@ def robots_eval(spark, sf_dir):
     f"""WITH {SEED_SQL}, {ROBOTS_SQL} SELECT p AS page_id, CASE WHEN k % 8 = 7 THEN 'unknown' WHEN k % 4 = 3 THEN 'allowed' WHEN hit LIKE 'dis%' THEN 'blocked' ELSE 'allowed' END AS state FROM re""",
 )
 def robots_status(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    pages = keys(spark, sf_dir)
     return RB.robots_status(pages, robots_docs(spark, sf_dir)).select("page_id", "state")
 
 
@@ -300,7 +300,7 @@ def sitemap_seeds(spark, sf_dir):
 
 
 def sitemap_texts(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "#.*$", "").alias("u"))
+    pages = keys(spark, sf_dir).select("page_id", F.regexp_replace("url", "#.*$", "").alias("u"))
     p = F.col("page_id")
     xml = F.replace(F.col("u"), F.lit("&"), F.lit("&amp;"))
     day = F.lpad(((p % 28) + 1).cast("string"), 2, "0")
@@ -492,7 +492,7 @@ _NEXT = "CASE WHEN p % 9 = 0 THEN p WHEN p % 7 = 0 AND p >= 3 THEN p - 3 WHEN p
         SELECT start AS page_id, max(lv)::INT AS levels, bool_or(loop) AS loop, arg_max(going, lv) AS capped FROM w GROUP BY start""",
 )
 def canonical_walk(spark, sf_dir):
-    urls = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "#.*$", "").alias("u"))
+    urls = keys(spark, sf_dir).select("page_id", F.regexp_replace("url", "#.*$", "").alias("u"))
     p = F.col("page_id")
     follow = (
         F.when(p % 9 == 0, p).when((p % 7 == 0) & (p >= 3), p - 3).when(p % 11 == 5, F.lit(None)).otherwise(p + 1)
@@ -531,7 +531,7 @@ def discover_links(spark, sf_dir):
         SELECT d.u AS url, CASE WHEN depth = 0 THEN '' ELSE par.u END AS source, depth::INT AS depth FROM d LEFT JOIN d par ON par.p = (d.p - 1) // 2 WHERE d.depth IS NOT NULL""".replace("CASE WHEN depth = 0", "CASE WHEN d.depth = 0").replace("depth::INT AS depth FROM d LEFT", "d.depth::INT AS depth FROM d LEFT"),
 )
 def crawl(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "#.*$", "").alias("url"))
+    pages = keys(spark, sf_dir).select("page_id", F.regexp_replace("url", "#.*$", "").alias("url"))
     return crawling.crawl(_edges(spark, sf_dir), pages.where("page_id % 10 = 0"), depth_limit=3, known=pages).drop("rank")
 
 
@@ -540,7 +540,7 @@ def crawl(spark, sf_dir):
     f"""WITH {LINKS_SQL} SELECT href AS url, arg_min(p, (p, idx)) AS source FROM lk WHERE {_HTTP} AND href NOT IN (SELECT u FROM s WHERE p % 3 = 0) AND href IN (SELECT u FROM s) GROUP BY href""",
 )
 def next_frontier(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "#.*$", "").alias("url"))
+    pages = keys(spark, sf_dir).select("page_id", F.regexp_replace("url", "#.*$", "").alias("url"))
     links = _links(spark, sf_dir).where("kind = 'http' AND norm <> ''")
     found = links.select(F.col("norm").alias("url"), F.col("page_id").alias("source"), F.col("page_id").alias("rank"), "idx")
     found = found.join(pages.select("url"), "url", "left_semi")

@@ -14,7 +14,7 @@ from ..sources.io import AUDIT_COLUMNS, CRAWL_COLUMNS, _flat, issue_text, usable
 from .audits import AUDIT_SQL, NODES_SQL, _rows
 from .facts import LINKS_SQL
 from .pages import CHECKS, ISSUES_SQL, SCORES, VERDICT
-from .registry import query, table
+from .registry import keys, query, table
 from .seed import BASE_SQL, SEED_SQL, fetch_log, seeded_pages
 
 
@@ -30,7 +30,7 @@ def _summaries(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").where("page_id % 2 = 0")
+    pages = keys(spark, sf_dir).where("page_id % 2 = 0")
     return pages.select(F.col("page_id").alias("pair_id"), F.col("page_id").alias("left_id"), (F.col("page_id") + 1).alias("right_id"))
 
 

@@ -11,13 +11,13 @@ from ..operators import timing as T
 from ..plans.audit import with_response
 from ..sources.fetch import response_meta
 from .facts import IMAGES_SQL, RESOURCES_SQL, SCRIPTS_SQL, STYLES_SQL
-from .registry import query, table
+from .registry import keys, query, table
 from .seed import SEED_SQL, fetch_log, seeded_pages
 
 
 def resource_log(spark, sf_dir):
     """Requests per page from the events table: the user is the page, the type the initiator."""
-    pages = table(spark, sf_dir, "pages").select(
+    pages = keys(spark, sf_dir).select(
         "page_id", F.regexp_replace("url", "#.*$", "").alias("page_url"), F.regexp_extract("url", r"^(https?://[^/]+)", 1).alias("origin")
     )
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
@@ -396,7 +396,7 @@ def image_size_issues(spark, sf_dir):
 
 
 def _headers(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    pages = keys(spark, sf_dir)
     return SEC.security_headers(with_response(pages, fetch_log(spark, sf_dir)))
 
 

@@ -15,7 +15,7 @@ from ..operators import schema as S
 from ..plans.audit import page_facts, page_reports
 from ..sources.fetch import response_meta
 from .facts import HREFLANG_SQL
-from .registry import query, table
+from .registry import keys, query, table
 from .seed import BASE_SQL, SEED_SQL, fetch_log, seeded_pages
 
 _T = "trim(title)"
@@ -265,7 +265,7 @@ def validate_rules(spark, sf_dir):
 
 def profiles(spark, sf_dir):
     """One profile per host of the corpus, from its first page."""
-    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("host"))
+    pages = keys(spark, sf_dir).select("page_id", F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("host"))
     hosts = pages.groupBy("host").agg(F.min("page_id").alias("k"))
     k = F.col("k")
     nothing = F.lit(None).cast("double")
@@ -351,7 +351,7 @@ def _hosted(df):
         FROM s LEFT JOIN (SELECT * FROM pf_all WHERE rn <= 200 AND k % 5 <> 4) pf_ ON pf_.host = s.host""",
 )
 def resolve_rules(spark, sf_dir):
-    pages = _hosted(table(spark, sf_dir, "pages").select("page_id", "url"))
+    pages = _hosted(keys(spark, sf_dir))
     out = R.resolve_rules(pages, profiles(spark, sf_dir))
     t = F.col("rules.thresholds")
     return out.select(

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.io import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -26,5 +28,15 @@ def query(name: str, oracle: str | None = None):
     return wrap
 
 
+# Tables whose rows cost enough work to spread a small file over all cores.
+HEAVY = ("pages", "documents", "events")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in HEAVY else df
+
+
+def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page ids and URLs without the sources, as stored."""
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.core import per_session
-from .registry import table
+from .registry import keys, table
 
 def _cat(*parts) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
@@ -29,10 +29,10 @@ def _lang(x: Column) -> Column:
     return F.element_at(F.array(F.lit("en"), F.lit("de"), F.lit("fr")), (x % 3 + 1).cast("int"))
 
 
-def with_neighbours(pages: DataFrame) -> DataFrame:
+def with_neighbours(pages: DataFrame, known: DataFrame) -> DataFrame:
     """Add u (URL without fragment), origin, path and the URLs of related pages."""
     P = F.col("page_id")
-    urls = pages.select("page_id", F.regexp_replace("url", "#.*$", "").alias("u"))
+    urls = known.select("page_id", F.regexp_replace("url", "#.*$", "").alias("u"))
     out = pages.withColumns(
         {
             "u": F.regexp_replace("url", "#.*$", ""),
@@ -179,7 +179,7 @@ def _body() -> Column:
 
 def seeded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pages`` with the seeded fragments after ``<head>`` and before ``<footer>``."""
-    rows = with_neighbours(table(spark, sf_dir, "pages")).withColumns({"head_": _head(), "body_": _body()})
+    rows = with_neighbours(table(spark, sf_dir, "pages"), keys(spark, sf_dir)).withColumns({"head_": _head(), "body_": _body()})
     html = F.replace(F.col("html"), F.lit("<head>"), F.concat(F.lit("<head>"), F.col("head_")))
     html = F.replace(html, F.lit("<footer>"), F.concat(F.col("body_"), F.lit("<footer>")))
     return rows.select("page_id", "url", html.alias("html"))
@@ -187,7 +187,8 @@ def seeded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fetch results per page that follow from ``page_id``: status, redirects and headers."""
-    return with_neighbours(table(spark, sf_dir, "pages").select("page_id", "url")).select(*_fetch_columns())
+    pages = keys(spark, sf_dir)
+    return with_neighbours(pages, pages).select(*_fetch_columns())
 
 
 @per_session

@@ -38,8 +38,18 @@ def usable_pages(pages: DataFrame, max_bytes: int = MAX_HTML_BYTES) -> DataFrame
     return rows
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores when the input has fewer splits than the cluster has cores.
+
+    Parsing is narrow, so a corpus in one small file would otherwise be parsed by one
+    task. A corpus with enough splits is returned as it is: no shuffle of page sources.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_pages(spark: SparkSession, path: str, max_bytes: int = MAX_HTML_BYTES) -> DataFrame:
-    return usable_pages(spark.read.parquet(path), max_bytes)
+    return spread(usable_pages(spark.read.parquet(path), max_bytes))
 
 
 def read_robots(spark: SparkSession, path: str) -> DataFrame:
