@@ -110,5 +110,7 @@ def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     the scan.
     """
     kept = [F.col(c) for c in df.columns if c not in columns]
-    made = F.struct(*[v.alias(k) for k, v in columns.items()])
-    return df.select(*kept, F.inline(F.array(made)))
+    # The generator sees plain columns only; nested fields are read in the projection before it.
+    staged = df.select(*kept, *[v.alias(f"settled_{k}") for k, v in columns.items()])
+    made = F.struct(*[F.col(f"settled_{k}").alias(k) for k in columns])
+    return staged.select(*kept, F.inline(F.array(made)))
