@@ -166,7 +166,8 @@ def repeats(docs: DataFrame, min_chars: int = MIN_CHARS, bits_per_line: int = BI
                 )
 
     found = stored(own.mapInArrow(suspects, "id long, hash long, key binary"), "suspects")
-    first = found.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+    # Written out, so that the join below has a plain exchange on both sides and a hot key can be split.
+    first = stored(found.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last"), "confirmed")
     drop = found.join(first, "key").where("id <> first")
     return drop.groupBy("id").agg(F.collect_set("hash").alias("hashes"))  # bounded by the document's own lines
 
