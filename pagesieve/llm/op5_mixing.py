@@ -6,10 +6,10 @@ import math
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .registry import query, stored, table
+from .registry import fresh, query, stored, table
 
 SEED = 17
 UNIT = float(2**52)
@@ -71,17 +71,23 @@ def replicate(docs: DataFrame, weights: Mapping[str | None, float] | None = None
     a NULL or empty text counts one code point, and rows with the same doc_id get the same
     count. An empty table gives an empty mixture.
     """
-    table_ = rates(docs, weights, temperature, epochs).select(F.col("source").alias("__of"), F.col("cdf").alias("__cdf"))
+    of, cdf, u, n = (fresh(docs, x) for x in ("of_source", "cdf", "draw", "times"))
+    table_ = rates(docs, weights, temperature, epochs).select(F.col("source").alias(of), F.col("cdf").alias(cdf))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), name)), 1, 13), 16, 10).cast("long") / F.lit(UNIT)
     # One row a source on the right; Spark broadcasts it while it is small and splits a hot source otherwise.
-    counted = docs.withColumn("__u", draw).join(table_, F.col("source").eqNullSafe(F.col("__of")), "inner")
-    times = F.size(F.filter("__cdf", lambda x: x <= F.col("__u")))
-    made = counted.withColumn("__n", times).where("__n > 0").select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__n"))).alias(copy_name))
+    counted = docs.withColumn(u, draw).join(table_, F.col("source").eqNullSafe(F.col(of)), "inner")
+    times = F.size(F.filter(cdf, lambda x: x <= F.col(u)))
+    made = counted.withColumn(n, times).where(F.col(n) > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(n))).alias(copy_name))
     key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("|"), F.col(copy_name).cast("string")))
     return made.withColumn(key_name, key).repartition(key_name).sortWithinPartitions(key_name)
 
 
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: copies of the documents, with the columns of the input, in random order."""
+    return replicate(docs, copy_name=fresh(docs, "copy"), key_name=fresh(docs, "shuffle_key")).select(*docs.columns)
+
+
 SQL = """
 WITH d AS (SELECT doc_id, text, source, CAST(('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u FROM documents),
 s AS (SELECT source, CAST(sum(greatest(coalesce(length(text), 0), 1)) AS DOUBLE) AS size FROM d GROUP BY source),
