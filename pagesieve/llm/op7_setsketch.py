@@ -330,7 +330,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     sizes = groups.groupBy("root").agg(F.count("*").alias("size")).select(F.col("root").alias("g"), F.ceil(F.col("size") / BLOCK).alias("blocks"))
     units = groups.join(sizes, F.col("root") == F.col("g")).select(F.col("node"), F.col("root").alias("grp"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
-    members = own.join(units, F.col("id") == F.col("node")).select("id", "text", "grp", "blocks", "block")
+    # A merge join at every size: each text travels once, and a hot group's rows are spread by id.
+    members = own.join(units.hint("merge"), F.col("id") == F.col("node")).select("id", "text", "grp", "blocks", "block")
     parts = members.mapInArrow(_set_rows, "grp long, unit long, block long, id long, elements binary")
     links = parts.repartition("grp", "unit").sortWithinPartitions("grp", "unit").mapInArrow(_verified(percent), "a long, b long")
     roots = components(links).select(F.col("node"), "root")
