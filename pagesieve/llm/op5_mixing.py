@@ -57,20 +57,21 @@ def rates(docs: DataFrame, weights: Mapping[str | None, float] | None = None, te
 
 
 def replicate(docs: DataFrame, weights: Mapping[str | None, float] | None = None, temperature: float = 0.5, epochs: float = 1.0, seed: int = SEED,
-              copy_name: str = "copy", key_name: str = "shuffle_key") -> DataFrame:
+              copy_name: str | None = None, key_name: str | None = None) -> DataFrame:
     """Every document as often as its draw says, in a globally random order.
 
     The draw inverts the Poisson distribution of the source's rate at a number in [0, 1)
     hashed from the seed and doc_id, so a run over more executors or a second run gives
     the same mixture. Copies are numbered from 1 and dealt to partitions by a hash of
     (seed, doc_id, copy), by which each partition is also sorted: the order over all
-    partitions is a random permutation. All columns of ``docs`` stay; ``copy_name`` and
-    ``key_name`` are added.
+    partitions is a random permutation. All columns of ``docs`` stay; ``copy``
+    and ``shuffle_key`` are added under these or the given names.
 
     A NULL source is a source like any other, a NULL doc_id is hashed as the word "null",
     a NULL or empty text counts one code point, and rows with the same doc_id get the same
     count. An empty table gives an empty mixture.
     """
+    copy_name, key_name = copy_name or fresh(docs, "copy"), key_name or fresh(docs, "shuffle_key")
     of, cdf, u, n = (fresh(docs, x) for x in ("of_source", "cdf", "draw", "times"))
     table_ = rates(docs, weights, temperature, epochs).select(F.col("source").alias(of), F.col("cdf").alias(cdf))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
@@ -85,7 +86,7 @@ def replicate(docs: DataFrame, weights: Mapping[str | None, float] | None = None
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: copies of the documents, with the columns of the input, in random order."""
-    return replicate(docs, copy_name=fresh(docs, "copy"), key_name=fresh(docs, "shuffle_key")).select(*docs.columns)
+    return replicate(docs).select(*docs.columns)
 
 
 SQL = """

@@ -1,9 +1,10 @@
+import os
 import random
 import sys
 
 import pytest
 
-sys.path.insert(0, __file__.rsplit("/tests/", 1)[0])
+sys.path[:0] = [__file__.rsplit("/tests/", 1)[0], os.path.dirname(__file__)]
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, copy int, score double"
 
