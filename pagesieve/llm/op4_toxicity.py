@@ -21,7 +21,7 @@ TOKEN = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
 LONGEST = 5_000  # tokens of one chain; a longer run is cut into several chains
 PREFIXES = range(3, 9)
-REMEMBER = 200_000  # words whose features a worker keeps in mind
+REMEMBER = 100_000  # words whose features a worker keeps in mind
 
 
 def features_of(word: str) -> list[str]:
