@@ -463,7 +463,7 @@ def hreflang_counts(spark, sf_dir):
         SELECT p AS page_id, CASE WHEN canon_href = u THEN 1 ELSE 2 END AS path_length, 1 AS levels, coalesce(thops, 0)::INT AS redirect_hops, coalesce(tstatus, 0)::INT AS final_status,
           (tp IS NOT NULL AND tp % 29 <> 7 AND tstatus BETWEEN 1 AND 399 AND tcanon = canon_href) AS stable,
           array_to_string(list_filter([CASE WHEN tp IS NULL OR tp % 29 = 7 THEN 'network-error' WHEN tstatus >= 500 THEN 'http-5xx' WHEN tstatus >= 400 THEN 'http-4xx' END,
-            CASE WHEN tcount > 1 THEN 'multiple-canonical' END, CASE WHEN thops > 0 THEN 'canonical-redirect' END], lambda x: x IS NOT NULL), ',') AS codes FROM w
+            CASE WHEN tcount > 1 THEN 'multiple-canonical' END, CASE WHEN tp % 34 IN (2, 19) THEN 'redirect-loop' END, CASE WHEN thops > 0 THEN 'canonical-redirect' END], lambda x: x IS NOT NULL), ',') AS codes FROM w
         WHERE p % 5 <> 4 OR tp IS NULL OR tp = p""",
 )
 def canonical_chain(spark, sf_dir):
@@ -471,8 +471,10 @@ def canonical_chain(spark, sf_dir):
     facts = facts.withColumns(N.comparable_urls())
     pages = facts.select(
         "page_id", "norm_url", "norm_canonical", F.col("canonical.count").alias("canonical_count"), "status", "redirected",
-        F.size("redirect_chain").alias("hops"), "error",
+        F.col("final_url").alias("fetched"), "redirect_chain", "error",
     )
+    hops = F.transform("redirect_chain", lambda h: F.struct(U.normalize_url(h["from"]).alias("from"), U.normalize_url(h["to"]).alias("to")))
+    pages = pages.withColumns({"redirects": hops, "final_url": F.col("fetched")}).drop("redirect_chain", "fetched")
     c = canonicals.canonical_chain(canonicals.canonical_walk(pages))
     return c.select("page_id", F.size("path").alias("path_length"), "levels", "redirect_hops", "final_status", "stable", F.array_join("codes", ",").alias("codes"))
 
@@ -486,8 +488,8 @@ _NEXT = "CASE WHEN p % 9 = 0 THEN p WHEN p % 7 = 0 AND p >= 3 THEN p - 3 WHEN p
         e AS (SELECT n.p, n.u, n.st, (SELECT min(o.p) FROM n o WHERE o.u = t.u) AS q FROM n LEFT JOIN n t ON t.p = n.q),
         w AS (SELECT p AS start, q AS at, [(SELECT min(o.p) FROM n o WHERE o.u = e.u)] AS visited, 0 AS lv, true AS going, false AS loop FROM e WHERE q IS NOT NULL
           UNION ALL
-          SELECT start, CASE WHEN e.q IS NULL OR e.q = w.at OR list_contains(list_append(visited, w.at), e.q) THEN w.at ELSE e.q END, list_append(visited, w.at), lv + 1,
-            NOT (e.q IS NULL OR e.q = w.at OR list_contains(list_append(visited, w.at), e.q)), e.q IS NOT NULL AND e.q <> w.at AND list_contains(list_append(visited, w.at), e.q)
+          SELECT start, CASE WHEN e.st >= 400 OR e.q IS NULL OR e.q = w.at OR list_contains(list_append(visited, w.at), e.q) THEN w.at ELSE e.q END, list_append(visited, w.at), lv + 1,
+            NOT (e.st >= 400 OR e.q IS NULL OR e.q = w.at OR list_contains(list_append(visited, w.at), e.q)), e.st < 400 AND e.q IS NOT NULL AND e.q <> w.at AND list_contains(list_append(visited, w.at), e.q)
           FROM w JOIN e ON e.p = w.at WHERE going AND lv < 5)
         SELECT start AS page_id, max(lv)::INT AS levels, bool_or(loop) AS loop, arg_max(going, lv) AS capped FROM w GROUP BY start""",
 )

@@ -49,11 +49,11 @@ def _requests(stream):
 
 @query(
     "redirect_chains",
-    f"""WITH {_E}, k AS (SELECT event_id, event_id // 5 AS r, CASE event_type WHEN 'click' THEN 'redirect' WHEN 'view' THEN 'headers' WHEN 'signup' THEN 'request' WHEN 'purchase' THEN 'end' ELSE 'end' END AS kind FROM e),
-        x AS (SELECT *, coalesce(max(CASE WHEN kind = 'request' THEN event_id END) OVER (PARTITION BY r ORDER BY event_id ROWS UNBOUNDED PRECEDING), -1) AS reset_at,
-                min(CASE WHEN kind = 'end' THEN event_id END) OVER (PARTITION BY r) AS ended FROM k)
-        SELECT a.r::VARCHAR AS request_id, 'https://r.example.com/' || a.event_id AS final_url, count(b.event_id)::INT AS hops FROM x a LEFT JOIN x b ON b.r = a.r AND b.kind = 'redirect' AND b.event_id < a.event_id AND b.event_id > a.reset_at
-        WHERE a.kind = 'headers' AND (a.ended IS NULL OR a.event_id < a.ended) GROUP BY a.r, a.event_id""",
+    f"""WITH {_E}, k AS (SELECT event_id, ts, event_id // 5 AS r, CASE event_type WHEN 'click' THEN 'redirect' WHEN 'view' THEN 'headers' WHEN 'signup' THEN 'request' WHEN 'purchase' THEN 'end' ELSE 'end' END AS kind FROM e),
+        x AS (SELECT k.*, row_number() OVER w AS n, coalesce(sum(CASE WHEN kind = 'end' THEN 1 END) OVER (w ROWS UNBOUNDED PRECEDING), 0) AS part FROM k, m
+              WHERE date_trunc('millisecond', ts) + INTERVAL 1 MILLISECOND < hi - INTERVAL 10 MINUTE WINDOW w AS (PARTITION BY r ORDER BY ts, event_id))
+        SELECT a.r::VARCHAR AS request_id, 'https://r.example.com/' || a.event_id AS final_url, count(b.event_id)::INT AS hops FROM x a LEFT JOIN x b ON b.r = a.r AND b.kind = 'redirect' AND b.n < a.n AND b.part = a.part
+        WHERE a.kind = 'headers' GROUP BY a.r, a.event_id""",
 )
 def redirect_chains(spark, sf_dir):
     rows = jobs.run_to_table(jobs.redirect_chains(_requests(event_stream(spark, sf_dir))))
@@ -92,9 +92,7 @@ def check_progress(spark, sf_dir):
     results = event_stream(spark, sf_dir).select(
         F.col("event_type").alias("operation"), (F.col("value") > 0).alias("checked"), (F.col("value") > 50).alias("failed")
     )
-    rows = jobs.run_to_table(jobs.check_progress(results), "complete")
-    latest = rows.groupBy("operation").agg(F.max_by(F.struct("requested", "checked", "failed"), "batch").alias("r"))
-    return latest.select("operation", "r.*")
+    return jobs.run_to_table(jobs.check_progress(results), "complete")
 
 
 @query("stream_regressions", f"WITH {REGRESSION_SQL} SELECT 'https://shop.example.com/o/' || o AS url, id, direction FROM ch")

@@ -18,13 +18,13 @@ from .core import clean, let, str_array, text_of
 _ATTRS = r"""(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+"""
 _TAG = rf"</?[a-zA-Z][^\s/>]*+{_ATTRS}>"
 _BOGUS = r"<[!?/][^>]*+>"
-_RAW = rf"<(script|style|textarea|title|xmp)(?=[\s/>]){_ATTRS}>(?:.*?</\1(?=[\s/>])[^>]*+>|.*+)"
+_RAW = rf"<(script|style|textarea|title|xmp|iframe|noembed|noframes|noscript)(?=[\s/>]){_ATTRS}>(?:.*?</\1(?=[\s/>])[^>]*+>|.*+)"
 _TOKEN = rf"(?is)<!--(?:.*?-->|.*+)|{_RAW}|{_TAG}|{_BOGUS}|[^<]++|<"
 _STRIP = rf"(?is){_TAG}|{_BOGUS}"
 
 # Elements without content (fixed values).
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
-RAW_TEXT = ["script", "style", "textarea", "title", "xmp"]
+RAW_TEXT = ["script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript"]
 # Elements whose text is never read (fixed values).
 UNREAD = ["script", "style", "noscript", "template", "svg"]
 # Block elements that end an open paragraph (fixed values).
@@ -35,9 +35,17 @@ ENDS_PARAGRAPH = [
 ]
 
 
-_ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0"} | {
-    name: chr(code) for name, code in html.entities.name2codepoint.items()
-}
+# Named references by first letter, and the older names that also hold without a semicolon.
+_ENTITIES: dict[str, dict[str, str]] = {}
+for _name, _text in html.entities.html5.items():
+    if _name.endswith(";"):
+        _ENTITIES.setdefault(_name[0], {})[_name[:-1]] = _text
+_BARE = sorted((n for n in html.entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+# A bare name before a letter, digit or "=" is left alone, as in the query part of a URL.
+_REFERENCE = rf"(?s)[^&]++|&#[0-9]++;?|&#[xX][0-9a-fA-F]++;?|&[A-Za-z][A-Za-z0-9]*+;|&(?:{'|'.join(_BARE)})(?![A-Za-z0-9=;])|&"
+_REPLACED = "\ufffd"
+# What 0x80 to 0x9F stand for; the bytes Windows-1252 leaves open stand for themselves.
+_C1 = [bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0)]
 
 
 def code_point(number: Column) -> Column:
@@ -46,18 +54,28 @@ def code_point(number: Column) -> Column:
 
 
 def decode_entities(value: Column) -> Column:
-    """Replace named and numeric character references."""
-    table = F.from_json(F.lit(json.dumps(_ENTITIES)), "map<string,string>")
+    """Replace named and numeric character references as browsers do.
+
+    Numbers that name no character (0, surrogates, beyond Unicode) become U+FFFD, those
+    from 0x80 to 0x9F are read as Windows-1252. Unknown names stay as they are.
+    """
+    table = F.from_json(F.lit(json.dumps(_ENTITIES)), "map<string,map<string,string>>")
+
+    def numeric(body: Column) -> Column:
+        digits = F.regexp_replace(body, r"^[xX]?0*", "")
+        hexa = F.lower(body).startswith("x")
+        known = F.length(digits) <= F.when(hexa, 6).otherwise(7)
+        padded = F.concat(F.lit("0"), digits)
+        number = F.when(known, F.when(hexa, F.conv(padded, 16, 10)).otherwise(padded).try_cast("bigint"))
+        return let(number, lambda n: F.when(n.isNull() | (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), F.lit(_REPLACED))
+                   .when(n.between(0x80, 0x9F), F.coalesce(F.get(str_array(_C1), (n - 0x80).cast("int")), code_point(n))).otherwise(code_point(n)))
 
     def one(t: Column) -> Column:
         body = F.regexp_replace(t, r"^&#?|;$", "")
-        number = F.when(F.lower(body).startswith("x"), F.conv(F.substring(body, 2, 7), 16, 10)).otherwise(body)
-        numeric = code_point(number.try_cast("bigint"))
-        return F.when(~t.startswith("&") | (t == "&"), t).otherwise(
-            F.coalesce(F.when(t.startswith("&#"), numeric).otherwise(F.try_element_at(table, body)), t)
-        )
+        named = F.try_element_at(F.try_element_at(table, F.left(body, F.lit(1))), body)
+        return F.when(~t.startswith("&") | (t == "&"), t).otherwise(F.coalesce(F.when(t.startswith("&#"), numeric(body)).otherwise(named), t))
 
-    pieces = F.regexp_extract_all(value, F.lit(r"(?s)[^&]++|&#?[A-Za-z0-9]{1,32};|&"), F.lit(0))
+    pieces = F.regexp_extract_all(value, F.lit(_REFERENCE), F.lit(0))
     return F.when(F.contains(value, F.lit("&")), F.array_join(F.transform(pieces, one), "")).otherwise(value)
 
 
@@ -67,7 +85,33 @@ def tokens(html_text: Column) -> Column:
     name = lambda t: F.when(~t.startswith("<"), F.lit("")).otherwise(
         F.coalesce(F.nullif(F.lower(F.regexp_extract(t, r"^<(/?[a-zA-Z][^\s/>]*)", 1)), F.lit("")), F.lit("!"))
     )
-    return F.transform(raw, lambda t: F.struct(name(t).alias("n"), t.alias("t")))
+    return let(F.transform(raw, lambda t: F.struct(name(t).alias("n"), t.alias("t"))), _without_templates)
+
+
+def _without_templates(tok: Column) -> Column:
+    """Tokens outside template contents, which are no part of the page."""
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    marks = F.filter(
+        F.transform(tok, lambda x, i: F.when(x["n"].isin("template", "/template"), F.struct(x["n"].alias("n"), i.cast("int").alias("i")))),
+        lambda m: m.isNotNull(),
+    )
+
+    def step(acc: Column, m: Column) -> Column:
+        opens = m["n"] == "template"
+        closes = ~opens & (acc["depth"] == 1)
+        return F.struct(
+            F.greatest(acc["depth"] + F.when(opens, 1).otherwise(-1), F.lit(0)).alias("depth"),
+            F.when(opens & (acc["depth"] == 0), m["i"]).otherwise(acc["start"]).alias("start"),
+            F.when(closes, F.concat(acc["spans"], F.array(F.struct(acc["start"].alias("a"), m["i"].alias("b"))))).otherwise(acc["spans"]).alias("spans"),
+        )
+
+    def spans(ms: Column) -> Column:
+        # A template left open hides the rest of the page.
+        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("start"), none.alias("spans"))
+        return F.aggregate(ms, start, step, lambda acc: F.when(acc["depth"] > 0, F.concat(acc["spans"], F.array(F.struct(acc["start"].alias("a"), F.size(tok).alias("b"))))).otherwise(acc["spans"]))
+
+    outside = lambda s: F.filter(tok, lambda x, i: ~F.exists(s, lambda p: (i > p["a"]) & (i < p["b"])))
+    return let(marks, lambda ms: F.when(F.size(ms) == 0, tok).otherwise(let(spans(ms), outside)))
 
 
 def elements(tok: Column, *names: str) -> Column:
@@ -111,8 +155,8 @@ def text_content(markup: Column) -> Column:
 
 
 def markup_only(tok: Column) -> Column:
-    """Page source without comments, scripts and styles."""
-    return F.array_join(F.transform(F.filter(tok, lambda x: ~x["n"].isin("!", "script", "style")), lambda x: x["t"]), "")
+    """Page source without comments and raw-text elements, whose content is text and no markup."""
+    return F.array_join(F.transform(F.filter(tok, lambda x: ~x["n"].isin("!", *RAW_TEXT)), lambda x: x["t"]), "")
 
 
 def runs(markup: Column, name_pattern: str) -> Column:

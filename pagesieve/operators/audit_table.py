@@ -22,7 +22,7 @@ VERDICTS = ["Indexable", "Noindex", "Blocked", "Canonicalized", "Redirected", "E
 def _row_columns() -> list[Column]:
     c = F.col
     h1 = F.get(F.filter("headings", lambda h: h["level"] == 1), F.lit(0))["text"]
-    robots = F.filter(F.transform("robots", lambda r: clean(r["content"], 120)), lambda v: v != "")
+    robots = F.filter(F.transform("robots", lambda r: clean(r["content"])), lambda v: v != "")
     status = F.coalesce(c("status"), F.lit(0))
     return [
         U.http_url(c("requested_url")).alias("requested_url"),
@@ -31,11 +31,11 @@ def _row_columns() -> list[Column]:
         status.alias("status"),
         F.lit(True).alias("available"),
         F.lit("").alias("error"),
-        clean(c("title"), 500).alias("title"),
-        clean(c("description"), 1200).alias("description"),
-        F.coalesce(clean(h1, 300), F.lit("")).alias("h1"),
+        clean(c("title")).alias("title"),
+        clean(c("description")).alias("description"),
+        F.coalesce(clean(h1), F.lit("")).alias("h1"),
         F.size(F.filter("headings", lambda h: h["level"] == 1)).alias("h1_count"),
-        clean(c("canonical.href"), 1200).alias("canonical"),
+        clean(c("canonical.href")).alias("canonical"),
         F.array_join(robots, " | ").alias("robots"),
         c("verdict").alias("indexability"),
         c("score"),
@@ -89,7 +89,7 @@ def error_rows(failed: DataFrame, like: DataFrame) -> DataFrame:
         "status": F.coalesce("status", F.lit(0)),
         "redirected": F.coalesce("redirected", F.lit(False)),
         "available": F.lit(False),
-        "error": clean(F.coalesce(F.nullif("error", F.lit("")), F.lit("network")), 100),
+        "error": clean(F.coalesce(F.nullif("error", F.lit("")), F.lit("network"))),
         "indexability": F.lit("Unknown"),
         "score": F.lit(None),
     }
@@ -100,7 +100,7 @@ def error_rows(failed: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def duplicate_key(value: Column) -> Column:
-    return F.lower(clean(value, 2000))
+    return F.lower(clean(value))
 
 
 def _long(rows: DataFrame, fields: list[str]) -> DataFrame:
@@ -118,7 +118,7 @@ def duplicate_groups(rows: DataFrame, fields: list[str] | None = None) -> DataFr
     """
     long = _long(rows, fields or DUPLICATE_FIELDS)
     groups = long.groupBy("field", "key").agg(
-        F.count("*").alias("pages"), F.min_by(clean(F.col("value"), 500), "page_id").alias("value")
+        F.count("*").alias("pages"), F.min_by(clean(F.col("value")), "page_id").alias("value")
     )
     return groups.where("pages > 1")
 
@@ -165,7 +165,7 @@ def filter_audit(
         out = out.where("available")
     if indexability and indexability != "All":
         out = out.where(F.col("indexability") == indexability)
-    needle = " ".join(query.split())[:200].lower()
+    needle = " ".join(query.split()).lower()
     if needle:
         fields = ["url", "title", "description", "h1", "canonical", "robots", "page_type", "page_traits"]
         out = out.where(F.contains(F.lower(F.concat_ws("\n", *fields)), F.lit(needle)))
@@ -216,7 +216,7 @@ def _family_values(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])
     long = live.select("family", "url", F.explode(cells).alias("c")).select("family", "url", "c.*")
     long = settled(long, {"key": F.lower(clean(F.col("value")))}).where("key <> ''")
-    return long.groupBy("family", "field", "key", "url").agg(F.min(clean(F.col("value"), 500)).alias("value"))
+    return long.groupBy("family", "field", "key", "url").agg(F.min(clean(F.col("value"))).alias("value"))
 
 
 def annotate_pagination(rows: DataFrame) -> DataFrame:

@@ -6,60 +6,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import keep_true
+from ..session import stored
 
 MAX_LEVELS = 5
+_HOPS = "array<struct<from:string,to:string>>"
+_STEP = f"struct<url:string,next:string,final_url:string,count:int,status:int,redirected:boolean,redirects:{_HOPS},error:string>"
 
 
 def canonical_walk(pages: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
     """Follow each page's canonical for up to ``max_levels`` targets.
 
-    ``pages``: ``page_id, norm_url, norm_canonical, canonical_count,
-    status, redirected, hops, error``. The levels are unrolled equi-joins on the URL, so
-    a target many pages point to is one build row, never a group. The result keeps one
-    row per start page with its ``path``, ``levels`` and how the walk ended.
+    ``pages``: ``page_id, norm_url, norm_canonical, canonical_count, status, redirected,
+    error``, and where known ``final_url`` (after redirects, else ``norm_url``) and
+    ``redirects`` (array of from/to, else ``hops`` counts them). A walk ends at a fetch
+    error, at a missing status or one of 400 and above, and where a target's canonical is
+    missing or its own final URL; it is a loop where the canonical was visited before.
+
+    Targets are one row per URL, written once. Each level joins only the walks still going
+    and is written too; walks that ended are set aside and never shuffled again.
     """
+    have = set(pages.columns)
+    hops = F.coalesce("redirects", F.array().cast(_HOPS)) if "redirects" in have else F.array_repeat(
+        F.struct(F.lit("").alias("from"), F.lit("").alias("to")), F.coalesce("hops", F.lit(0)))
+    final = F.coalesce(F.nullif("final_url", F.lit("")), "norm_url") if "final_url" in have else F.col("norm_url")
     facts = F.struct(
-        F.col("norm_canonical").alias("n_next"), F.col("canonical_count").alias("n_count"), F.col("status").alias("n_status"),
-        F.coalesce("redirected", F.lit(False)).alias("n_redirected"), F.coalesce("hops", F.lit(0)).alias("n_hops"),
-        F.coalesce("error", F.lit("")).alias("n_error"),
+        F.coalesce("norm_canonical", F.lit("")).alias("next"), final.alias("final_url"), F.coalesce("canonical_count", F.lit(0)).alias("count"),
+        F.coalesce("status", F.lit(0)).alias("status"), F.coalesce("redirected", F.lit(False)).alias("redirected"), hops.cast(_HOPS).alias("redirects"),
+        F.coalesce("error", F.lit("")).alias("error"),
     )
     # Pages that share a URL count once: the one with the smallest id.
-    node = pages.groupBy(F.col("norm_url").alias("n_url")).agg(F.min_by(facts, "page_id").alias("f")).select("n_url", "f.*")
-    step = "struct<url:string,next:string,count:int,status:int,redirected:boolean,hops:int,error:string>"
-    walk = pages.where("norm_canonical <> ''").select(
-        "page_id",
-        "norm_url",
-        F.col("norm_canonical").alias("initial"),
-        F.col("norm_canonical").alias("at"),
-        F.array("norm_url").alias("visited"),
-        F.array().cast(f"array<{step}>").alias("levels"),
-        F.lit(True).alias("going"),
-        F.lit(False).alias("loop"),
+    node = stored(pages.groupBy(F.col("norm_url").alias("n_url")).agg(F.min_by(facts, "page_id").alias("f")), "canonical-targets")
+    going = pages.where("norm_canonical <> ''").select(
+        "page_id", "norm_url", F.col("norm_canonical").alias("initial"), F.col("norm_canonical").alias("at"), F.array("norm_url").alias("visited"),
+        F.array().cast(f"array<{_STEP}>").alias("levels"),
     )
+    ended = []
     for _ in range(max_levels):
-        key = F.when(F.col("going"), F.col("at"))
-        joined = walk.withColumn("key", key).join(node, F.col("key") == F.col("n_url"), "left").drop("key")
-        error = F.coalesce("n_error", F.lit("network"))
+        f = lambda name, missing: F.coalesce(F.col(f"f.{name}"), missing)
+        unseen = F.lit("network")
         this = F.struct(
-            F.col("at").alias("url"), F.coalesce("n_next", F.lit("")).alias("next"), F.coalesce("n_count", F.lit(0)).alias("count"),
-            F.coalesce("n_status", F.lit(0)).alias("status"), F.coalesce("n_redirected", F.lit(False)).alias("redirected"),
-            F.coalesce("n_hops", F.lit(0)).alias("hops"), error.alias("error"),
-        )
-        target = F.coalesce("n_next", F.lit(""))
-        stops = (error != "") | (target == "") | (target == F.col("at"))
+            F.col("at").alias("url"), f("next", F.lit("")).alias("next"), f("final_url", F.col("at")).alias("final_url"), f("count", F.lit(0)).alias("count"),
+            f("status", F.lit(0)).alias("status"), f("redirected", F.lit(False)).alias("redirected"), f("redirects", F.array().cast(_HOPS)).alias("redirects"),
+            f("error", unseen).alias("error"),
+        ).cast(_STEP)
+        rows = going.join(node, F.col("at") == F.col("n_url"), "left").withColumn("this", this)
+        t = lambda name: F.col(f"this.{name}")
+        stops = (t("error") != "") | (t("status") == 0) | (t("status") >= 400) | (t("next") == "") | (t("next") == t("final_url"))
         visited = F.concat("visited", F.array("at"))
-        back = ~stops & F.array_contains(visited, target)
-        walk = joined.select(
-            "page_id",
-            "norm_url",
-            "initial",
-            F.when(F.col("going") & ~stops & ~back, target).otherwise(F.col("at")).alias("at"),
-            F.when(F.col("going"), visited).otherwise(F.col("visited")).alias("visited"),
-            F.when(F.col("going"), F.concat("levels", F.array(this.cast(step)))).otherwise(F.col("levels")).alias("levels"),
-            (F.col("going") & ~stops & ~back).alias("going"),
-            (F.col("loop") | (F.col("going") & back)).alias("loop"),
-        )
-    return walk.withColumnRenamed("going", "capped").drop("at", "visited")
+        loop = ~stops & F.array_contains(visited, t("next"))
+        done = stored(rows.select(
+            "page_id", "norm_url", "initial", t("next").alias("at"), visited.alias("visited"), F.concat("levels", F.array("this")).alias("levels"),
+            (~stops & ~loop).alias("going"), loop.alias("loop"),
+        ), "canonical-level")
+        ended.append(done.where("NOT going").select("page_id", "norm_url", "initial", "levels", F.lit(False).alias("capped"), "loop"))
+        going = done.where("going").drop("going", "loop")
+        if going.isEmpty():
+            break
+    ended.append(going.select("page_id", "norm_url", "initial", "levels", F.lit(True).alias("capped"), F.lit(False).alias("loop")))
+    out = ended[0]
+    for part in ended[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def canonical_chain(walk: DataFrame) -> DataFrame:
@@ -71,11 +78,14 @@ def canonical_chain(walk: DataFrame) -> DataFrame:
     ).otherwise(path)
     start = append(F.array("norm_url"), c("initial"))
     path = F.aggregate(
-        "levels", start, lambda acc, l: F.when(l["next"] == l["url"], acc).otherwise(append(acc, l["next"]))
+        "levels", start, lambda acc, l: F.when((l["next"] == "") | (l["next"] == l["final_url"]), acc).otherwise(append(acc, l["next"]))
     )
     out = walk.withColumns({"path": path, "last": F.try_element_at("levels", F.lit(-1)), "first": F.try_element_at("levels", F.lit(1))})
     loop = c("loop") | (F.size("path") > F.size(F.array_distinct("path")))
-    hops = F.aggregate("levels", F.lit(0), lambda acc, l: acc + l["hops"])
+    chain = F.flatten(F.transform("levels", lambda l: l["redirects"]))
+    hops = F.size(chain)
+    trail = F.filter(F.concat(F.transform(F.slice(chain, 1, 1), lambda h: h["from"]), F.transform(chain, lambda h: h["to"])), lambda u: F.coalesce(u, F.lit("")) != "")
+    redirect_loop = F.size(trail) > F.size(F.array_distinct(trail))
     redirected = (hops > 0) | F.exists("levels", lambda l: l["redirected"])
     at_level = lambda cond, code: F.transform(F.filter("levels", cond), lambda _: F.lit(code))
     level_codes = F.flatten(
@@ -96,13 +106,14 @@ def canonical_chain(walk: DataFrame) -> DataFrame:
         level_codes,
         keep_true(
             (loop, F.lit("canonical-loop")),
+            (redirect_loop, F.lit("redirect-loop")),
             (F.size("path") > 2, F.lit("multi-hop-canonical")),
             (redirected, F.lit("canonical-redirect")),
             (c("capped"), F.lit("canonical-cap")),
         ),
     )
     stable = (
-        (c("last.error") == "") & c("last.status").between(1, 399) & (c("last.next") != "") & (c("last.next") == c("last.url"))
+        (c("last.error") == "") & c("last.status").between(1, 399) & (c("last.next") != "") & (c("last.next") == c("last.final_url"))
         & ~loop & ~c("capped")
     )
     return out.select(
@@ -113,9 +124,10 @@ def canonical_chain(walk: DataFrame) -> DataFrame:
         hops.alias("redirect_hops"),
         c("first.status").alias("target_status"),
         c("last.status").alias("final_status"),
-        c("last.url").alias("final_url"),
+        c("last.final_url").alias("final_url"),
         stable.alias("stable"),
         loop.alias("loop"),
+        redirect_loop.alias("redirect_loop"),
         "capped",
         codes.alias("codes"),
     )

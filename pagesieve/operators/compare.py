@@ -26,6 +26,11 @@ def cap_list(values: Column) -> Column:
     return F.when(F.size(values) > MAX_ITEMS, F.concat(shown, F.array(more))).otherwise(shown)
 
 
+def _full(values: Column) -> Column:
+    """What equality of a list is judged on: all of it."""
+    return F.sha2(F.array_join(values, "\n"), 256)
+
+
 def _shown(value: Column, array: bool = False) -> Column:
     text = F.array_join(value, "\n") if array else value.cast("string")
     return F.coalesce(F.nullif(text, F.lit("")), F.lit("—"))
@@ -83,26 +88,26 @@ def _cells(has_headers: bool, has_meta: bool) -> Column:
         ("Metadata", "Robots", _shown(_sorted(F.transform("robots", lambda r: r["content"])), True)),
         ("Metadata", "Indexability", _shown(c("verdict"))),
         ("Headings", "Heading count", _shown(F.size("headings"))),
-        ("Headings", "H1", _shown(cap_list(F.transform(F.filter("headings", lambda h: h["level"] == 1), lambda h: h["text"])), True)),
-        ("Headings", "Outline", _shown(cap_list(outline), True)),
+        ("Headings", "H1", _shown(cap_list(F.transform(F.filter("headings", lambda h: h["level"] == 1), lambda h: h["text"])), True), _full(F.transform(F.filter("headings", lambda h: h["level"] == 1), lambda h: h["text"]))),
+        ("Headings", "Outline", _shown(cap_list(outline), True), _full(outline)),
         ("Links", "Total links", _shown(F.size("links"))),
         ("Links", "Internal HTTP links", _shown(internal)),
         ("Links", "External HTTP links", _shown(F.size(http) - internal)),
         ("Links", "nofollow links", _shown(rel("nofollow"))),
         ("Links", "sponsored links", _shown(rel("sponsored"))),
         ("Links", "UGC links", _shown(rel("ugc"))),
-        ("Links", "HTTP targets", _shown(cap_list(_sorted(targets)), True)),
+        ("Links", "HTTP targets", _shown(cap_list(_sorted(targets)), True), _full(_sorted(targets))),
         ("Images", "Total images", _shown(F.size("images"))),
         ("Images", "Missing alt", _shown(F.size(F.filter("images", lambda i: ~i["alt_present"])))),
         (
             "Images", "Missing dimensions",
             _shown(F.size(F.filter("images", lambda i: (i["width_attr"] == "") | (i["height_attr"] == "")))),
         ),
-        ("Images", "Image sources", _shown(cap_list(_sorted(urls(n_links + 1, n_images))), True)),
+        ("Images", "Image sources", _shown(cap_list(_sorted(urls(n_links + 1, n_images))), True), _full(_sorted(urls(n_links + 1, n_images)))),
         ("Schema", "Schema types", _shown(schema_types(c("schemas")), True)),
         ("Schema", "Invalid JSON-LD", _shown(F.size(F.filter("schemas", lambda s: ~s["valid"])))),
         ("Hreflang", "Hreflang count", _shown(F.size("hreflang"))),
-        ("Hreflang", "Declarations", _shown(cap_list(declared), True)),
+        ("Hreflang", "Declarations", _shown(cap_list(declared), True), _full(declared)),
         ("Headers", "X-Robots-Tag", _shown(meta("x_robots"), True)),
         ("Headers", "Content-Type", _shown(meta("content_type"), True)),
         ("Headers", "Content-Language", _shown(meta("content_language"), True)),
@@ -118,7 +123,9 @@ def _cells(has_headers: bool, has_meta: bool) -> Column:
         ("Issues", "Total issues", _shown(F.size("issues"))),
         ("Issues", "Issue IDs", _shown(_sorted(F.transform("issues", lambda i: i["id"])), True)),
     ]
-    return F.array(*[F.struct(F.lit(g).alias("category"), F.lit(f).alias("field"), v.alias("value")) for g, f, v in rows])
+    return F.array(*[
+        F.struct(F.lit(g).alias("category"), F.lit(f).alias("field"), v.alias("value"), (full[0] if full else v).alias("full")) for g, f, v, *full in rows
+    ])
 
 
 def compare_summary(reports: DataFrame) -> DataFrame:
@@ -136,7 +143,7 @@ def compare_pages(summaries: DataFrame, pairs: DataFrame) -> DataFrame:
     rows = both.select("pair_id", F.explode(F.arrays_zip("l", "r")).alias("z"))
     return rows.select(
         "pair_id", "z.l.category", "z.l.field", F.col("z.l.value").alias("left"), F.col("z.r.value").alias("right"),
-        (F.col("z.l.value") == F.col("z.r.value")).alias("equal"),
+        (F.col("z.l.full") == F.col("z.r.full")).alias("equal"),
     )
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..session import checkpoint_dir
+from ..session import stored
 
 MAX_DEPTH = 3
 MAX_URLS = 250
@@ -20,10 +22,10 @@ def clamp_int(value: Column, default: int, low: int, high: int) -> Column:
 
 
 def crawl_options(url_limit=None, depth_limit=None, same_host: bool = True) -> dict:
-    """Options with defaults; limits are parameters here, not safety caps."""
+    """Options with defaults; without a limit everything reachable is crawled."""
     return {
-        "url_limit": 100 if url_limit is None else max(1, round(url_limit)),
-        "depth_limit": 2 if depth_limit is None else max(0, round(depth_limit)),
+        "url_limit": None if url_limit is None else max(1, round(url_limit)),
+        "depth_limit": None if depth_limit is None else max(0, round(depth_limit)),
         "same_host": same_host,
     }
 
@@ -48,22 +50,23 @@ def next_frontier(candidates: DataFrame, seen: DataFrame, remaining: int | None)
 
 
 def crawl(
-    edges: DataFrame, seeds: DataFrame, depth_limit: int = 2, url_limit: int | None = None, known: DataFrame | None = None
+    edges: DataFrame, seeds: DataFrame, depth_limit: int | None = 2, url_limit: int | None = None, known: DataFrame | None = None
 ) -> DataFrame:
     """``url, source, depth, rank`` of every URL reached from ``seeds`` (``url``).
 
-    ``edges``: ``source, url, idx``, distinct. One join per level. Each level is
-    checkpointed to shared storage: later levels read it instead of recomputing, also
-    after an executor is lost. ``known`` limits expansion to URLs that have a page.
+    ``edges``: ``source, url, idx``, distinct. One join per level, until nothing new is
+    found or ``depth_limit`` is reached. Edges and levels are written to shared storage:
+    pages are parsed once, and later levels read what earlier ones found, also after an
+    executor is lost. ``known`` limits expansion to URLs that have a page.
     """
-    checkpoint_dir(edges.sparkSession)
+    edges = stored(edges, "edges")
     first = seeds.select("url").distinct()
     level = first.select("url", F.lit("").alias("source"), F.lit(0).alias("depth"), F.lit("").alias("rank"))
     if url_limit is not None:
         level = level.orderBy("url").limit(url_limit)
-    level = level.withColumn("rank", F.sha2("url", 256)).checkpoint()
+    level = stored(level.withColumn("rank", F.sha2("url", 256)), "crawl")
     seen, used = level, level.count() if url_limit is not None else 0
-    for depth in range(1, depth_limit + 1):
+    for depth in itertools.count(1) if depth_limit is None else range(1, depth_limit + 1):
         remaining = None if url_limit is None else url_limit - used
         if remaining == 0:
             break
@@ -73,7 +76,7 @@ def crawl(
             found = found.join(known.select("url"), "url", "left_semi")
         fresh = next_frontier(found, seen, remaining)
         order = F.concat_ws("/", F.col("rank"), F.lpad(F.col("idx").cast("string"), 8, "0"))
-        level = fresh.select("url", "source", F.lit(depth).alias("depth"), order.alias("rank")).checkpoint()
+        level = stored(fresh.select("url", "source", F.lit(depth).alias("depth"), order.alias("rank")), "crawl")
         count = level.count() if url_limit is not None else (0 if level.isEmpty() else 1)
         if count == 0:
             break

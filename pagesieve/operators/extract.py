@@ -410,9 +410,9 @@ def extract_facts(pages: DataFrame, *fields: str) -> DataFrame:
 
 
 def head_signals(pages: DataFrame) -> DataFrame:
-    """Canonical, hreflang and robots of the head alone; text after ``</head>`` is never read."""
+    """Canonical, hreflang and robots of the head alone; text after ``</head>`` is never read, a page without it is read whole."""
     head = F.regexp_extract(F.col("html"), r"(?is)^(.*?</head)\s*>", 1)
-    source = F.when(head == "", F.left(F.col("html"), F.lit(2 * 1024 * 1024))).otherwise(head)
+    source = F.when(head == "", F.col("html")).otherwise(head)
     base = F.col("base")
     tags = lambda name: F.regexp_extract_all(F.col("head"), F.lit(rf"(?i)<{name}\b[^>]*>"), F.lit(0))
     canon = F.filter(tags("link"), lambda t: F.array_contains(_rel(t), "canonical") & (H.attr_raw(t, "href") != ""))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..functions.core import clean, keep_true, str_array
 
-MAX_PROFILES = 200
 # Thresholds: key, default, minimum, maximum, whole number, label (fixed values).
 THRESHOLDS = [
     ("title_min", 15, 0, 500, True, "Title minimum"),
@@ -119,11 +118,11 @@ def normalize_hreflang_value(value: Column) -> Column:
     return F.when((v == "x-default") | v.rlike(r"^[a-z]{2,8}(?:-[a-z0-9]{1,8})*$"), v).otherwise(F.lit(""))
 
 
-def _unique_sorted(values: Column, normalize, limit: int) -> Column:
+def _unique_sorted(values: Column, normalize) -> Column:
     kept = F.filter(F.transform(F.coalesce(values, str_array([])), normalize), lambda v: v != "")
     lowered = F.transform(kept, lambda v: F.lower(v))
     first = F.filter(kept, lambda v, i: F.array_position(lowered, F.lower(v)) == i + 1)
-    return F.array_sort(F.slice(first, 1, limit))
+    return F.array_sort(first)
 
 
 def normalize_profiles(profiles: DataFrame) -> DataFrame:
@@ -133,10 +132,10 @@ def normalize_profiles(profiles: DataFrame) -> DataFrame:
         clean(F.col("label"), 80).alias("label"),
         F.coalesce("enabled", F.lit(True)).alias("enabled"),
         "rules",
-        _unique_sorted(F.col("schema_types"), normalize_schema_type, 50).alias("schema_types"),
-        _unique_sorted(F.col("hreflang"), normalize_hreflang_value, 50).alias("hreflang"),
+        _unique_sorted(F.col("schema_types"), normalize_schema_type).alias("schema_types"),
+        _unique_sorted(F.col("hreflang"), normalize_hreflang_value).alias("hreflang"),
         _unique_sorted(
-            F.col("ignore_checks"), lambda v: F.when(v.rlike(RULE_ID), v).otherwise(F.lit("")), 100
+            F.col("ignore_checks"), lambda v: F.when(v.rlike(RULE_ID), v).otherwise(F.lit(""))
         ).alias("ignore_checks"),
     ).where("hostname <> ''")
 
@@ -166,14 +165,14 @@ def validate_profiles(profiles: DataFrame) -> DataFrame:
     return profiles.select("hostname", F.explode(errors).alias("error"))
 
 
-def upsert_profiles(current: DataFrame, incoming: DataFrame, limit: int = MAX_PROFILES) -> DataFrame:
-    """Incoming profiles replace those of the same host; the first ``limit`` hosts by name are kept."""
+def upsert_profiles(current: DataFrame, incoming: DataFrame, limit: int | None = None) -> DataFrame:
+    """Incoming profiles replace those of the same host; with ``limit`` only the first hosts by name are kept."""
     both = normalize_profiles(current).withColumn("turn", F.lit(0)).unionByName(
         normalize_profiles(incoming).withColumn("turn", F.lit(1))
     )
     newest = Window.partitionBy("hostname").orderBy(F.desc("turn"))
     latest = both.withColumn("rn", F.row_number().over(newest)).where("rn = 1").drop("rn", "turn")
-    return latest.orderBy("hostname").limit(limit)
+    return latest if limit is None else latest.orderBy("hostname").limit(limit)
 
 
 def remove_profiles(current: DataFrame, hosts: DataFrame) -> DataFrame:
@@ -191,13 +190,12 @@ def profile_summary(profiles: DataFrame) -> DataFrame:
 def resolve_rules(pages: DataFrame, profiles: DataFrame, base: dict | None = None, host: str = "host") -> DataFrame:
     """Add ``profile`` and effective ``rules``: an enabled profile of the exact host overrides what it sets.
 
-    Profiles number at most ``MAX_PROFILES`` after :func:`upsert_profiles`, so the
-    dimension is limited to that many rows before it is broadcast.
+    One row a host on the right: Spark broadcasts it while it is small and splits a hot host otherwise.
     """
     b = rules_literal(base or DEFAULT_RULES)
-    dim = normalize_profiles(profiles).orderBy("hostname").limit(MAX_PROFILES)
+    dim = normalize_profiles(profiles)
     dim = dim.where("enabled").select(F.col("hostname").alias(host), F.struct(*dim.columns).alias("profile"))
-    joined = pages.join(F.broadcast(dim), host, "left")
+    joined = pages.join(dim, host, "left")
     p = F.col("profile")["rules"]
     merged = _struct(
         {

@@ -25,7 +25,6 @@ NODE = (
     "struct<ord:int,types:array<string>,fields:map<string,array<string>>,kids:map<string,array<int>>,offered:boolean>"
 )
 BLOCK = f"struct<valid:boolean,types:array<string>,nodes:array<{NODE}>>"
-MAX_NODES = 5000
 # Node properties the audits read (fixed values).
 SINGLE = [
     "name", "sku", "gtin14", "gtin13", "gtin12", "gtin8", "gtin", "url", "@id", "price", "lowPrice", "highPrice",
@@ -86,7 +85,7 @@ def _block(raw: str) -> dict:
         root = json.loads(raw, parse_constant=_no_constant)
     except (ValueError, RecursionError):
         return {"valid": False, "types": [], "nodes": []}
-    found, types, seen, stack = [], set(), 0, [root]
+    found, types, stack = [], set(), [root]
     while stack:
         value = stack.pop()
         if isinstance(value, dict):
@@ -96,8 +95,7 @@ def _block(raw: str) -> dict:
             children = value
         else:
             continue
-        seen += 1
-        if isinstance(value, dict) and seen <= MAX_NODES:
+        if isinstance(value, dict):
             found.append(value)
         stack.extend(reversed(children))
     order = {id(node): i for i, node in enumerate(found)}
@@ -216,17 +214,21 @@ def _linked(all_nodes: Column, owners: Column, name: str) -> Column:
     refs = F.flatten(
         F.transform(owners, lambda o: F.transform(_kids(o, name), lambda k: F.struct(o["block"].alias("b"), k.alias("k"))))
     )
-    hits = F.transform(
-        refs, lambda r: F.get(F.filter(all_nodes, lambda n: (n["block"] == r["b"]) & (n["ord"] == r["k"])), F.lit(0))
-    )
-    return F.array_distinct(F.transform(hits, lambda h: F.struct(h["block"].alias("b"), h["ord"].alias("k"))))
+    return F.array_distinct(refs)
 
 
 def _by_key(keys: Column) -> Column:
     """Nodes named by (block, ord) keys, in key order."""
-    return F.transform(
-        keys, lambda r: F.get(F.filter("nodes", lambda n: (n["block"] == r["b"]) & (n["ord"] == r["k"])), F.lit(0))
-    )
+    return let(_blocks(F.col("nodes")), lambda blocks: F.transform(keys, lambda r: _at(F.col("nodes"), blocks, r["b"], r["k"])))
+
+
+def _blocks(nodes: Column) -> Column:
+    return F.transform(nodes, lambda n: n["block"])
+
+
+def _at(nodes: Column, blocks: Column, block: Column, ord_: Column) -> Column:
+    """Node by its place: nodes stand block by block in order of ``ord``, which counts from 0."""
+    return F.get(nodes, (F.array_position(blocks, block) - 1 + ord_).cast("int"))
 
 
 @per_session
@@ -306,24 +308,24 @@ def product_fields(facts: DataFrame) -> DataFrame:
 def _listing_columns() -> dict[str, Column]:
     nodes, base = F.col("nodes"), F.col("base")
 
-    def candidate(n: Column) -> Column:
+    def candidate(n: Column, blocks: Column) -> Column:
         own = F.coalesce(F.nullif(field(n, "url"), F.lit("")), field(n, "@id"))
         refs = _kids(n, "item")
-        item = F.get(F.filter(nodes, lambda m: (m["block"] == n["block"]) & F.array_contains(refs, m["ord"])), F.lit(0))
+        item = F.when(F.size(refs) > 0, _at(nodes, blocks, n["block"], F.array_min(refs)))
         linked = F.coalesce(F.nullif(field(item, "url"), F.lit("")), F.nullif(field(item, "@id"), F.lit("")))
         return F.array(
             F.when(has_type(n, "product"), own), F.when(has_type(n, "listitem"), F.coalesce(linked, own))
         )
 
-    from_schema = F.filter(F.flatten(F.transform(nodes, candidate)), lambda u: F.coalesce(u, F.lit("")) != "")
+    from_schema = F.filter(F.flatten(let(_blocks(nodes), lambda b: F.transform(nodes, lambda n: candidate(n, b)))), lambda u: F.coalesce(u, F.lit("")) != "")
     from_markup = F.transform(F.col("signals")["listing_refs"], lambda r: U.absolute_url(r, base))
     urls = F.filter(F.transform(F.concat(from_schema, from_markup), lambda u: U.http_url(u)), lambda u: u != "")
     return {
-        "listing": F.slice(F.array_distinct(urls), 1, 500),
+        "listing": F.array_distinct(urls),
         "item_lists": F.size(F.filter(nodes, lambda n: has_type(n, "itemlist"))),
     }
 
 
 def listing_items(facts: DataFrame) -> DataFrame:
-    """Distinct listing URLs per page: products, list items, then microdata links, first 500 as the audit reads them."""
+    """Distinct listing URLs per page: products, list items, then microdata links."""
     return settled(facts, _listing_columns())

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..functions.core import keep_true, let, settled
 from ..functions.html import decode_entities
-from ..session import checkpoint_dir
+from ..session import stored
 
 _NS = r"(?:[A-Za-z0-9_\-]+:)?"
 
@@ -54,24 +56,25 @@ def sitemap_warnings(docs: DataFrame) -> DataFrame:
     return root.unionByName(rows.select("sitemap_url", noun.alias("message")))
 
 
-def sitemap_expand(docs: DataFrame, seeds: DataFrame, max_levels: int = 10) -> DataFrame:
+def sitemap_expand(docs: DataFrame, seeds: DataFrame, max_levels: int | None = None) -> DataFrame:
     """All sitemap documents reachable from the seeds of each host: ``host, sitemap_url, level``.
 
-    One join per level of nesting. Each level is checkpointed, so lineage stays
-    short and a lost executor never replays earlier levels.
+    One join per level of nesting until nothing new is found (or ``max_levels``); documents
+    seen before are not followed again, so cycles end. Each level is written to the shared
+    folder: lineage stays short and a lost executor never replays earlier levels.
     """
-    checkpoint_dir(docs.sparkSession)
     index = sitemap_entries(docs).where("type = 'sitemapindex'")
     edges = index.select(U.normalize_url(F.col("sitemap_url")).alias("parent"), U.normalize_url(F.col("loc")).alias("child")).distinct()
-    edges = edges.checkpoint()
+    edges = stored(edges, "sitemap-edges")
     known = docs.select(U.normalize_url(F.col("sitemap_url")).alias("sitemap_url")).distinct()
     level = seeds.select("host", U.normalize_url(F.col("sitemap")).alias("sitemap_url")).distinct()
-    level = level.join(known, "sitemap_url", "left_semi").withColumn("level", F.lit(0)).select("host", "sitemap_url", "level").checkpoint()
+    level = level.join(known, "sitemap_url", "left_semi").withColumn("level", F.lit(0)).select("host", "sitemap_url", "level")
+    level = stored(level, "sitemaps")
     seen = level
-    for depth in range(1, max_levels + 1):
+    for depth in itertools.count(1) if max_levels is None else range(1, max_levels + 1):
         found = level.join(edges, F.col("sitemap_url") == F.col("parent")).select("host", F.col("child").alias("sitemap_url"))
         found = found.distinct().join(known, "sitemap_url", "left_semi").join(seen, ["host", "sitemap_url"], "left_anti")
-        level = found.withColumn("level", F.lit(depth)).select("host", "sitemap_url", "level").checkpoint()
+        level = stored(found.withColumn("level", F.lit(depth)).select("host", "sitemap_url", "level"), "sitemaps")
         if level.isEmpty():
             break
         seen = seen.unionByName(level)

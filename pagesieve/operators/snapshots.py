@@ -11,7 +11,6 @@ from .schema import schema_types
 
 KEEP = 50
 MAX_NAME = 120
-OUTLINE_LIMIT = 300
 
 
 def sorted_unique(values: Column) -> Column:
@@ -52,7 +51,7 @@ def make_snapshots(reports: DataFrame) -> DataFrame:
         "canonical": c("canonical.href"),
         "robots": sorted_unique(F.transform("robots", lambda r: r["content"])),
         "h1": F.transform(level(1), lambda h: h["text"]),
-        "outline": F.transform(F.slice("headings", 1, OUTLINE_LIMIT), lambda h: F.concat_ws(":", h["level"].cast("string"), h["text"])),
+        "outline": F.transform("headings", lambda h: F.concat_ws(":", h["level"].cast("string"), h["text"])),
         "heading_count": F.size("headings"),
         "links_total": F.size("links"),
         "links_internal": internal,
@@ -68,7 +67,7 @@ def make_snapshots(reports: DataFrame) -> DataFrame:
         "schema_types": schema_types(c("schemas")),
         "schema_invalid": F.size(F.filter("schemas", lambda s: ~s["valid"])),
         "hreflang": F.array_sort(
-            F.transform(F.slice("hreflang", 1, OUTLINE_LIMIT), lambda h: F.concat_ws("|", F.lower(h["lang"]), h["ref"]))
+            F.transform("hreflang", lambda h: F.concat_ws("|", F.lower(h["lang"]), h["ref"]))
         ),
         "status": c("status") if "status" in have else F.lit(None).cast("int"),
         "x_robots": values("x_robots"),
@@ -116,7 +115,7 @@ def sanitize_snapshots(raw: DataFrame) -> DataFrame:
     name = clean(c("name"), MAX_NAME)
     rows = rows.withColumns(
         {
-            "id": F.coalesce(F.nullif(F.left(F.trim(F.coalesce("id", F.lit(""))), F.lit(180)), F.lit("")), fallback),
+            "id": F.coalesce(F.nullif(F.trim(F.coalesce("id", F.lit(""))), F.lit("")), fallback),
             "name": F.when(name == "", "Snapshot").otherwise(name),
         }
     )

@@ -11,7 +11,7 @@ from ..operators import indexability as N
 from ..operators import issues as I
 from ..operators import pagetype as T
 from ..operators import schema as S
-from ..session import checkpoint_dir
+from ..session import stored as _stored
 from ..sources.fetch import latest, response_meta
 
 
@@ -59,5 +59,4 @@ def stored(df: DataFrame) -> DataFrame:
     Use it where a costly table feeds several branches: pages are parsed once, and a
     lost executor re-reads files instead of recomputing.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    return _stored(df, "stored")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str | int = "*", partitions: int = 8, app: str = "pagesieve") -> SparkSession:
@@ -16,6 +17,7 @@ def local_session(cpus: str | int = "*", partitions: int = 8, app: str = "pagesi
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.pagesieve.readPartitions", str(partitions))
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("PAGESIEVE_DRIVER_MEMORY", "8g"))
@@ -28,12 +30,24 @@ def local_session(cpus: str | int = "*", partitions: int = 8, app: str = "pagesi
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder the cluster names; a temporary one only where none is set (tests)."""
+    """Shared folder the cluster names; a temporary one only in local mode where none is set (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     return named
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write a table to the shared folder as Parquet and read it back.
+
+    It is computed once, later reads prune columns, and a lost executor re-reads files.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..operators.rules import CONFIG_SCHEMA, normalize_rules
 
-MAX_HTML_BYTES = 2 * 1024 * 1024
 HTML_TYPE = r"(?i)^\s*(?:text/html|application/xhtml\+xml)\b"
 # Export columns: field and heading (fixed values).
 CRAWL_COLUMNS = [
@@ -29,9 +28,9 @@ AUDIT_COLUMNS = [
 SNAPSHOT_FILE = "history struct<version:int,pages:map<string,struct<baseline_id:string,snapshots:array<struct<id:string,name:string,created_at:string,snapshot:string>>>>>"
 
 
-def usable_pages(pages: DataFrame, max_bytes: int = MAX_HTML_BYTES) -> DataFrame:
-    """Pages with an HTML-like content type (if known) and at most ``max_bytes`` of source."""
-    rows = pages.where(F.octet_length("html") <= max_bytes)
+def usable_pages(pages: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Pages with an HTML-like content type (if known) and, where a limit is set, at most ``max_bytes`` of source."""
+    rows = pages if max_bytes is None else pages.where(F.octet_length("html") <= max_bytes)
     if "content_type" in pages.columns:
         kind = F.coalesce("content_type", F.lit(""))
         rows = rows.where((kind == "") | kind.rlike(HTML_TYPE))
@@ -39,16 +38,16 @@ def usable_pages(pages: DataFrame, max_bytes: int = MAX_HTML_BYTES) -> DataFrame
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when the input has fewer splits than the cluster has cores.
+    """Deal the rows to ``spark.pagesieve.readPartitions`` tasks, where that is set.
 
-    Parsing is narrow, so a corpus in one small file would otherwise be parsed by one
-    task. A corpus with enough splits is returned as it is: no shuffle of page sources.
+    For a corpus in a file or two, whose parsing one task would do alone. Leave it unset for
+    a corpus in many files: they are read as they lie, without a shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    n = df.sparkSession.conf.get("spark.pagesieve.readPartitions", None)
+    return df.repartition(int(n)) if n else df
 
 
-def read_pages(spark: SparkSession, path: str, max_bytes: int = MAX_HTML_BYTES) -> DataFrame:
+def read_pages(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
     return spread(usable_pages(spark.read.parquet(path), max_bytes))
 
 

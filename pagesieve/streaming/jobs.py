@@ -14,67 +14,71 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.regression import regressions
-from ..operators.snapshots import append_snapshots
+from ..operators.snapshots import newest
 from ..session import checkpoint_dir
 
 # Executors need not have this package installed: the state function travels with the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHAIN = "request_id string, final_url string, status int, hops int, chain string"
-STATE = "hops string"
+STATE = "open string, waiting string"
 
 
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process what is available, write it under the shared folder, return the result table."""
+    """Process what is available, write it under the shared folder, return the result table.
+
+    In the other modes each batch holds current totals, and the newest batch is returned.
+    """
     spark = stream.sparkSession
     root = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", f"{root}/rows").start()
     else:
-        # Each batch holds current totals; the newest batch folder is the answer.
-        query = writer.foreachBatch(
-            lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{root}/rows/batch_id={n}")
-        ).start()
+        query = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{root}/rows/batch_id={n}")).start()
     query.awaitTermination()
     if mode == "append":
         return spark.read.schema(stream.schema).parquet(f"{root}/rows")
-    return spark.read.parquet(f"{root}/rows").drop("batch_id")
+    rows = spark.read.parquet(f"{root}/rows")
+    newest = rows.agg(F.max("batch_id")).first()[0]
+    return rows.where(F.col("batch_id") == F.lit(newest)).drop("batch_id")
 
 
 def _assemble(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    events = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    hops = json.loads(state.get[0]) if state.exists else []
+    """Hold a request's events until the watermark has passed them, then read them in order of time."""
+    hops, waiting = (json.loads(x) for x in state.get) if state.exists else ([], [])
+    for b in () if state.hasTimedOut else batches:
+        waiting += [[int(e.ts.value // 1000), int(e.event_id), e.kind, e.url, e.target, int(e.status)] for e in b.itertuples()]
+    mark = state.getCurrentWatermarkMs()
+    waiting.sort(key=lambda e: e[:2])
+    ready = [e for e in waiting if e[0] // 1000 + 1 < mark]
+    waiting = waiting[len(ready):]
     done = []
-    for e in events.itertuples():
-        if e.kind == "request":
+    for _, _, kind, url, target, status in ready:
+        if kind == "redirect":
+            hops.append([url, target, status])
+        elif kind == "headers":
+            done.append((key[0], url, status, len(hops), " > ".join([h[0] for h in hops] + [url])))
+        elif kind in ("complete", "error"):
             hops = []
-        elif e.kind == "redirect":
-            hops.append([e.url, e.target, int(e.status)])
-        elif e.kind == "headers":
-            done.append((key[0], e.url, int(e.status), len(hops), " > ".join([h[0] for h in hops] + [e.url])))
-        else:
-            hops = None
-            break
-    if hops is None:
-        if state.exists:
-            state.remove()
-    else:
-        state.update((json.dumps(hops),))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(events["ts"].max().timestamp() * 1000) + 600_000))
+    if waiting or hops:
+        state.update((json.dumps(hops), json.dumps(waiting)))
+        if waiting:
+            state.setTimeoutTimestamp(max(mark + 1, waiting[0][0] // 1000 + 1))
+    elif state.exists:
+        state.remove()
     if done:
         yield pd.DataFrame(done, columns=["request_id", "final_url", "status", "hops", "chain"])
 
 
 def redirect_chains(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """One chain per request when its response headers arrive.
+    """One chain per response: the redirects of its request since the last completion or error.
 
     ``events``: ``request_id, event_id, ts, kind (request|redirect|headers|complete|error),
-    url, target, status``. State is one short hop list per open request; it goes on
-    completion, on error or when the event-time timer fires.
+    url, target, status``. Events count in order of (ts, event_id) once the watermark is
+    past them, so batch borders and late arrival within ``delay`` do not change the result.
+    State is the open hops of a request and its events not yet passed; both are gone when
+    the request completes.
     """
     keyed = events.withWatermark("ts", delay).groupBy("request_id")
     return keyed.applyInPandasWithState(_assemble, CHAIN, STATE, "append", GroupStateTimeout.EventTimeTimeout)
@@ -106,19 +110,18 @@ def check_progress(results: DataFrame) -> DataFrame:
     )
 
 
-def stream_regressions(snapshots: DataFrame, baseline: DataFrame, target: str, keep: int = 50):
+def stream_regressions(snapshots: DataFrame, baseline: DataFrame, target: str):
     """Start a query that compares arriving snapshots with a baseline and keeps the history.
 
-    Per batch: append to the history (newest ``keep`` per URL) and write the changes
-    against the baseline. Each batch writes a folder of its own, so a replayed batch
-    overwrites itself.
+    Per batch, the arriving rows are added to the history and the changes against the
+    baseline are written, each into a folder of the batch's own, so a replayed batch
+    overwrites itself. Nothing older is read or rewritten; :func:`stream_history` applies
+    replacement and retention.
     """
-    spark = snapshots.sparkSession
 
     def step(batch: DataFrame, n: int) -> None:
         rows = batch.withColumn("created_at", F.col("created_at").cast("timestamp"))
-        previous = _history(spark, target, n, rows)
-        append_snapshots(previous, rows, keep).write.mode("overwrite").parquet(f"{target}/history/{n}")
+        rows.write.mode("overwrite").parquet(f"{target}/history/batch={n}")
         latest = rows.groupBy("url").agg(F.max_by("snapshot", F.struct("created_at", "id")).alias("snapshot"))
         regressions(baseline, latest).withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{target}/changes/{n}")
 
@@ -130,7 +133,8 @@ def stream_regressions(snapshots: DataFrame, baseline: DataFrame, target: str, k
     )
 
 
-def _history(spark: SparkSession, target: str, n: int, like: DataFrame) -> DataFrame:
-    if n == 0:
-        return like.limit(0)
-    return spark.read.schema(like.schema).parquet(f"{target}/history/{n - 1}")
+def stream_history(spark: SparkSession, target: str, keep: int = 50) -> DataFrame:
+    """History after the batches so far: the last row of each snapshot id, the newest ``keep`` per URL."""
+    rows = spark.read.parquet(f"{target}/history")
+    last = rows.groupBy("url", "id").agg(F.max_by(F.struct("name", "created_at", "snapshot"), "batch").alias("f"))
+    return newest(last.select("url", "id", "f.*"), keep)
