@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import extract as X
-from .registry import query, table
+from .registry import keys, query, table
 from .seed import BASE_SQL, SEED_SQL, seeded_pages
 
 _NAV = """
@@ -336,3 +336,31 @@ dr AS (
 @query("dom_resources", f"WITH {RESOURCES_SQL} SELECT p AS page_id, url, kind, source, active FROM dr")
 def dom_resources(spark, sf_dir):
     return X.dom_resources(seeded_pages(spark, sf_dir)).drop("page_url")
+
+
+# --- markup that is no markup, and references no browser takes at their word ---
+
+HOSTILE = [
+    """<html lang="en"><head><title>T&#x110000;&#xD800;&#0;&#99999999;&#128; &copy p""",
+    """ &check; &unknown; &amp;lt; &#65 &#x42;</title></head><body><h1>Real """,
+    """</h1><textarea><a href="/x">no</a><h1>no</h1></textarea><xmp><a href="/y">no</a></xmp><iframe src="/f"><a href="/z">no</a></iframe>"""
+    """<template><a href="/t">no</a><img src="/t.png"><template><h2>no</h2></template><h1>no</h1></template><noscript><a href="/n">no</a><img src="/n.png"></noscript>"""
+    """</template><!-- <a href="/c">no</a> --><script>"<a href='/s'>no</a>"</script><a href="/real?a=1&copy=2&amp;b=&#x80;">yes """,
+    """</a><img src="/real.png" alt=""></body></html>""",
+]
+
+
+@query(
+    "hostile_pages",
+    """SELECT page_id, 'T' || repeat(chr(65533), 4) || chr(8364) || ' ' || chr(169) || ' p' || page_id || ' ' || chr(10003) || ' &unknown; &lt; A B' AS title, 1 AS links,
+         '/real?a=1&copy=2&b=' || chr(8364) AS href, 'yes ' || page_id AS label, 1 AS headings, 'Real ' || page_id AS heading, 1 AS images, '/real.png' AS src FROM pages""",
+)
+def hostile_pages(spark, sf_dir):
+    p = F.col("page_id").cast("string")
+    html = F.concat(*[x for piece in HOSTILE[:-1] for x in (F.lit(piece), p)], F.lit(HOSTILE[-1]))
+    facts = X.extract_facts(keys(spark, sf_dir).withColumn("html", html), "title", "links", "headings", "images")
+    first = lambda c, f: F.get(F.col(c), F.lit(0))[f]
+    return facts.select(
+        "page_id", "title", F.size("links").alias("links"), first("links", "raw_href").alias("href"), first("links", "label").alias("label"),
+        F.size("headings").alias("headings"), first("headings", "text").alias("heading"), F.size("images").alias("images"), first("images", "src").alias("src"),
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import compare as CP
@@ -10,7 +12,8 @@ from ..operators import regression as R
 from ..operators import security as SEC
 from ..operators import snapshots as SN
 from ..plans.audit import page_reports, stored
-from ..sources.io import AUDIT_COLUMNS, CRAWL_COLUMNS, _flat, issue_text, usable_pages
+from ..session import checkpoint_dir
+from ..sources.io import AUDIT_COLUMNS, CRAWL_COLUMNS, issue_text, usable_pages, write_audit_csv, write_crawl_csv
 from .audits import AUDIT_SQL, NODES_SQL, _rows
 from .facts import LINKS_SQL
 from .pages import CHECKS, ISSUES_SQL, SCORES, VERDICT
@@ -194,33 +197,42 @@ def sanitize_snapshots(spark, sf_dir):
 # --- regressions: odd and even lines of an order are two versions of a page ---
 
 
+HEADERS = ["csp", "hsts", "xfo", "referrer", "permissions", "xcto"]
+
+
 def versions(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem")
-    c, s = F.col, lambda v: v.alias("x")
-    zero = F.lit(0).cast("bigint")
-    none = F.array().cast("array<string>")
+    c, lit = F.col, F.lit
     n = F.count("*")
     agg = l.groupBy(F.col("l_orderkey").alias("o"), (F.col("l_linenumber") % 2).alias("v")).agg(
         n.alias("n"), F.min("l_suppkey").alias("supp"), F.sum("l_quantity").alias("q"), F.max("l_discount").alias("disc"), F.min("l_tax").alias("tax"),
         F.min("l_returnflag").alias("flag"), F.sum("l_linenumber").alias("ln"), F.min("l_linestatus").alias("ls"),
         F.count_if(F.col("l_discount") > 0.07).alias("hi"), F.count_if(F.col("l_tax") > 0.05).alias("taxed"),
     )
-    state = F.element_at(F.array(F.lit("present"), F.lit("review"), F.lit("missing")), (c("supp") % 3 + 1).cast("int"))
+    none = F.array().cast("array<string>")
+    mod = lambda k: (c("supp") % k).cast("string")
+    one = lambda tag, k: F.array(F.concat(lit(tag), mod(k)))
+    state = lambda i: F.element_at(F.array(lit("present"), lit("review"), lit("missing")), ((c("supp") + i) % 3 + 1).cast("int"))
+    old_images = c("supp") % 9 == 0
+    known = lambda v: F.when(~old_images, v)
     fields = {
-        "title": F.when(c("n") == 1, "").otherwise(F.concat(F.lit("T"), (c("supp") % 3).cast("string"))),
+        "title": F.when(c("n") == 1, "").otherwise(F.concat(lit("T"), mod(3))),
         "description": F.when(c("q") > 50, "").otherwise("d"),
         "canonical": F.when(c("disc") > 0.05, "c").otherwise(""),
-        "robots": F.when(c("tax") == 0, F.array(F.lit("noindex"))).otherwise(F.array(F.lit("index"))),
-        "h1": none, "outline": none, "links_total": zero, "links_checked": c("n"), "links_broken": c("hi"), "links_redirect": zero,
-        "images_missing_alt": c("taxed"), "images_missing_dimensions": zero, "images_oversized": zero, "images_checked": zero, "images_broken": c("hi"),
-        "schema_types": none, "schema_invalid": zero, "hreflang": none,
+        "robots": F.when(c("tax") == 0, F.array(lit("noindex"))).otherwise(F.array(lit("index"))),
+        "h1": F.when(c("supp") % 4 == 0, none).otherwise(one("H", 2)), "outline": F.when(c("disc") <= 0.08, one("1:H", 3)), "heading_count": c("n"),
+        "links_total": c("n"), "links_checked": c("n"), "links_broken": c("hi"), "links_redirect": c("taxed"),
+        "images_total": c("n"), "images_missing_alt": known(c("taxed")), "images_missing_dimensions": known(c("hi")), "images_oversized": known(c("ln")),
+        "images_checked": known(c("n")), "images_broken": known(c("hi")),
+        "schema_types": one("S", 2), "schema_invalid": c("hi"), "hreflang": F.when(c("supp") % 7 != 0, one("x|", 3)), "hreflang_count": c("n"),
         "status": F.when(c("flag") == "A", 200).when(c("flag") == "N", 404).otherwise(301),
-        "x_robots": none, "content_type": none, "content_language": none, "cache_control": none,
-        "request_count": c("n") * 12, "total_bytes": (c("q") * 10000).cast("bigint"), "known_sizes": c("n"), "third_party_requests": zero,
-        "third_party_bytes": zero, "dom_nodes": c("ln") * 60, "dom_depth": zero, "ttfb": F.lit(0.0), "load": F.lit(0.0),
-        "https": c("ls") == "O", "mixed_active": zero, "mixed_passive": c("taxed"),
-        "headers": F.create_map(F.lit("csp"), F.struct(state.alias("state"), F.lit("").alias("value"))),
-        "score": (100 - c("n") * 7), "verdict": F.when(c("tax") == 0, "Noindex").otherwise("Indexable"), "indexable": c("tax") != 0, "reasons": none,
+        "x_robots": F.when(c("taxed") > 1, F.array(lit("noindex"))).otherwise(none), "content_type": one("t", 2), "content_language": one("l", 3), "cache_control": one("a", 5),
+        "request_count": c("n") * 12, "total_bytes": (c("q") * 10000).cast("bigint"), "known_sizes": c("n"), "third_party_requests": c("n") * 5,
+        "third_party_bytes": (c("q") * 9000).cast("bigint"), "dom_nodes": c("ln") * 60, "dom_depth": c("n") * 3, "ttfb": c("q") * 30, "load": c("q") * 200,
+        "https": c("ls") == "O", "mixed_active": c("hi"), "mixed_passive": c("taxed"),
+        "headers": F.map_from_arrays(F.array(*map(lit, HEADERS)), F.array(*[F.struct(state(i).alias("state"), lit("").alias("value")) for i in range(len(HEADERS))])),
+        "score": (100 - c("n") * 7), "verdict": F.when(c("tax") == 0, "Noindex").otherwise("Indexable"), "indexable": c("tax") != 0,
+        "reasons": F.array(F.concat(lit("r"), c("flag"))),
     }
     rows = agg.select(
         F.concat(F.lit("https://shop.example.com/o/"), c("o").cast("string")).alias("url"), "v", F.struct(*[x.alias(k) for k, x in fields.items()]).alias("snapshot")
@@ -228,28 +240,69 @@ def versions(spark, sf_dir):
     return rows.where("v = 1").drop("v"), rows.where("v = 0").drop("v")
 
 
-REGRESSION_SQL = """
+def _change_sql() -> str:
+    """SELECTs of (o, id, direction, severity) over the pairs ``z`` of versions b and a."""
+    out = []
+
+    def add(id_, cond, direction="'changed'", severity="'info'"):
+        out.append(f"SELECT o, {id_ if id_.startswith(chr(39)) else repr(id_)} AS id, {direction} AS direction, {severity} AS severity FROM z WHERE {cond}")
+
+    def graded(id_, cond, worse, better="true", bad="warning", good="info"):
+        add(id_, cond, f"CASE WHEN {worse} THEN 'regression' WHEN {better} THEN 'improvement' ELSE 'changed' END", f"CASE WHEN {worse} THEN '{bad}' ELSE '{good}' END")
+
+    def counted(id_, f, bad, extra="true"):
+        graded(id_, f"a.{f} <> b.{f} AND {extra}", f"a.{f} > b.{f}", bad=bad)
+
+    images = "a.supp % 9 <> 0 AND b.supp % 9 <> 0"
+    graded("metadata.title", "a.title <> b.title", "a.title = ''", "b.title = ''")
+    graded("metadata.description", "a.description <> b.description", "a.description = ''")
+    graded("canonical.url", "a.canonical <> b.canonical", "a.canonical = ''", "false")
+    graded("indexability.robots", "a.ni <> b.ni", "a.ni", bad="critical")
+    graded("indexability.verdict", "a.ni <> b.ni", "a.ni", bad="critical", good="warning")
+    add("indexability.reasons", "a.flag <> b.flag")
+    graded("headings.h1", "a.h1 <> b.h1", "a.h1 = ''", "false")
+    add("headings.structure", "a.outline <> b.outline")
+    add("headings.count", "(a.outline IS NULL OR b.outline IS NULL) AND a.n <> b.n")
+    add("links.count", "a.n <> b.n")
+    counted("links.broken", "hi", "critical")
+    counted("links.redirect", "taxed", "warning")
+    counted("images.missingAlt", "taxed", "warning", images)
+    add("images.count", f"NOT ({images}) AND a.n <> b.n")
+    counted("images.missingDimensions", "hi", "warning", images)
+    counted("images.oversized", "ln", "warning", images)
+    counted("images.broken", "hi", "critical", images)
+    add("schema.types", "a.supp % 2 <> b.supp % 2")
+    counted("schema.invalid", "hi", "critical")
+    add("hreflang.entries", "a.hl <> b.hl", severity="'warning'")
+    add("hreflang.count", "(a.hl IS NULL OR b.hl IS NULL) AND a.n <> b.n")
+    graded("http.status", "a.status <> b.status", "b.status < 400 AND a.status >= 400", "b.status >= 400 AND a.status < 400", bad="critical")
+    graded("http.x-robots-tag", "(a.taxed > 1) <> (b.taxed > 1)", "a.taxed > 1", "false", bad="critical")
+    add("http.content-type", "a.supp % 2 <> b.supp % 2")
+    add("http.content-language", "a.supp % 3 <> b.supp % 3")
+    add("http.cache-control", "a.supp % 5 <> b.supp % 5")
+    metrics = [("request_count", "n * 12", 10), ("total_bytes", "q * 10000", 102400), ("third_party_requests", "n * 5", 5), ("third_party_bytes", "q * 9000", 102400),
+               ("dom_nodes", "ln * 60", 100), ("dom_depth", "n * 3", 5), ("ttfb", "q * 30", 100), ("load", "q * 200", 500)]
+    for id_, f, least in metrics:
+        x, y = (f"({v}.{f})::DOUBLE" for v in "ab")
+        graded(f"performance.{id_}", f"abs({x} - {y}) >= {least} AND abs({x} - {y}) / {y} >= 0.2", f"{x} > {y}")
+    graded("security.https", "a.https <> b.https", "b.https", bad="critical")
+    counted("security.mixed-active", "hi", "critical")
+    counted("security.mixed-passive", "taxed", "warning")
+    for i, key in enumerate(HEADERS):
+        x, y = (f"(2 - ({v}.supp + {i}) % 3)" for v in "ab")
+        graded(f"security.header.{key}", f"{x} <> {y}", f"{x} < {y}")
+    graded("audit.score", "a.n <> b.n", "a.n > b.n")
+    return "\n  UNION ALL ".join(out)
+
+
+REGRESSION_SQL = f"""
 g AS (SELECT l_orderkey AS o, l_linenumber % 2 AS v, count(*) AS n, min(l_suppkey) AS supp, sum(l_quantity) AS q, max(l_discount) AS disc, min(l_tax) AS tax, min(l_returnflag) AS flag, sum(l_linenumber) AS ln, min(l_linestatus) AS ls,
    count(*) FILTER (WHERE l_discount > 0.07) AS hi, count(*) FILTER (WHERE l_tax > 0.05) AS taxed FROM lineitem GROUP BY ALL),
-v AS (SELECT o, v, CASE WHEN n = 1 THEN '' ELSE 'T' || (supp % 3) END AS title, CASE WHEN q > 50 THEN '' ELSE 'd' END AS description, CASE WHEN disc > 0.05 THEN 'c' ELSE '' END AS canonical, tax = 0 AS ni,
-   CASE flag WHEN 'A' THEN 200 WHEN 'N' THEN 404 ELSE 301 END AS status, n * 12 AS req, (q * 10000)::BIGINT AS bytes, (ln * 60)::BIGINT AS dom, ls = 'O' AS https, hi, taxed, n, 2 - supp % 3 AS csp, 100 - n * 7 AS score FROM g),
+v AS (SELECT *, CASE WHEN n = 1 THEN '' ELSE 'T' || (supp % 3) END AS title, CASE WHEN q > 50 THEN '' ELSE 'd' END AS description, CASE WHEN disc > 0.05 THEN 'c' ELSE '' END AS canonical, tax = 0 AS ni,
+   CASE WHEN supp % 4 = 0 THEN '' ELSE 'H' || (supp % 2) END AS h1, CASE WHEN disc <= 0.08 THEN supp % 3 END AS outline, CASE WHEN supp % 7 <> 0 THEN supp % 3 END AS hl,
+   CASE flag WHEN 'A' THEN 200 WHEN 'N' THEN 404 ELSE 301 END AS status, ls = 'O' AS https FROM g),
 z AS (SELECT b.o, b, a FROM v b JOIN v a ON a.o = b.o AND a.v = 0 WHERE b.v = 1),
-ch AS (
-  SELECT o, 'metadata.title' AS id, CASE WHEN a.title = '' THEN 'regression' WHEN b.title = '' THEN 'improvement' ELSE 'changed' END AS direction, CASE WHEN a.title = '' THEN 'warning' ELSE 'info' END AS severity FROM z WHERE a.title <> b.title
-  UNION ALL SELECT o, 'metadata.description', CASE WHEN a.description = '' THEN 'regression' ELSE 'improvement' END, CASE WHEN a.description = '' THEN 'warning' ELSE 'info' END FROM z WHERE a.description <> b.description
-  UNION ALL SELECT o, 'canonical.url', CASE WHEN a.canonical = '' THEN 'regression' ELSE 'changed' END, CASE WHEN a.canonical = '' THEN 'warning' ELSE 'info' END FROM z WHERE a.canonical <> b.canonical
-  UNION ALL SELECT o, 'indexability.robots', CASE WHEN a.ni THEN 'regression' ELSE 'improvement' END, CASE WHEN a.ni THEN 'critical' ELSE 'info' END FROM z WHERE a.ni <> b.ni
-  UNION ALL SELECT o, 'indexability.verdict', CASE WHEN a.ni THEN 'regression' ELSE 'improvement' END, CASE WHEN a.ni THEN 'critical' ELSE 'warning' END FROM z WHERE a.ni <> b.ni
-  UNION ALL SELECT o, 'links.broken', CASE WHEN a.hi > b.hi THEN 'regression' ELSE 'improvement' END, CASE WHEN a.hi > b.hi THEN 'critical' ELSE 'info' END FROM z WHERE a.hi <> b.hi
-  UNION ALL SELECT o, 'images.missingAlt', CASE WHEN a.taxed > b.taxed THEN 'regression' ELSE 'improvement' END, CASE WHEN a.taxed > b.taxed THEN 'warning' ELSE 'info' END FROM z WHERE a.taxed <> b.taxed
-  UNION ALL SELECT o, 'security.mixed-passive', CASE WHEN a.taxed > b.taxed THEN 'regression' ELSE 'improvement' END, CASE WHEN a.taxed > b.taxed THEN 'warning' ELSE 'info' END FROM z WHERE a.taxed <> b.taxed
-  UNION ALL SELECT o, 'http.status', CASE WHEN b.status < 400 AND a.status >= 400 THEN 'regression' WHEN b.status >= 400 AND a.status < 400 THEN 'improvement' ELSE 'changed' END, CASE WHEN b.status < 400 AND a.status >= 400 THEN 'critical' ELSE 'info' END FROM z WHERE a.status <> b.status
-  UNION ALL SELECT o, 'performance.request_count', CASE WHEN a.req > b.req THEN 'regression' ELSE 'improvement' END, CASE WHEN a.req > b.req THEN 'warning' ELSE 'info' END FROM z WHERE abs(a.req - b.req) >= 10 AND abs(a.req - b.req) / b.req::DOUBLE >= 0.2
-  UNION ALL SELECT o, 'performance.total_bytes', CASE WHEN a.bytes > b.bytes THEN 'regression' ELSE 'improvement' END, CASE WHEN a.bytes > b.bytes THEN 'warning' ELSE 'info' END FROM z WHERE abs(a.bytes - b.bytes) >= 102400 AND abs(a.bytes - b.bytes) / b.bytes::DOUBLE >= 0.2
-  UNION ALL SELECT o, 'performance.dom_nodes', CASE WHEN a.dom > b.dom THEN 'regression' ELSE 'improvement' END, CASE WHEN a.dom > b.dom THEN 'warning' ELSE 'info' END FROM z WHERE abs(a.dom - b.dom) >= 100 AND abs(a.dom - b.dom) / b.dom::DOUBLE >= 0.2
-  UNION ALL SELECT o, 'security.https', CASE WHEN b.https THEN 'regression' ELSE 'improvement' END, CASE WHEN b.https THEN 'critical' ELSE 'info' END FROM z WHERE a.https <> b.https
-  UNION ALL SELECT o, 'security.header.csp', CASE WHEN a.csp < b.csp THEN 'regression' ELSE 'improvement' END, CASE WHEN a.csp < b.csp THEN 'warning' ELSE 'info' END FROM z WHERE a.csp <> b.csp
-  UNION ALL SELECT o, 'audit.score', CASE WHEN a.score < b.score THEN 'regression' ELSE 'improvement' END, CASE WHEN a.score < b.score THEN 'warning' ELSE 'info' END FROM z WHERE a.score <> b.score)"""
+ch AS ({_change_sql()})"""
 
 
 @query("regressions", f"WITH {REGRESSION_SQL} SELECT 'https://shop.example.com/o/' || o AS url, id, direction, severity FROM ch")
@@ -288,15 +341,37 @@ def issue_lines(spark, sf_dir):
     return rows.where("id = 'canonical.missing'").select("page_id", issue_text(rows).alias("line"))
 
 
-@query(
-    "crawl_csv",
-    f"""WITH {AUDIT_SQL} SELECT url AS "Final URL", status::VARCHAR AS "Status", redirected::VARCHAR AS "Redirected", title AS "Title", verdict AS "Indexability", score::VARCHAR AS "Score", n::VARCHAR AS "Issues" FROM ar""",
-)
+def _csv_sql(columns, own):
+    """All columns of a CSV file as text: those the audit rows have, '' for the rest."""
+    return ", ".join(f"coalesce({own[f]}, '') AS \"{h}\"" if f in own else f"'' AS \"{h}\"" for f, h in columns)
+
+
+_OWN = {"requested_url": "url", "url": "url", "status": "status::VARCHAR", "redirected": "redirected::VARCHAR", "title": "title", "indexability": "verdict",
+        "score": "score::VARCHAR", "critical": "critical::VARCHAR", "issue_count": "n::VARCHAR", "available": "'true'", "description": "description", "h1": "h1",
+        "canonical": "canonical", "robots": "robots", "warnings": "warning::VARCHAR"}
+# Columns of the files that other queries hold against SQL (audit_rows, duplicate_groups).
+_ELSEWHERE = ["page_type", "page_type_confidence", "page_traits", "h1_count", "link_count", "duplicate_title", "duplicate_description", "duplicate_h1"]
+
+
+def _written(spark, write, rows, columns, label):
+    """The file as read back from disk, without the columns checked elsewhere."""
+    path = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    write(rows, path)
+    back = spark.read.csv(path, header=True, quote='"', escape='"', lineSep="\r\n", multiLine=True, nullValue=None, emptyValue="")
+    if back.columns != [h for _, h in columns]:
+        raise ValueError(f"columns of the file: {back.columns}")
+    return back.select(*[F.coalesce(F.col(f"`{h}`"), F.lit("")).alias(h) for f, h in columns if f not in _ELSEWHERE])
+
+
+_CRAWL = [(f, h) for f, h in CRAWL_COLUMNS if f not in _ELSEWHERE]
+_AUDIT = [(f, h) for f, h in AUDIT_COLUMNS if f not in _ELSEWHERE]
+
+
+@query("crawl_csv", f"WITH {AUDIT_SQL} SELECT {_csv_sql(_CRAWL, _OWN | {'depth': chr(39) + '0' + chr(39)})} FROM ar")
 def crawl_csv(spark, sf_dir):
-    flat = _flat(_rows(spark, sf_dir), CRAWL_COLUMNS)
-    return flat.select("Final URL", "Status", "Redirected", "Title", "Indexability", "Score", "Issues")
+    return _written(spark, write_crawl_csv, _rows(spark, sf_dir), CRAWL_COLUMNS, "crawl-csv")
 
 
-@query("audit_csv", f"""WITH {AUDIT_SQL} SELECT url AS "URL", critical::VARCHAR AS "Critical", 'true' AS "Available" FROM ar""")
+@query("audit_csv", f"WITH {AUDIT_SQL} SELECT {_csv_sql(_AUDIT, _OWN)} FROM ar")
 def audit_csv(spark, sf_dir):
-    return _flat(_rows(spark, sf_dir), AUDIT_COLUMNS).select("URL", "Critical", "Available")
+    return _written(spark, write_audit_csv, _rows(spark, sf_dir), AUDIT_COLUMNS, "audit-csv")

@@ -95,7 +95,7 @@ def check_progress(spark, sf_dir):
     return jobs.run_to_table(jobs.check_progress(results), "complete")
 
 
-@query("stream_regressions", f"WITH {REGRESSION_SQL} SELECT 'https://shop.example.com/o/' || o AS url, id, direction FROM ch")
+@query("stream_regressions", f"WITH {REGRESSION_SQL} SELECT 'https://shop.example.com/o/' || o AS url, id, direction FROM ch UNION ALL SELECT 'https://shop.example.com/o/' || o, 'new', 'kept' FROM v WHERE v = 0")
 def stream_regressions(spark, sf_dir):
     before, after = versions(spark, sf_dir)
     root = f"{checkpoint_dir(spark)}/alerts-{uuid.uuid4().hex}"
@@ -104,4 +104,5 @@ def stream_regressions(spark, sf_dir):
     stream = spark.readStream.schema(spark.read.parquet(f"{root}/in").schema).parquet(f"{root}/in")
     jobs.stream_regressions(stream, before, root).awaitTermination()
     changes = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/changes")
-    return changes.select("url", "id", "direction")
+    kept = jobs.stream_history(spark, root).select("url", "id", F.lit("kept").alias("direction"))
+    return changes.select("url", "id", "direction").unionByName(kept)

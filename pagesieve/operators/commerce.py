@@ -69,9 +69,8 @@ def product_audit(df: DataFrame) -> DataFrame:
         out,
         {
             "base_variant": (F.size("variants") > 0) & (c("can_raw") != "") & _same(c("base_url"), c("can")),
-            "variant_urls": F.array_distinct(
-                F.filter(F.transform("products", lambda n: U.http_url(field(n, "url"))), lambda v: v != "")
-            ),
+            # Counted as written; brought to one form only to compare.
+            "variant_urls": F.array_distinct(F.filter(F.transform("products", lambda n: field(n, "url")), lambda v: v != "")),
             "out_of_stock": (F.size("states") > 0) & F.forall("states", lambda s: s.isin(OUT_OF_STOCK)),
             "discontinued": F.array_contains("states", "discontinued"),
         },
@@ -98,7 +97,7 @@ def product_audit(df: DataFrame) -> DataFrame:
         (has_variant & ~no_can & elsewhere, "product.variant.canonical_unexpected", "warning"),
         (
             (F.size("groups") > 0) & (F.size("variant_urls") > 1) & ~no_can
-            & F.array_contains("variant_urls", c("can")) & ~c("self_canonical"),
+            & F.exists("variant_urls", lambda u: _same(U.http_url(u), c("can"))) & ~c("self_canonical"),
             "product.variant.group_to_variant", "warning",
         ),
         (c("out_of_stock") & noindex, "product.stock.noindex", "warning"),

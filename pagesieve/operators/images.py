@@ -44,6 +44,26 @@ def bytes_label(value: Column) -> Column:
     )
 
 
+def transfer_label(value: Column) -> Column:
+    """Readable size of a transfer; zero or unknown is 0 B."""
+    n = F.coalesce(value, F.lit(0)).cast("double")
+    return (
+        F.when(n < 1024, F.concat(n.cast("bigint").cast("string"), F.lit(" B")))
+        .when(n < 1024 * 1024, F.concat(F.format_string("%.1f", n / 1024), F.lit(" KB")))
+        .otherwise(F.concat(F.format_string("%.2f", n / (1024 * 1024)), F.lit(" MB")))
+    )
+
+
+def ms_label(value: Column) -> Column:
+    """Readable duration: one decimal below 100 ms, none below a second, then seconds with two."""
+    n = F.coalesce(value, F.lit(0)).cast("double")
+    return (
+        F.when(n < 100, F.concat(F.format_string("%.1f", n), F.lit(" ms")))
+        .when(n < 1000, F.concat(F.format_string("%.0f", n), F.lit(" ms")))
+        .otherwise(F.concat(F.format_string("%.2f", n / 1000), F.lit(" s")))
+    )
+
+
 def content_range_total(value: Column) -> Column:
     """Total of a Content-Range header, 0 when unknown."""
     return F.coalesce(F.regexp_extract(F.coalesce(value, F.lit("")), r"/\s*(\d+)\s*$", 1).try_cast("bigint"), F.lit(0).cast("bigint"))

@@ -41,7 +41,8 @@ def _noindex(values: Column) -> Column:
 
 
 @per_session
-def _changes() -> Column:
+def _changes(fields: tuple[str, ...]) -> Column:
+    """All changes of a pair; ``fields`` are those both snapshots have."""
     b, a = F.col("b"), F.col("a")
     text = lambda v: v.cast("string")
     joined = lambda v: F.array_join(v, ",")
@@ -73,6 +74,12 @@ def _changes() -> Column:
         cond = differs(f) if extra is None else differs(f) & extra
         return entry(cond, id_, category, text(b[f]), text(a[f]), count_direction(b[f], a[f]), bad(a[f] > b[f], severity))
 
+    def either(f: str, row: Column, count: str, id_: str, category: str) -> Column:
+        """``row`` where both snapshots have the details in ``f``, else the bare counts of older ones."""
+        both = b[f].isNotNull() & a[f].isNotNull()
+        return F.when(both, row).otherwise(plain(count, id_, category)) if count in fields else F.when(both, row)
+
+    known = lambda f: b[f].isNotNull() & a[f].isNotNull()
     gained, dropped = ~_noindex(b["robots"]) & _noindex(a["robots"]), _noindex(b["robots"]) & ~_noindex(a["robots"])
     blocked, opened = b["indexable"] & ~a["indexable"], ~b["indexable"] & a["indexable"]
     no_h1 = (F.size(b["h1"]) > 0) & (F.size(a["h1"]) == 0)
@@ -100,17 +107,17 @@ def _changes() -> Column:
             differs("h1"), "headings.h1", "Headings", joined(b["h1"]), joined(a["h1"]),
             F.when(no_h1, "regression").otherwise("changed"), bad(no_h1, "warning"),
         ),
-        plain("outline", "headings.structure", "Headings", array=True),
+        either("outline", plain("outline", "headings.structure", "Headings", array=True), "heading_count", "headings.count", "Headings"),
         plain("links_total", "links.count", "Links"),
         counted("links_broken", "links.broken", "Links", "critical", links_checked),
         counted("links_redirect", "links.redirect", "Links", "warning", links_checked),
-        counted("images_missing_alt", "images.missingAlt", "Images", "warning"),
-        counted("images_missing_dimensions", "images.missingDimensions", "Images", "warning"),
-        counted("images_oversized", "images.oversized", "Images", "warning"),
+        either("images_missing_alt", counted("images_missing_alt", "images.missingAlt", "Images", "warning"), "images_total", "images.count", "Images"),
+        counted("images_missing_dimensions", "images.missingDimensions", "Images", "warning", known("images_missing_dimensions")),
+        counted("images_oversized", "images.oversized", "Images", "warning", known("images_oversized")),
         counted("images_broken", "images.broken", "Images", "critical", images_checked),
         plain("schema_types", "schema.types", "Structured data", array=True),
         counted("schema_invalid", "schema.invalid", "Structured data", "critical"),
-        plain("hreflang", "hreflang.entries", "International", "warning", array=True),
+        either("hreflang", plain("hreflang", "hreflang.entries", "International", "warning", array=True), "hreflang_count", "hreflang.count", "International"),
         entry(
             differs("status"), "http.status", "HTTP", text(b["status"]), text(a["status"]),
             F.when(well & ill, "regression").when(~well & ~ill, "improvement").otherwise("changed"), bad(well & ill, "critical"),
@@ -163,9 +170,13 @@ def regressions(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row per change of a page: id, category, values, direction and severity.
 
     Both sides have one row per ``url`` with a ``snapshot`` struct; the join is the only shuffle.
+    Snapshots without outline, image details or hreflang entries (NULL) are compared by
+    ``heading_count``, ``images_total`` and ``hreflang_count``.
     """
     pair = before.select("url", F.col("snapshot").alias("b")).join(after.select("url", F.col("snapshot").alias("a")), "url")
-    return settled(pair, {"changes": _changes()}).select("url", F.explode("changes").alias("c")).select("url", "c.*")
+    names = lambda df: df.schema["snapshot"].dataType.names
+    both = tuple(f for f in names(before) if f in names(after))
+    return settled(pair, {"changes": _changes(both)}).select("url", F.explode("changes").alias("c")).select("url", "c.*")
 
 
 def regression_summary(changes: DataFrame) -> DataFrame:

@@ -106,11 +106,28 @@ def robots_path(u: Column) -> Column:
 
 
 def rule_regex(path: Column) -> Column:
-    """Regular expression of a rule path: '*' matches anything, a final '$' anchors."""
+    """Regular expression of a rule path: '*' matches anything, a final '$' anchors.
+
+    Each part between stars is matched at its first place and kept there (an atomic group),
+    so a rule with many stars needs no backtracking over them.
+    """
     anchored = path.endswith("$")
     body = F.when(anchored, F.left(path, F.length(path) - 1)).otherwise(path)
-    escaped = F.regexp_replace(body, r"([.+?^${}()|\[\]\\])", r"\\$1")
-    return F.concat(F.lit("^"), F.replace(escaped, F.lit("*"), F.lit(".*")), F.when(anchored, F.lit("$")).otherwise(F.lit("")))
+    escaped = F.split(F.regexp_replace(body, r"([.+?^${}()|\[\]\\])", r"\\$1"), r"\*")
+    first = F.get(escaped, F.lit(0))
+    rest = F.filter(F.slice(escaped, F.lit(2), F.greatest(F.size(escaped), F.lit(1))), lambda x: x != "")
+    middle = F.when(anchored, F.slice(rest, F.lit(1), F.greatest(F.size(rest) - 1, F.lit(0)))).otherwise(rest)
+    held = F.array_join(F.transform(middle, lambda x: F.concat(F.lit("(?>.*?"), x, F.lit(")"))), "")
+    open_end = F.get(F.reverse(escaped), F.lit(0)) == ""
+    # Anchored: the last part ends the path, unless a star stands before the '$'.
+    last = F.when(F.size(escaped) == 1, F.lit("$")).when(open_end, F.coalesce(F.concat(F.lit("(?>.*?"), F.get(F.reverse(rest), F.lit(0)), F.lit(")")), F.lit(""))).otherwise(
+        F.concat(F.lit(".*"), F.get(F.reverse(rest), F.lit(0)), F.lit("$")))
+    return F.concat(F.lit("(?s)^"), first, held, F.when(anchored, last).otherwise(F.lit("")))
+
+
+def rule_start(path: Column) -> Column:
+    """What every path under the rule begins with: the text before its first '*' or final '$'."""
+    return F.regexp_extract(path, r"^([^*]*?)(?:\*.*|\$)?$", 1)
 
 
 def rule_weight(path: Column) -> Column:
@@ -136,14 +153,21 @@ def compiled_rules(docs: DataFrame, crawler: str = "Googlebot") -> DataFrame:
         F.col("line"),
         F.col("type"),
         F.col("path"),
-        rule_regex(F.col("path")).alias("rx"),
+        rule_start(F.col("path")).alias("start"),
+        F.when(F.col("path").rlike(r"\*|\$$"), rule_regex(F.col("path"))).alias("rx"),
     )
     return rules.groupBy("host").agg(F.array_sort(F.collect_list(entry)).alias("rules"))
 
 
 def robots_eval(pages: DataFrame, docs: DataFrame, crawler: str = "Googlebot") -> DataFrame:
     """``page_id, url, host, path, allowed, rule_type, rule, rule_line`` for every page."""
-    rows = settled(pages.select("page_id", "url"), _page_keys()).join(compiled_rules(docs, crawler), "host", "left")
+    return _evaluated(pages, compiled_rules(docs, crawler))
+
+
+def _evaluated(pages: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Pages joined once with one row a host (``host, rules`` and what else it has)."""
+    kept = [c for c in hosts.columns if c not in ("host", "rules")]
+    rows = settled(pages.select("page_id", "url"), _page_keys()).join(hosts, "host", "left")
     rows = settled(rows.withColumnRenamed("path", "page_path").withColumnRenamed("rules", "rules_"), {"hit": _first_match()})
     return rows.select(
         "page_id",
@@ -154,11 +178,19 @@ def robots_eval(pages: DataFrame, docs: DataFrame, crawler: str = "Googlebot") -
         F.coalesce("hit.type", F.lit("")).alias("rule_type"),
         F.coalesce("hit.path", F.lit("")).alias("rule"),
         F.col("hit.line").alias("rule_line"),
+        *kept,
     )
 
 
+_HIT = "struct<type:string,path:string,line:int>"
+
+
 def _first_match() -> Column:
-    return F.get(F.filter("rules_", lambda r: F.regexp_like(F.col("page_path"), r["rx"])), F.lit(0))
+    """First rule that matches, in order; later ones are not tried, nor is a pattern whose start differs."""
+    path = F.col("page_path")
+    fits = lambda r: F.startswith(path, r["start"]) & (r["rx"].isNull() | F.regexp_like(path, r["rx"]))
+    this = lambda r: F.struct(r["type"].alias("type"), r["path"].alias("path"), r["line"].cast("int").alias("line"))
+    return F.aggregate("rules_", F.lit(None).cast(_HIT), lambda acc, r: F.when(acc.isNotNull(), acc).when(fits(r), this(r)))
 
 
 def robots_status(pages: DataFrame, docs: DataFrame, crawler: str = "Googlebot") -> DataFrame:
@@ -167,8 +199,8 @@ def robots_status(pages: DataFrame, docs: DataFrame, crawler: str = "Googlebot")
     A missing robots.txt (404, 410) allows everything; any other failure is unknown.
     ``docs`` needs ``host, status, text``.
     """
-    usable = docs.where("status BETWEEN 200 AND 299")
-    rows = robots_eval(pages, usable, crawler).join(docs.select("host", F.col("status").alias("robots_status")), "host", "left")
+    compiled = compiled_rules(docs.where("status BETWEEN 200 AND 299"), crawler)
+    rows = _evaluated(pages, docs.select("host", F.col("status").alias("robots_status")).join(compiled, "host", "left"))
     state = (
         F.when(F.col("robots_status").isNull() | F.col("robots_status").isin(404, 410), "allowed")
         .when(~F.col("robots_status").between(200, 299), "unknown")

@@ -69,6 +69,7 @@ def make_snapshots(reports: DataFrame) -> DataFrame:
         "hreflang": F.array_sort(
             F.transform("hreflang", lambda h: F.concat_ws("|", F.lower(h["lang"]), h["ref"]))
         ),
+        "hreflang_count": F.size("hreflang"),
         "status": c("status") if "status" in have else F.lit(None).cast("int"),
         "x_robots": values("x_robots"),
         "content_type": values("content_type"),

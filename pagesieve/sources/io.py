@@ -25,7 +25,10 @@ AUDIT_COLUMNS = [
     ("warnings", "Warnings"), ("issue_count", "Issues"), ("duplicate_title", "Duplicate title"),
     ("duplicate_description", "Duplicate description"), ("duplicate_h1", "Duplicate H1"), ("available", "Available"), ("error", "Error"),
 ]
-SNAPSHOT_FILE = "history struct<version:int,pages:map<string,struct<baseline_id:string,snapshots:array<struct<id:string,name:string,created_at:string,snapshot:string>>>>>"
+# Exported history: field names as in the file (fixed values), older spellings beside them.
+_SNAP = "struct<id:string,name:string,createdAt:string,created_at:string,savedAt:string,snapshot:string>"
+_PAGES = f"map<string,struct<baselineId:string,baseline_id:string,snapshots:array<{_SNAP}>>>"
+SNAPSHOT_FILE = f"history struct<version:int,pages:{_PAGES}>, version int, pages {_PAGES}"
 
 
 def usable_pages(pages: DataFrame, max_bytes: int | None = None) -> DataFrame:
@@ -68,13 +71,17 @@ def read_sitemaps(spark: SparkSession, path: str, base: str = "") -> DataFrame:
     return docs.select(F.concat(F.lit(base), name).alias("sitemap_url"), F.col("value").alias("text"))
 
 
-def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of exported history files; files without a history are dropped."""
-    files = spark.read.schema(SNAPSHOT_FILE).json(path, multiLine=True).where("history.pages IS NOT NULL")
-    pages = files.select(F.explode("history.pages").alias("url", "page"))
-    rows = pages.select("url", F.col("page.baseline_id").alias("baseline_id"), F.posexplode("page.snapshots").alias("position", "s"))
+def read_snapshots(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Rows of exported history files: with an envelope or bare; others are dropped.
+
+    One document a file, or with ``lines`` one document a line, as :func:`write_snapshots`
+    writes them.
+    """
+    files = spark.read.schema(SNAPSHOT_FILE).json(path, multiLine=not lines)
+    pages = files.select(F.explode(F.coalesce("history.pages", "pages")).alias("url", "page"))
+    rows = pages.select("url", F.coalesce("page.baselineId", "page.baseline_id").alias("baseline_id"), F.posexplode("page.snapshots").alias("position", "s"))
     return rows.select(
-        "url", "baseline_id", "position", "s.id", "s.name", "s.created_at", F.lit(None).cast("string").alias("saved_at"), "s.snapshot"
+        "url", "baseline_id", "position", "s.id", "s.name", F.coalesce("s.createdAt", "s.created_at").alias("created_at"), F.col("s.savedAt").alias("saved_at"), "s.snapshot"
     )
 
 
@@ -117,9 +124,32 @@ def write_reports(reports: DataFrame, path: str, format: str = "parquet") -> Non
     reports.write.mode("overwrite").format(format).save(path)
 
 
-def write_snapshots(history: DataFrame, path: str) -> None:
-    """History as JSON lines, one per snapshot, in files by URL hash; any reader regroups by URL."""
-    history.repartition(F.col("url")).sortWithinPartitions("url", F.desc("created_at"), "id").write.mode("overwrite").json(path)
+def write_snapshots(history: DataFrame, path: str, baselines: DataFrame | None = None) -> None:
+    """History as JSON lines that :func:`read_snapshots` reads: one envelope a URL, newest snapshot first.
+
+    A URL has as many snapshots as retention left it, so a line is bounded. ``snapshot`` may
+    be a struct or JSON text.
+    """
+    text = dict(history.dtypes)["snapshot"] == "string"
+    body = F.try_parse_json("snapshot") if text else F.to_variant_object("snapshot")
+    item = F.struct(
+        F.col("created_at").alias("at"), F.struct("id", "name", F.date_format(F.col("created_at").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("createdAt"), F.to_json(body).alias("snapshot")).alias("s"),
+    )
+    pages = history.groupBy("url").agg(F.reverse(F.array_sort(F.collect_list(item))).alias("items"))
+    if baselines is not None:
+        pages = pages.join(baselines.select("url", "baseline_id"), "url", "left")
+    else:
+        pages = pages.withColumn("baseline_id", F.lit(None).cast("string"))
+    one = lambda i: F.to_json(F.struct(i["s"]["id"].alias("id"), i["s"]["name"].alias("name"), i["s"]["createdAt"].alias("createdAt")))
+    # The snapshot's own JSON goes in as it is, not as quoted text.
+    entry = lambda i: F.concat(F.regexp_replace(one(i), r"\}$", ""), F.lit(',"snapshot":'), F.coalesce(i["s"]["snapshot"], F.lit("null")), F.lit("}"))
+    quoted = lambda c: F.to_json(F.array(c))
+    inner = lambda c: F.substring(quoted(c), F.lit(2), F.length(quoted(c)) - 2)
+    line = F.concat(
+        F.lit('{"version":2,"history":{"version":2,"pages":{'), inner(F.col("url")), F.lit(':{"baselineId":'), F.coalesce(inner(F.col("baseline_id")), F.lit("null")),
+        F.lit(',"snapshots":['), F.array_join(F.transform("items", entry), ","), F.lit("]}}}}"),
+    )
+    pages.select(line.alias("value")).write.mode("overwrite").text(path)
 
 
 def issue_text(issues: DataFrame) -> Column:
