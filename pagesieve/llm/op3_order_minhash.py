@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,8 @@ from .registry import fresh, id_of, query, table
 
 # Words of a k-mer, signature entries, k-mers of a tuple.
 K, BINS, TUPLE = 3, 64, 2
+# Ranges of ids a shuffle partition holds, on average.
+RANGES = 4
 # A k-mer's sort value: 6 bits bin, 33 bits hash, 24 bits position, no sign.
 POSITION_BITS, HASH_BITS = 24, 39
 SPLIT = r"[\x20\x09-\x0D]+"
@@ -101,6 +104,18 @@ def rendered(sig: Column) -> Column:
     return F.array_join(F.transform(sig, lambda x: F.coalesce(F.lower(F.lpad(F.hex(F.shiftrightunsigned(x, 32)), 8, "0")), F.lit("-"))), ".")
 
 
+def _numbers(values: list[int]) -> Column:
+    return F.from_json(F.lit(str(values)), "array<long>")
+
+
+def _rank(cuts: list[int], value: Column) -> Column:
+    """How many of the ascending ``cuts`` are at most ``value``: first by every k-th of them, then by the k between."""
+    k = max(1, math.isqrt(len(cuts)))
+    upto = lambda a: F.size(F.filter(a, lambda c: c <= value))
+    near = lambda j: (j - 1) * k + upto(F.slice(_numbers(cuts), (j - 1) * k + 1, F.lit(k)))
+    return let(upto(_numbers(cuts[::k])), lambda j: F.when(j == 0, 0).otherwise(near(j)))
+
+
 def with_next(docs: DataFrame, order: str, carried: list[str], parts: int | None = None) -> DataFrame:
     """``docs`` with ``next_<column>`` of the row that follows by ``order`` (after the last: the first).
 
@@ -109,16 +124,17 @@ def with_next(docs: DataFrame, order: str, carried: list[str], parts: int | None
     rows travel once. Ties go by the carried columns' hash.
     """
     parts = parts or max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = docs.agg(F.percentile_approx(order, [i / parts for i in range(parts)], 100 * parts)).first()[0] or []
-    cuts = sorted({int(c) for c in cuts})  # at most ``parts`` numbers
+    # Several ranges a partition, so that chance deals them evenly.
+    n = RANGES * parts
+    cuts = docs.agg(F.percentile_approx(order, [i / n for i in range(n)], 100 * n)).first()[0] or []
+    cuts = sorted({int(c) for c in cuts})  # at most ``n`` numbers
     if not cuts:
         return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in carried])
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts])
-    own = F.size(F.filter(bounds, lambda c: c <= F.col(order))) - 1
+    bounds, own = _numbers(cuts), _rank(cuts, F.col(order)) - 1
     rng, ahead, tie = (fresh(docs, x) for x in ("range_", "ahead", "tie"))
     last = len(cuts) - 1
     # The row at a cut is also looked at from the range before it, the very first one from the last range.
-    before = F.when(F.array_contains(bounds, F.col(order)), F.when(F.col(rng) == 0, F.lit(last)).otherwise(F.col(rng) - 1))
+    before = F.when(F.get(bounds, F.col(rng)) == F.col(order), F.when(F.col(rng) == 0, F.lit(last)).otherwise(F.col(rng) - 1))
     rows = docs.withColumn(rng, own).withColumn(tie, F.xxhash64(*carried))
     looks = rows.select(*docs.columns, tie, F.explode(F.filter(F.array(
         F.struct(F.col(rng).alias(rng), F.lit(0).alias(ahead)), F.when(before.isNotNull(), F.struct(before.cast("int").alias(rng), F.lit(1).alias(ahead))),
