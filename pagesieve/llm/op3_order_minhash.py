@@ -126,8 +126,8 @@ def with_next(docs: DataFrame, order: str, carried: list[str], parts: int | None
     parts = parts or max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # Several ranges a partition, so that chance deals them evenly.
     n = RANGES * parts
-    cuts = docs.agg(F.percentile_approx(order, [i / n for i in range(n)], 100 * n)).first()[0] or []
-    cuts = sorted({int(c) for c in cuts})  # at most ``n`` numbers
+    first, cuts = docs.agg(F.min(order), F.percentile_approx(order, [i / n for i in range(1, n)], 100 * n)).first()
+    cuts = [] if first is None else sorted({int(first), *map(int, cuts)})  # at most ``n`` numbers
     if not cuts:
         return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in carried])
     bounds, own = _numbers(cuts), _rank(cuts, F.col(order)) - 1

@@ -344,7 +344,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the document with the smallest doc_id of each group stays."""
     gone = near_duplicates(docs).where(~F.col("kept")).select(id_of("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, id_of(docs["doc_id"]) == gone["gone_id"], "left_anti")
+    return docs.join(gone.hint("merge"), id_of(docs["doc_id"]) == gone["gone_id"], "left_anti")
 
 
 SQL = r"""
