@@ -12,7 +12,7 @@ from ..operators import indexability as N
 from ..operators import links as L
 from ..operators import robots as RB
 from ..operators import sitemaps as SM
-from ..plans.audit import page_facts
+from ..plans.audit import page_facts, stored
 from .facts import HREFLANG_SQL, LINKS_SQL
 from .pages import VERDICT
 from .registry import keys, query, table
@@ -77,7 +77,7 @@ def multi_anchor_targets(spark, sf_dir):
     f"WITH {LINKS_SQL}, g AS (SELECT {_LABEL} AS label FROM lk WHERE {_HTTP} GROUP BY 1 HAVING count(DISTINCT href) > 1) SELECT {_LABEL} AS label, count(DISTINCT href) AS urls, count(*)::BIGINT AS links FROM lk WHERE {_HTTP} AND {_LABEL} <> '' AND {_LABEL} IN (SELECT label FROM g) GROUP BY 1",
 )
 def conflict_members(spark, sf_dir):
-    links = _links(spark, sf_dir)
+    links = stored(_links(spark, sf_dir))
     rows = L.conflict_members(links, L.anchor_conflicts(links), "label", "url")
     return rows.groupBy("label").agg(F.count("*").alias("urls"), F.sum("links").alias("links"))
 
@@ -395,7 +395,7 @@ def U_pages(facts):
           CASE WHEN verdict = 'Noindex' THEN 'nonindexable-source-in-sitemap' END, CASE WHEN status >= 400 THEN 'error-source-in-sitemap' END], lambda x: x IS NOT NULL), ',') AS codes FROM v WHERE ssm <> ''""",
 )
 def sitemap_issues(spark, sf_dir):
-    pages = _sitemap_pages(spark, sf_dir)
+    pages = stored(_sitemap_pages(spark, sf_dir))
     found = SM.sitemap_membership(pages, SM.sitemap_entries(sitemap_texts(spark, sf_dir))).where("source_found")
     return SM.sitemap_issues(found.join(pages, "page_id")).select("page_id", F.array_join("sitemap_issues", ",").alias("codes"))
 
@@ -435,7 +435,8 @@ def _targets(spark, sf_dir):
     pages = N.indexability(page_facts(seeded_pages(spark, sf_dir), "canonical", "robots", fetch_log=fetch_log(spark, sf_dir)))
     noindex = F.array_contains("meta_directives", "noindex") | F.array_contains("header_directives", "noindex")
     known = pages.select("page_id", "norm_url", "status", "redirected", "error", noindex.alias("noindex"), "norm_canonical")
-    return H.hreflang_targets(X.hreflang(seeded_pages(spark, sf_dir)), known)
+    # Both sides are read several times below; pages are parsed once for each.
+    return H.hreflang_targets(stored(X.hreflang(seeded_pages(spark, sf_dir))), stored(known))
 
 
 @query(
