@@ -83,7 +83,8 @@ def split_url(u: Column) -> Column:
         slashes = F.replace(p[3], F.lit("\\"), F.lit("/"))
         path = _fold_dots(_percent(F.when(slashes == "", F.lit("/")).otherwise(slashes)))
         query = F.replace(_percent(p[4]), F.lit("'"), F.lit("%27"))
-        ok = (F.size(p) == 6) & F.get(p, F.lit(2)).rlike(_HOST_OK)
+        port = F.regexp_extract(F.get(p, F.lit(2)), r":0*(\d+)$", 1)
+        ok = (F.size(p) == 6) & F.get(p, F.lit(2)).rlike(_HOST_OK) & (F.length(port) < 6) & (F.coalesce(port.try_cast("int"), F.lit(0)) <= 65535)
         return F.when(
             ok,
             F.struct(

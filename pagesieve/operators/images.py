@@ -38,19 +38,25 @@ def bytes_label(value: Column) -> Column:
     return (
         F.when(F.coalesce(value, F.lit(0)) == 0, F.lit("—"))
         .when(value < 1024, F.concat(value.cast("string"), F.lit(" B")))
-        .when(value < 102400, F.concat(F.format_string("%.1f", kb), F.lit(" KB")))
-        .when(value < 1024 * 1024, F.concat(F.format_string("%.0f", kb), F.lit(" KB")))
-        .otherwise(F.concat(F.format_string("%.2f", mb), F.lit(" MB")))
+        .when(value < 102400, F.concat(fixed(kb, 1), F.lit(" KB")))
+        .when(value < 1024 * 1024, F.concat(fixed(kb, 0), F.lit(" KB")))
+        .otherwise(F.concat(fixed(mb, 2), F.lit(" MB")))
     )
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """Decimal text with so many digits, halves up; the value counts as stored, not as printed."""
+    unit = 10**digits
+    return F.format_string(f"%.{digits}f", F.floor(value.cast("double") * unit + 0.5) / unit)
+
+
 def transfer_label(value: Column) -> Column:
     """Readable size of a transfer; zero or unknown is 0 B."""
     n = F.coalesce(value, F.lit(0)).cast("double")
     return (
         F.when(n < 1024, F.concat(n.cast("bigint").cast("string"), F.lit(" B")))
-        .when(n < 1024 * 1024, F.concat(F.format_string("%.1f", n / 1024), F.lit(" KB")))
-        .otherwise(F.concat(F.format_string("%.2f", n / (1024 * 1024)), F.lit(" MB")))
+        .when(n < 1024 * 1024, F.concat(fixed(n / 1024, 1), F.lit(" KB")))
+        .otherwise(F.concat(fixed(n / (1024 * 1024), 2), F.lit(" MB")))
     )
 
 
@@ -58,9 +64,9 @@ def ms_label(value: Column) -> Column:
     """Readable duration: one decimal below 100 ms, none below a second, then seconds with two."""
     n = F.coalesce(value, F.lit(0)).cast("double")
     return (
-        F.when(n < 100, F.concat(F.format_string("%.1f", n), F.lit(" ms")))
-        .when(n < 1000, F.concat(F.format_string("%.0f", n), F.lit(" ms")))
-        .otherwise(F.concat(F.format_string("%.2f", n / 1000), F.lit(" s")))
+        F.when(n < 100, F.concat(fixed(n, 1), F.lit(" ms")))
+        .when(n < 1000, F.concat(fixed(n, 0), F.lit(" ms")))
+        .otherwise(F.concat(fixed(n / 1000, 2), F.lit(" s")))
     )
 
 

@@ -92,3 +92,13 @@ def test_normalising_twice_changes_nothing(value, parts):
     once = value(U.normalize_url(lit("https://ex.com/" + "/".join(parts))))
     assert value(U.normalize_url(lit(once))) == once
     assert "/../" not in once and not once.endswith("/..")
+
+
+def test_ports_beyond_the_range_are_no_urls(value):
+    from pyspark.sql import functions as F
+
+    from pagesieve.functions import urls as U
+
+    for port, want in (("65535", "https://e.com:65535/"), ("00080", "https://e.com:00080/"), ("65536", ""), ("99999", ""), ("123456789012", "")):
+        got = value(U.http_url(F.lit(f"https://e.com:{port}/")))
+        assert (got != "") == (want != ""), port
