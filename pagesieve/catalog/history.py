@@ -83,15 +83,36 @@ def make_snapshots(spark, sf_dir):
     )
 
 
+# The twelve fields of every seeded page's snapshot, as text.
+DIFF_SQL = (
+    AUDIT_SQL
+    + LINKS_SQL[len(SEED_SQL):]
+    + f""",
+{NODES_SQL.strip()},
+hs AS (SELECT p, 0 AS o, 1 AS level, h1 AS text FROM ar UNION ALL SELECT p, 1, 2, 'Sub' FROM s WHERE p % 3 = 0 UNION ALL SELECT p, 2, 4, 'Deep' FROM s WHERE p % 3 = 1
+  UNION ALL SELECT p, 3, 1, 'Second' FROM s WHERE p % 13 = 0 UNION ALL SELECT p, 4, 3, '' FROM s WHERE p % 17 = 0),
+cell AS (
+  SELECT p, 'title' AS field, title AS v FROM ar UNION ALL SELECT p, 'description', description FROM ar UNION ALL SELECT p, 'canonical', canonical FROM ar
+  UNION ALL SELECT p, 'robots', robots FROM s UNION ALL SELECT p, 'h1', string_agg(text, '|' ORDER BY o) FILTER (level = 1) FROM hs GROUP BY p
+  UNION ALL SELECT p, 'headingCount', count(*)::VARCHAR FROM hs GROUP BY p
+  UNION ALL SELECT s.p, 'linkCount', count(lk.p)::VARCHAR FROM s LEFT JOIN lk ON lk.p = s.p GROUP BY s.p
+  UNION ALL SELECT p, 'imageCount', (p % 3)::VARCHAR FROM s
+  UNION ALL SELECT s.p, 'schemaTypes', coalesce(string_agg(type, ',' ORDER BY type), '') FROM s LEFT JOIN nd ON nd.p = s.p GROUP BY s.p
+  UNION ALL SELECT s.p, 'hreflangCount', count(hl.p)::VARCHAR FROM s LEFT JOIN hl ON hl.p = s.p GROUP BY s.p
+  UNION ALL SELECT p, 'score', score::INT::VARCHAR FROM ar
+  UNION ALL SELECT s.p, 'issueIds', coalesce(string_agg(id, ',' ORDER BY id), '') FROM s LEFT JOIN iss ON iss.p = s.p GROUP BY s.p)"""
+)
+
+
 @query(
     "snapshot_diff",
-    f"""WITH {ISSUES_SQL}, {SCORES} SELECT u AS url, 'description' AS field, '' AS before, description AS after FROM s WHERE description <> ''
-        UNION ALL SELECT u, 'canonical', '', canon_href FROM s WHERE canon_href <> '' UNION ALL SELECT u, 'robots', '', robots FROM s WHERE robots <> '' UNION ALL SELECT u, 'imageCount', '0', (p % 3)::VARCHAR FROM s WHERE p % 3 > 0""",
+    f"""WITH {DIFF_SQL} SELECT 'page ' || b.p AS url, b.field, b.v AS before, a.v AS after FROM cell b JOIN cell a ON a.p = b.p + 1 AND a.field = b.field WHERE a.v <> b.v""",
 )
 def snapshot_diff(spark, sf_dir):
-    raw = SN.make_snapshots(page_reports(table(spark, sf_dir, "pages"), None, ("dom",), typed=False))
-    seeded = SN.make_snapshots(page_reports(seeded_pages(spark, sf_dir), None, ("dom",), typed=False))
-    return SN.snapshot_diff(raw, seeded).where("field IN ('description', 'canonical', 'robots', 'imageCount')")
+    """Each page against the next one, as two versions of one page."""
+    s = stored(SN.make_snapshots(_reports(spark, sf_dir, "dom")).select("page_id", "snapshot"))
+    named = lambda k: s.select(F.concat(F.lit("page "), (F.col("page_id") - k).cast("string")).alias("url"), "snapshot")
+    return SN.snapshot_diff(named(0), named(1))
 
 
 # --- history from the orders table: one page per 40 customers, one snapshot per order ---
