@@ -25,6 +25,27 @@ def _reports(spark, sf_dir, *extra):
     return page_reports(seeded_pages(spark, sf_dir), fetch_log(spark, sf_dir), extra, typed=False)
 
 
+# The twelve fields of every seeded page's snapshot, as text.
+DIFF_SQL = (
+    AUDIT_SQL
+    + LINKS_SQL[len(SEED_SQL):]
+    + f""",
+{NODES_SQL.strip()},
+hs AS (SELECT p, 0 AS o, 1 AS level, h1 AS text FROM ar UNION ALL SELECT p, 1, 2, 'Sub' FROM s WHERE p % 3 = 0 UNION ALL SELECT p, 2, 4, 'Deep' FROM s WHERE p % 3 = 1
+  UNION ALL SELECT p, 3, 1, 'Second' FROM s WHERE p % 13 = 0 UNION ALL SELECT p, 4, 3, '' FROM s WHERE p % 17 = 0),
+cell AS (
+  SELECT p, 'title' AS field, title AS v FROM ar UNION ALL SELECT p, 'description', description FROM ar UNION ALL SELECT p, 'canonical', canonical FROM ar
+  UNION ALL SELECT p, 'robots', robots FROM s UNION ALL SELECT p, 'h1', string_agg(text, '|' ORDER BY o) FILTER (level = 1) FROM hs GROUP BY p
+  UNION ALL SELECT p, 'headingCount', count(*)::VARCHAR FROM hs GROUP BY p
+  UNION ALL SELECT s.p, 'linkCount', count(lk.p)::VARCHAR FROM s LEFT JOIN lk ON lk.p = s.p GROUP BY s.p
+  UNION ALL SELECT p, 'imageCount', (p % 3)::VARCHAR FROM s
+  UNION ALL SELECT s.p, 'schemaTypes', coalesce(string_agg(type, ',' ORDER BY type), '') FROM s LEFT JOIN nd ON nd.p = s.p GROUP BY s.p
+  UNION ALL SELECT s.p, 'hreflangCount', count(hl.p)::VARCHAR FROM s LEFT JOIN hl ON hl.p = s.p GROUP BY s.p
+  UNION ALL SELECT p, 'score', score::INT::VARCHAR FROM ar
+  UNION ALL SELECT s.p, 'issueIds', coalesce(string_agg(id, ',' ORDER BY id), '') FROM s LEFT JOIN iss ON iss.p = s.p GROUP BY s.p)"""
+)
+
+
 # --- page comparison: each even page with the next one ---
 
 
@@ -37,15 +58,25 @@ def _pairs(spark, sf_dir):
     return pages.select(F.col("page_id").alias("pair_id"), F.col("page_id").alias("left_id"), (F.col("page_id") + 1).alias("right_id"))
 
 
-_SHOWN = ["HTTP status", "SEO score", "Title", "Description", "Canonical", "Indexability", "Total images", "nofollow links", "Total issues", "Hreflang count", "X-Robots-Tag"]
+_SHOWN = [
+    "HTTP status", "SEO score", "Title", "Description", "Canonical", "Indexability", "Total images", "nofollow links", "Total issues", "Hreflang count", "X-Robots-Tag",
+    "Robots", "Heading count", "H1", "Total links", "Internal HTTP links", "External HTTP links", "sponsored links", "UGC links", "Missing alt", "Schema types",
+    "Invalid JSON-LD", "Critical issues", "Warnings", "Issue IDs",
+]
 COMPARE_SQL = (
-    AUDIT_SQL
+    DIFF_SQL
     + """,
-cv AS (SELECT p, 'HTTP status' AS field, status::VARCHAR AS v FROM ar UNION ALL SELECT p, 'SEO score', score::VARCHAR FROM ar UNION ALL SELECT p, 'Title', coalesce(nullif(title, ''), '—') FROM ar
-  UNION ALL SELECT p, 'Description', coalesce(nullif(description, ''), '—') FROM ar UNION ALL SELECT p, 'Canonical', coalesce(nullif(canonical, ''), '—') FROM ar UNION ALL SELECT p, 'Indexability', verdict FROM ar
-  UNION ALL SELECT p, 'Total images', (p % 3)::VARCHAR FROM ar UNION ALL SELECT p, 'Total issues', n::VARCHAR FROM ar UNION ALL SELECT p, 'nofollow links', (t2 IS NOT NULL)::INT::VARCHAR FROM s
-  UNION ALL SELECT p, 'X-Robots-Tag', coalesce(nullif(xrobots, ''), '—') FROM s
-  UNION ALL SELECT s.p, 'Hreflang count', count(hl.p)::VARCHAR FROM s LEFT JOIN hl ON hl.p = s.p GROUP BY s.p)"""
+lc AS (SELECT s.p, count(lk.p) FILTER (kind = 'http') AS http, count(*) FILTER (internal) AS inside, count(*) FILTER (kind = 'http' AND nofollow) AS nofollow,
+         count(*) FILTER (kind = 'http' AND sponsored) AS sponsored, count(*) FILTER (kind = 'http' AND ugc) AS ugc FROM s LEFT JOIN lk ON lk.p = s.p GROUP BY s.p),
+cv AS (SELECT p, field, coalesce(nullif(v, ''), '—') AS v FROM (
+  SELECT p, 'HTTP status' AS field, status::VARCHAR AS v FROM ar UNION ALL SELECT p, 'Indexability', verdict FROM ar UNION ALL SELECT p, 'Total issues', n::VARCHAR FROM ar
+  UNION ALL SELECT p, 'Critical issues', critical::VARCHAR FROM ar UNION ALL SELECT p, 'Warnings', warning::VARCHAR FROM ar UNION ALL SELECT p, 'X-Robots-Tag', xrobots FROM s
+  UNION ALL SELECT p, 'Missing alt', (p % 2 = 1 AND p % 3 > 0)::INT::VARCHAR FROM s UNION ALL SELECT p, 'Invalid JSON-LD', (p % 16 = 3)::INT::VARCHAR FROM s
+  UNION ALL SELECT p, 'Internal HTTP links', inside::VARCHAR FROM lc UNION ALL SELECT p, 'External HTTP links', (http - inside)::VARCHAR FROM lc
+  UNION ALL SELECT p, 'nofollow links', nofollow::VARCHAR FROM lc UNION ALL SELECT p, 'sponsored links', sponsored::VARCHAR FROM lc UNION ALL SELECT p, 'UGC links', ugc::VARCHAR FROM lc
+  UNION ALL SELECT p, CASE field WHEN 'title' THEN 'Title' WHEN 'description' THEN 'Description' WHEN 'canonical' THEN 'Canonical' WHEN 'robots' THEN 'Robots' WHEN 'headingCount' THEN 'Heading count' WHEN 'linkCount' THEN 'Total links' WHEN 'imageCount' THEN 'Total images' WHEN 'hreflangCount' THEN 'Hreflang count' WHEN 'score' THEN 'SEO score' WHEN 'schemaTypes' THEN 'Schema types' WHEN 'issueIds' THEN 'Issue IDs' END,
+    CASE WHEN field IN ('schemaTypes', 'issueIds') THEN replace(v, ',', chr(10)) ELSE v END FROM cell WHERE field <> 'h1'
+  UNION ALL SELECT p, 'H1', string_agg(text, chr(10) ORDER BY o) FILTER (level = 1) FROM hs GROUP BY p))"""
 )
 
 
@@ -83,27 +114,6 @@ def make_snapshots(spark, sf_dir):
     )
 
 
-# The twelve fields of every seeded page's snapshot, as text.
-DIFF_SQL = (
-    AUDIT_SQL
-    + LINKS_SQL[len(SEED_SQL):]
-    + f""",
-{NODES_SQL.strip()},
-hs AS (SELECT p, 0 AS o, 1 AS level, h1 AS text FROM ar UNION ALL SELECT p, 1, 2, 'Sub' FROM s WHERE p % 3 = 0 UNION ALL SELECT p, 2, 4, 'Deep' FROM s WHERE p % 3 = 1
-  UNION ALL SELECT p, 3, 1, 'Second' FROM s WHERE p % 13 = 0 UNION ALL SELECT p, 4, 3, '' FROM s WHERE p % 17 = 0),
-cell AS (
-  SELECT p, 'title' AS field, title AS v FROM ar UNION ALL SELECT p, 'description', description FROM ar UNION ALL SELECT p, 'canonical', canonical FROM ar
-  UNION ALL SELECT p, 'robots', robots FROM s UNION ALL SELECT p, 'h1', string_agg(text, '|' ORDER BY o) FILTER (level = 1) FROM hs GROUP BY p
-  UNION ALL SELECT p, 'headingCount', count(*)::VARCHAR FROM hs GROUP BY p
-  UNION ALL SELECT s.p, 'linkCount', count(lk.p)::VARCHAR FROM s LEFT JOIN lk ON lk.p = s.p GROUP BY s.p
-  UNION ALL SELECT p, 'imageCount', (p % 3)::VARCHAR FROM s
-  UNION ALL SELECT s.p, 'schemaTypes', coalesce(string_agg(type, ',' ORDER BY type), '') FROM s LEFT JOIN nd ON nd.p = s.p GROUP BY s.p
-  UNION ALL SELECT s.p, 'hreflangCount', count(hl.p)::VARCHAR FROM s LEFT JOIN hl ON hl.p = s.p GROUP BY s.p
-  UNION ALL SELECT p, 'score', score::INT::VARCHAR FROM ar
-  UNION ALL SELECT s.p, 'issueIds', coalesce(string_agg(id, ',' ORDER BY id), '') FROM s LEFT JOIN iss ON iss.p = s.p GROUP BY s.p)"""
-)
-
-
 @query(
     "snapshot_diff",
     f"""WITH {DIFF_SQL} SELECT 'page ' || b.p AS url, b.field, b.v AS before, a.v AS after FROM cell b JOIN cell a ON a.p = b.p + 1 AND a.field = b.field WHERE a.v <> b.v""",
