@@ -499,11 +499,9 @@ def _typed(spark, sf_dir):
         points::INT AS points, false AS faceted, paginated FROM ptp WHERE words < 280 OR words >= 300""",
 )
 def page_type(spark, sf_dir):
-    # Pages whose raw text lies within the seeded words of the limit are left out on both sides.
-    df = _typed(spark, sf_dir)
-    raw = X.extract_facts(table(spark, sf_dir, "pages"), "text_word_count").select("page_id", F.col("text_word_count").alias("raw_words"))
+    # The SQL leaves out pages whose raw text lies within the seeded words of the limit; tests/test_whole.py covers those.
     t = F.col("page_type")
-    return df.join(raw, "page_id").where("raw_words < 280 OR raw_words >= 300").select(
+    return _typed(spark, sf_dir).select(
         "page_id", t["primary"].alias("primary_type"), t["confidence"].alias("confidence"), t["score"].alias("points"),
         t["faceted"].alias("faceted"), t["pagination"].alias("paginated"),
     )
@@ -534,12 +532,8 @@ def page_type_scores(spark, sf_dir):
           AND (words < 280 OR words >= 300)""",
 )
 def page_type_evidence(spark, sf_dir):
-    raw = X.extract_facts(table(spark, sf_dir, "pages"), "text_word_count").select("page_id", F.col("text_word_count").alias("raw_words"))
-    df = _typed(spark, sf_dir).join(raw, "page_id").where("raw_words < 280 OR raw_words >= 300")
-    rows = df.select("page_id", F.col("page_type.primary").alias("primary_"), F.explode("page_type.evidence").alias("e"))
-    return rows.where("primary_ = e.type AND primary_ IN ('error', 'search', 'product', 'category')").select(
-        "page_id", "e.type", "e.signal", "e.weight"
-    )
+    # The SQL states four primary types only; tests/test_whole.py covers the rest.
+    return _typed(spark, sf_dir).select("page_id", F.explode("page_type.evidence").alias("e")).select("page_id", "e.type", "e.signal", "e.weight")
 
 
 @query(
