@@ -208,8 +208,8 @@ def annotate_pagination(spark, sf_dir):
     f"""WITH {SEED_SQL} SELECT p AS page_id, 12::BIGINT AS links, 12::BIGINT AS unchecked FROM s WHERE p % 4 = 2""",
 )
 def pagination_link_status(spark, sf_dir):
-    links = X.links(seeded_pages(spark, sf_dir)).where("raw_href LIKE '/list?%'")
-    rows = A.pagination_link_status(CM.pager_links(links), link_results(spark, sf_dir))
+    # The SQL states the links of the seeded lists only.
+    rows = A.pagination_link_status(CM.pager_links(X.links(seeded_pages(spark, sf_dir))), link_results(spark, sf_dir))
     return rows.groupBy("page_id").agg(F.count("*").alias("links"), F.count_if(F.col("state") == "unchecked").alias("unchecked"))
 
 
@@ -300,7 +300,8 @@ def _products(spark, sf_dir, *extra):
 )
 def product_offers(spark, sf_dir):
     facts = page_facts(seeded_pages(spark, sf_dir), "jsonld")
-    rows = S.product_offers(S.with_product_nodes(facts)).where("size(products) > 0")
+    # The SQL states pages with a Product node only, here and below; tests/test_whole.py covers the others.
+    rows = S.product_offers(S.with_product_nodes(facts))
     return rows.select("page_id", "offer_count", "price", "currency", "availability", "low_price", "high_price", F.array_join("states", ",").alias("states"))
 
 
@@ -311,7 +312,7 @@ def product_offers(spark, sf_dir):
         FROM pd WHERE is_product""",
 )
 def product_fields(spark, sf_dir):
-    return _products(spark, sf_dir).where("size(products) > 0").select(
+    return _products(spark, sf_dir).select(
         "page_id", "name", "image", "sku", "gtin", "brand", "price", "currency", "availability", "rating", "reviews", "completeness"
     )
 
@@ -331,7 +332,7 @@ _CROSS = "(canon_href <> '' AND regexp_extract(canon_href, '^(https?://[^/]+)',
 )
 def product_audit(spark, sf_dir):
     df = T.page_type(_products(spark, sf_dir, *T.FACTS_NEEDED, "canonical", "robots"))
-    rows = CM.product_audit(df).where("size(products) > 0")
+    rows = CM.product_audit(df)
     return rows.select("page_id", F.explode("product_issues").alias("i")).select("page_id", "i.id")
 
 
@@ -342,7 +343,7 @@ def product_audit(spark, sf_dir):
 )
 def product_hints(spark, sf_dir):
     df = T.page_type(_products(spark, sf_dir, *T.FACTS_NEEDED, "canonical", "robots"))
-    rows = CM.product_audit(df).where("size(products) > 0")
+    rows = CM.product_audit(df)
     return rows.select("page_id", F.array_join("product_hints", ",").alias("hints"), "out_of_stock")
 
 
@@ -396,10 +397,9 @@ def pager_links(spark, sf_dir):
 def category_audit(spark, sf_dir):
     facts = page_facts(seeded_pages(spark, sf_dir), *dict.fromkeys(("jsonld", *T.FACTS_NEEDED, "canonical", "robots", "links")))
     df = T.page_type(S.listing_items(S.with_product_nodes(facts)))
-    rows = CM.category_audit(df).where("item_lists > 0 OR signals.itemlist_microdata > 0")
-    rows = rows.select("page_id", F.explode("category_issues").alias("i")).select("page_id", "i.id")
-    # These two depend on each page's own words and paging; they are not compared here.
-    return rows.where("id NOT IN ('category.items.thin', 'category.pagination.canonical_first_page')")
+    # The SQL leaves out pages that are listings by type alone and issues that follow from a page's own words and paging;
+    # tests/test_whole.py covers those.
+    return CM.category_audit(df).select("page_id", F.explode("category_issues").alias("i")).select("page_id", "i.id")
 
 
 # --- censuses ---

@@ -11,18 +11,20 @@ from pagesieve.catalog.seed import seeded_pages
 
 FOLDER = "/root/testdata/sf0.01"
 IDS = [*range(1, 41), 88, 104, 132]
-PATHS = {8: "/", 10: "/search/x", 12: "/a?page=2", 16: "/a?color=red", 24: "/find"}
+PATHS = {8: "/", 10: "/search/x", 12: "/a?page=2", 14: "/l?page=2", 16: "/a?color=red", 18: "/c?color=red", 24: "/find"}
+GROUP, SHORT = 20, 17
 
 
 def source(p):
-    words = " ".join(["word"] * (270 + p % 40))
-    return f'<html lang="en"><head><title>Page {p}</title></head><body><article><h1>H {p}</h1><p>{words}</p></article><footer>end</footer></body></html>'
+    words = " ".join(["word"] * (10 if p == SHORT else 270 + p % 40))
+    group = '<script type="application/ld+json">{"@type":"ProductGroup","name":"Group","sku":"G"}</script>' if p == GROUP else ""
+    return f'<html lang="en"><head><title>Page {p}</title>{group}</head><body><article><h1>H {p}</h1><p>{words}</p></article><footer>end</footer></body></html>'
 
 
 @pytest.fixture(scope="module")
 def small(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("small"))
-    data = [(p, f"https://h{p % 3}.example.com{PATHS.get(p, f'/p/{p}')}", source(p)) for p in IDS]
+    data = [(p, f"https://h{p % 3}.example.com{PATHS.get(p, f'/doc-{p}')}", source(p)) for p in IDS]
     spark.createDataFrame(data, "page_id long, url string, html string").coalesce(1).write.parquet(f"{folder}/pages.parquet")
     return folder
 
@@ -36,10 +38,10 @@ def result(spark, name, folder):
     return [r.asDict() for r in load()[0][name](spark, folder).collect()]
 
 
-def judged(p, url, html):
+def judged(p, url, html, fetched=True):
     """(primary, points, faceted, paginated, evidence) of a seeded page, rule by rule."""
     words = len(re.sub(r"<[^>]*>", "", html.split("<body>")[1]).split())
-    status = 0 if p % 29 == 7 else 404 if p % 13 == 5 else 503 if p % 26 == 7 else 200
+    status = 0 if p % 29 == 7 or not fetched else 404 if p % 13 == 5 else 503 if p % 26 == 7 else 200
     path = re.sub(r"^https://[^/]+", "", url)
     paged = "page=2" in path or (p % 11 == 3 and p + 1 in IDS) or (p % 11 == 4 and p - 1 in IDS)
     by_path, faceted = bool(re.search(r"/(search|find)(/|$)", path)), "color=" in path
@@ -79,7 +81,84 @@ def test_evidence_of_every_type(spark, small, pages):
     assert sorted((r["page_id"], r["type"], r["signal"], r["weight"]) for r in result(spark, "page_type_evidence", small)) == want
 
 
-@pytest.mark.parametrize("name", ["page_type", "page_type_evidence"])
+def canonical(p):
+    """(missing, multiple, cross origin, own URL) of a seeded page's canonical."""
+    none = p % 5 == 0 or (p % 5 == 2 and p + 1 not in IDS)
+    return none, p % 5 == 3, p % 5 == 2 and not none, p % 5 in (1, 3) or (p % 5 == 4 and "?" not in PATHS.get(p, ""))
+
+
+def canonical_issues(kind, p, different=True):
+    none, many, cross, own = canonical(p)
+    if none or many or cross:
+        return [f"{kind}.canonical.{'missing' if none else 'multiple' if many else 'cross_origin'}"]
+    return [] if own or not different else [f"{kind}.canonical.different"]
+
+
+def product_issues(p, primary):
+    node = p % 4 == 1
+    described = node or p == GROUP
+    if not described and primary != "product":
+        return []
+    held = [
+        (not described, "schema.missing"), (node and p % 10 == 1, "name.missing"), (p == GROUP or (node and p % 10 == 3), "image.missing"),
+        (described and not (node and p % 12 in (5, 9)), "offers.missing"), (p % 12 == 9, "currency.missing"), (p % 8 != 1, "breadcrumb.missing"),
+        (p % 12 == 9 and p % 7 in (0, 2), "stock.noindex"),
+    ]
+    return [f"product.{i}" for c, i in held if c] + canonical_issues("product", p)
+
+
+def category_issues(p, primary, words):
+    if primary != "category" and p % 4 != 2 and p % 11 != 6:
+        return []
+    items = 3 * (p % 4 == 2) + 2 * (p % 11 == 6) + (p % 11 == 5)
+    path, noindex = PATHS.get(p, ""), p % 7 in (0, 2)
+    facets, deep, (none, _, _, own) = "color=" in path, "page=2" in path, canonical(p)
+    held = [
+        (items == 0, "items.empty"), (0 < items <= 2 and words < 120, "items.thin"), (facets and own and not noindex, "facets.index_bloat"),
+        (facets and p % 7 == 2, "params.robots_conflict"), (p % 4 == 2, "facets.internal_links"), (deep and none, "pagination.canonical_missing"),
+        (deep and p % 5 == 4, "pagination.canonical_first_page"), (deep and p % 11 != 4, "pagination.prev_missing"),
+    ]
+    return [f"category.{i}" for c, i in held if c] + canonical_issues("category", p, not facets and not deep)
+
+
+def test_product_rows_of_every_page(spark, small):
+    fields = {r["page_id"]: r for r in result(spark, "product_fields", small)}
+    offers = {r["page_id"]: r for r in result(spark, "product_offers", small)}
+    assert set(fields) == set(offers) == set(IDS)
+    assert (fields[GROUP]["name"], fields[GROUP]["sku"], fields[GROUP]["completeness"]) == ("Group", "G", 20)
+    for p in IDS:
+        if p % 4 != 1:
+            assert not any(offers[p][c] for c in offers[p] if c != "page_id")
+            assert p == GROUP or not any(fields[p][c] for c in fields[p] if c != "page_id")
+
+
+def test_product_audit_of_every_page(spark, small, pages):
+    primary = {p: judged(p, r["url"], r["html"], False)[0] for p, r in pages.items()}
+    want = sorted((p, i) for p in IDS for i in product_issues(p, primary[p]))
+    assert sorted((r["page_id"], r["id"]) for r in result(spark, "product_audit", small)) == want
+    assert (132, "product.schema.missing") in want
+    hints = {r["page_id"]: r["hints"] for r in result(spark, "product_hints", small)}
+    assert set(hints) == set(IDS)
+    assert hints[GROUP] == "gtin,brand,reviews" and hints[132] == "gtin,sku,brand,reviews" and hints[4] == ""
+
+
+def test_category_audit_of_every_page(spark, small, pages):
+    seen = {p: judged(p, r["url"], r["html"], False) for p, r in pages.items()}
+    want = sorted((p, i) for p in IDS for i in category_issues(p, seen[p][0], seen[p][5]))
+    assert sorted((r["page_id"], r["id"]) for r in result(spark, "category_audit", small)) == want
+    assert {(SHORT, "category.items.thin"), (14, "category.pagination.canonical_first_page"), (23, "category.items.empty")} <= set(want)
+
+
+def test_every_pager_link(spark, small):
+    want = {p: n for p in IDS if (n := 12 * (p % 4 == 2) + (p % 11 == 5))}
+    rows = result(spark, "pagination_link_status", small)
+    assert {r["page_id"]: r["links"] for r in rows} == {r["page_id"]: r["unchecked"] for r in rows} == want
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["page_type", "page_type_evidence", "product_offers", "product_fields", "product_audit", "product_hints", "category_audit"],
+)
 def test_has_all_rows_of_the_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES.split():
