@@ -155,9 +155,53 @@ def test_every_pager_link(spark, small):
     assert {r["page_id"]: r["links"] for r in rows} == {r["page_id"]: r["unchecked"] for r in rows} == want
 
 
+def headers(p):
+    """Security headers of a page's response by compared field; '' if it has none (a report-only policy counts as none)."""
+    pick = lambda n, *values: dict(enumerate(values)).get(p % n, "")
+    return {
+        "Content-Security-Policy": pick(6, "default-src 'self'; script-src * 'unsafe-eval'", "default-src 'self'; frame-ancestors 'none'"),
+        "Strict-Transport-Security": pick(5, "max-age=31536000; includeSubDomains", "max-age=0"), "X-Frame-Options": pick(7, "DENY", "ALLOWALL"),
+        "Referrer-Policy": pick(3, "strict-origin", "no-referrer, unsafe-url"), "Permissions-Policy": pick(2, "geolocation=()"), "X-Content-Type-Options": pick(4, "nosniff", "none"),
+    }
+
+
+def test_all_forty_fields_are_compared(spark, small):
+    cells, pairs = {}, [p for p in IDS if p % 2 == 0 and p + 1 in IDS]
+    rows = result(spark, "compare_pages", small)
+    for r in rows:
+        cells[r["pair_id"], r["field"]] = r["left"]
+        cells[r["pair_id"] + 1, r["field"]] = r["right"]
+    fields = {f for _, f in cells}
+    assert len(fields) == 40 and len(rows) == 40 * len(pairs)
+    url = lambda p: f"https://h{p % 3}.example.com{PATHS.get(p, f'/doc-{p}')}"
+    for p in (q for k in pairs for q in (k, k + 1)):
+        at = lambda f: cells[p, f]  # noqa: B023, E731
+        images = [f"https://h{p % 3}.example.com/img/{p}-{i}.png" for i in range(p % 3)]
+        assert at("URL") == url(p) and at("Image sources") == ("\n".join(images) or "—")
+        assert at("Missing dimensions") == str(p % 3 if p % 5 else 0)
+        assert at("Content-Type") == "text/html; charset=utf-8" and at("Cache-Control") == "—"
+        assert at("Content-Language") == {0: "de, en", 1: "en-US;q=1"}.get(p % 4, "—")
+        for f, v in headers(p).items():
+            assert at(f).endswith(f" · {v}") if v else " · " not in at(f), (p, f, at(f))
+    lists = [f"https://h2.example.com/list?color=c{i}&page={i}" for i in range(1, 13)]
+    assert cells[2, "HTTP targets"] == "\n".join(sorted([url(5), url(6), "https://h2.example.com/empty-2", *lists]))
+    assert cells[3, "HTTP targets"] == "\n".join(sorted([url(7), url(8), "https://h0.example.com/about"]))
+    assert cells[2, "Outline"] == "H1 H 2" and cells[3, "Outline"] == "H1 H 3\nH2 Sub"
+    assert cells[2, "Declarations"] == f"en → {url(3)}\nfr → {url(2)}" and cells[3, "Declarations"] == f"en → {url(3)}"
+
+
+def test_messages_of_all_issue_ids(spark, small):
+    rows = result(spark, "issue_messages", small)
+    assert sorted((r["page_id"], r["id"]) for r in rows) == sorted((r["page_id"], r["id"]) for r in result(spark, "issues", small))
+    assert len({r["id"] for r in rows}) > 20 and all(r["message"] for r in rows)
+    said = {(r["page_id"], r["id"]): r["message"] for r in rows}
+    assert all(said[p, "title.short"] == f"{len(f'Page {p}')} characters; configured minimum is 15." for p in IDS)
+    assert said[3, "viewport.missing"] == "No viewport meta tag was found." and said[5, "canonical.missing"] == "No canonical link element was found."
+
+
 @pytest.mark.parametrize(
     "name",
-    ["page_type", "page_type_evidence", "product_offers", "product_fields", "product_audit", "product_hints", "category_audit"],
+    ["page_type", "page_type_evidence", "product_offers", "product_fields", "product_audit", "product_hints", "category_audit", "compare_pages", "issue_messages"],
 )
 def test_has_all_rows_of_the_sql(spark, name):
     con = duckdb.connect()
