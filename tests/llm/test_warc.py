@@ -63,3 +63,17 @@ def test_matches_sql(spark, pages, same):
     same(W.payloads(W.read_chunks(W.write_archives(some, folder), folder)), W.SQL, pages=some)
     none = pages.limit(0)
     assert W.payloads(W.read_chunks(W.write_archives(none, folder), folder)).count() == 0
+
+
+def test_query_stores_the_bytes(spark, pages, tmp_path, monkeypatch):
+    some = pages.where("page_id IS NOT NULL AND page_id <> 8")
+    some.write.parquet(f"{tmp_path}/pages.parquet")
+    kept, store = {}, W.stored
+    monkeypatch.setattr(W, "stored", lambda df, name: kept.setdefault(name, store(df, name)))
+    assert W.op8(spark, str(tmp_path)).count() == some.count()
+    whole = {}
+    for r in sorted(kept["chunks"].collect(), key=lambda r: (r["page_id"], r["chunk"])):
+        whole[r["page_id"]] = whole.get(r["page_id"], b"") + bytes(r["data"])
+    html = {r["page_id"]: (r["html"] or "").encode() for r in some.collect()}
+    top = {h: p for p, h in sorted(html.items())}
+    assert whole == {p: h if top[h] == p else b"" for p, h in html.items()}
