@@ -66,6 +66,11 @@ def least_prefix(min_length: int, exponent: int) -> int:
     return min(max(min_length, exponent * q) - q for q in range(1, min_length + 1))
 
 
+def window(min_length: int, exponent: int) -> int:
+    """The longest windows of which every one inside a run comes there twice, a period before or behind."""
+    return min(max(min_length, exponent * q) - 2 * q + 1 for q in range(1, min_length + 1))
+
+
 def stretches(ids: np.ndarray, counts: np.ndarray, k: int) -> list[tuple[int, int]]:
     """(first word, number of words) of the parts of texts whose every k words come twice in the part.
 
@@ -162,7 +167,7 @@ def text_runs(texts: Sequence[bytes], min_length: int = MIN_LENGTH, exponent: in
     if not words:
         return lists, found
     ids = pd.factorize(np.array(words, dtype=object))[0].astype(np.int64)
-    parts = stretches(ids, counts, least_prefix(min_length, exponent))
+    parts = stretches(ids, counts, window(min_length, exponent))
     if parts:
         # Parts stand one after the other, each closed by an item of its own.
         y = np.concatenate([np.append(ids[a : a + n], len(ids) + i) for i, (a, n) in enumerate(parts)])
