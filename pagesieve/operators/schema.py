@@ -1,119 +1,18 @@
-"""JSON-LD: blocks to typed nodes, and the product and listing data read from them.
-
-Parsing free-form JSON trees is the one place that needs Python: a small Arrow
-helper lists the nodes of each block in document order. Everything that follows
-works on the node arrays with Catalyst expressions.
-"""
+"""JSON-LD: the product and listing data read from a page's typed nodes."""
 
 from __future__ import annotations
 
-import json
-import sys
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..functions.core import clean, let, per_session, settled, str_array
-
-# Executors need not have this package installed: the helper travels with the task.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-NODE = (
-    "struct<ord:int,types:array<string>,fields:map<string,array<string>>,kids:map<string,array<int>>,offered:boolean>"
-)
-BLOCK = f"struct<valid:boolean,types:array<string>,nodes:array<{NODE}>>"
-# Node properties the audits read (fixed values).
-SINGLE = [
-    "name", "sku", "gtin14", "gtin13", "gtin12", "gtin8", "gtin", "url", "@id", "price", "lowPrice", "highPrice",
-    "priceCurrency", "ratingValue", "ratingCount", "reviewCount",
-]
-MANY = ["brand", "availability", "image"]
-LINKED = ["offers", "aggregateRating", "review", "item"]
-
-
-def _plain(value) -> str:
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    if isinstance(value, float) and value.is_integer():
-        value = int(value)
-    return " ".join(str(value).split())
-
-
-def _scalar(value) -> str:
-    if isinstance(value, dict):
-        value = next((value[k] for k in ("name", "@id", "url") if k in value), None)
-        return _plain(value) if isinstance(value, (str, int, float)) else ""
-    return "" if value is None or isinstance(value, list) else _plain(value)
-
-
-def _image(value) -> str:
-    if isinstance(value, dict):
-        value = next((value[k] for k in ("url", "contentUrl", "@id") if value.get(k)), None)
-    elif not isinstance(value, str):
-        return ""
-    return _scalar(value)
-
-
-def _listed(value) -> list:
-    return [] if value is None else value if isinstance(value, list) else [value]
-
-
-def _node(ord_: int, node: dict, order: dict) -> dict:
-    fields = {k: [_scalar(node[k])] for k in SINGLE if k in node}
-    for k in MANY:
-        read = _image if k == "image" else _scalar
-        fields[k] = [s for s in map(read, _listed(node.get(k))) if s]
-    kids = {k: [order[id(v)] for v in _listed(node.get(k)) if isinstance(v, dict) and id(v) in order] for k in LINKED}
-    return {
-        "ord": ord_,
-        "types": [_plain(t) for t in _listed(node.get("@type")) if t],
-        "fields": fields,
-        "kids": {k: v for k, v in kids.items() if v},
-        "offered": bool(node.get("offers")) or isinstance(node.get("offers"), (list, dict)),
-    }
-
-
-def _no_constant(name: str):
-    raise ValueError(name)
-
-
-def _block(raw: str) -> dict:
-    try:
-        root = json.loads(raw, parse_constant=_no_constant)
-    except (ValueError, RecursionError):
-        return {"valid": False, "types": [], "nodes": []}
-    found, types, stack = [], set(), [root]
-    while stack:
-        value = stack.pop()
-        if isinstance(value, dict):
-            types.update(str(t) for t in _listed(value.get("@type")) if t)
-            children = [v for k, v in value.items() if k != "@context"]
-        elif isinstance(value, list):
-            children = value
-        else:
-            continue
-        if isinstance(value, dict):
-            found.append(value)
-        stack.extend(reversed(children))
-    order = {id(node): i for i, node in enumerate(found)}
-    return {"valid": True, "types": sorted(types), "nodes": [_node(i, n, order) for i, n in enumerate(found)]}
-
-
-def _parse_blocks(blocks: pd.Series) -> pd.Series:
-    return blocks.map(lambda raws: [_block(r) for r in raws] if raws is not None else [])
-
-
-@per_session
-def parse_blocks():
-    return F.pandas_udf(_parse_blocks, f"array<{BLOCK}>")
+from ..functions.jsonld import parse_blocks
 
 
 def with_schemas(facts: DataFrame) -> DataFrame:
     """Add ``schemas``: one parsed entry per JSON-LD block of the page, in order."""
-    return facts.withColumn("schemas", parse_blocks()(F.col("jsonld")))
+    return settled(facts, {"schemas": parse_blocks(F.col("jsonld"))})
 
 
 def schema_types(schemas: Column) -> Column:
