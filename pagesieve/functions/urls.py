@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .core import clean, let, per_session, text_of
+from .hosts import browser_host
 
 _SEP = "\u0001"
 _HTTP = r"^(?i)(https?):[/\\]*([^/\\?#@]*@)?([^/\\?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
@@ -68,12 +69,33 @@ def _fold_dots(path: Column) -> Column:
     return F.when(path.rlike(r"(?i)/(?:\.|%2e){1,2}(?:/|$)"), full).otherwise(path)
 
 
+# Scheme and user, host, and the rest of a reference that names its host; hosts that need more than lower case.
+_PLACE = r"(?is)^((?:https?:[/\\]*|[/\\]{2})(?:[^/\\?#@]*@)?)(\[[^\]]*\]|[^/\\?#:@]*)((?::\d*)?(?:[/\\?#].*)?)$"
+_ODD = r"(?i)^[\x00-\x20]*(?:https?:[/\\]*|[/\\]{2})[^/\\?#]*?(?:[^\x00-\x7f/\\?#]|%|\[|(?<=[./\\@])(?:[0-9]+|0x[0-9a-f]*)\.?(?::\d*)?(?:[/\\?#\x00-\x20]|$))"
+
+
+@per_session
+def browser_url(u: Column) -> Column:
+    """A URL or reference with its host as a browser writes it; everything else as it is.
+
+    For the places where URLs come in: what is resolved, compared or joined later then has
+    one form. A host that no browser accepts stays as written.
+    """
+    text = _trimmed(u)
+    host = F.regexp_extract(text, _PLACE, 2)
+    whole = lambda h: F.concat(F.regexp_extract(text, _PLACE, 1), h, F.regexp_extract(text, _PLACE, 3))
+    # The other URLs, nearly all, cost one look at their beginning.
+    return F.when(text_of(u).rlike(_ODD), F.coalesce(let(let(host, browser_host), whole), u)).otherwise(u)
+
+
 @per_session
-def split_url(u: Column) -> Column:
+def split_url(u: Column, browser: bool = False) -> Column:
     """``struct(scheme, userinfo, host, path, query, fragment)`` of an http(s) URL, else NULL.
 
     ``host`` carries a non-default port; ``query`` and ``fragment`` keep their mark.
+    ``browser`` here and below: see :func:`browser_url`.
     """
+    u = browser_url(u) if browser else u
 
     def build(p: Column) -> Column:
         scheme = F.lower(p[0])
@@ -120,7 +142,7 @@ def _other_scheme(u: Column, fragment: bool) -> Column:
 
 
 @per_session
-def href(u: Column, *, fragment: bool = True, on_invalid: str = "raw", http_only: bool = False) -> Column:
+def href(u: Column, *, fragment: bool = True, on_invalid: str = "raw", http_only: bool = False, browser: bool = False) -> Column:
     """Serialised URL. ``on_invalid`` is ``raw``, ``trim``, ``empty`` or ``null``."""
     fallback = {
         "raw": text_of(u),
@@ -136,23 +158,23 @@ def href(u: Column, *, fragment: bool = True, on_invalid: str = "raw", http_only
             out = out.when(other, _other_scheme(u, fragment))
         return out.otherwise(fallback)
 
-    return let(split_url(u), pick)
+    return let(split_url(u, browser), pick)
 
 
 @per_session
-def normalize_url(u: Column, on_invalid: str = "trim", http_only: bool = False) -> Column:
+def normalize_url(u: Column, on_invalid: str = "trim", http_only: bool = False, browser: bool = False) -> Column:
     """Comparable URL: serialised and without fragment; '' stays ''."""
-    return href(u, fragment=False, on_invalid=on_invalid, http_only=http_only)
+    return href(u, fragment=False, on_invalid=on_invalid, http_only=http_only, browser=browser)
 
 
 @per_session
-def http_url(u: Column) -> Column:
+def http_url(u: Column, browser: bool = False) -> Column:
     """Comparable URL if it is http(s), else ''."""
-    return normalize_url(u, on_invalid="empty", http_only=True)
+    return normalize_url(u, on_invalid="empty", http_only=True, browser=browser)
 
 
 @per_session
-def absolute_url(ref: Column, base: Column) -> Column:
+def absolute_url(ref: Column, base: Column, browser: bool = False) -> Column:
     """Resolve ``ref`` against ``base``, a struct from :func:`split_url`; fragment kept."""
 
     def build(r: Column) -> Column:
@@ -168,18 +190,18 @@ def absolute_url(ref: Column, base: Column) -> Column:
         )
         return F.when(r == "", F.lit("")).otherwise(let(joined, lambda j: href(j)))
 
-    return let(_trimmed(ref), build)
+    return let(_trimmed(browser_url(ref) if browser else ref), build)
 
 
 @per_session
-def url_host(u: Column) -> Column:
+def url_host(u: Column, browser: bool = False) -> Column:
     """Lower-case host name without port, '' when the URL is not http(s)."""
-    return F.coalesce(let(split_url(u), hostname_of), F.lit(""))
+    return F.coalesce(let(split_url(u, browser), hostname_of), F.lit(""))
 
 
 @per_session
-def url_origin(u: Column) -> Column:
-    return F.coalesce(let(split_url(u), origin_of), F.lit(""))
+def url_origin(u: Column, browser: bool = False) -> Column:
+    return F.coalesce(let(split_url(u, browser), origin_of), F.lit(""))
 
 
 def same_host(a: Column, b: Column) -> Column:

@@ -17,8 +17,8 @@ from .security import csp_risks, parse_csp, parse_hsts
 
 @per_session
 def _url_columns() -> dict:
-    parts = U.split_url(F.col("url"))
-    return {"parts": parts, "norm": U.normalize_url(F.col("url")), "breadcrumb": U.url_breadcrumb(F.col("url"))}
+    parts = U.split_url(F.col("url"), browser=True)
+    return {"parts": parts, "norm": U.normalize_url(F.col("url"), browser=True), "breadcrumb": U.url_breadcrumb(F.col("url"))}
 
 
 def url_inventory(pages: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ RESOURCE_TAGS = [
 
 @per_session
 def _link_columns() -> tuple[Column, Column]:
-    target = F.when(F.col("kind") == "http", U.absolute_url(F.col("raw_href"), F.col("base"))).otherwise(F.col("raw_href"))
+    target = F.when(F.col("kind") == "http", U.absolute_url(F.col("raw_href"), F.col("base"), browser=True)).otherwise(F.col("raw_href"))
     return target, U.split_url(F.col("href"))
 
 
@@ -295,7 +295,7 @@ def _canonical() -> Column:
     return let(
         F.transform(_with_rel("canonical"), lambda x: x["href"]),
         lambda c: F.struct(
-            F.size(c).alias("count"), U.absolute_url(_first(c), F.col("base")).alias("href"), _first(c).alias("raw")
+            F.size(c).alias("count"), U.absolute_url(_first(c), F.col("base"), browser=True).alias("href"), _first(c).alias("raw")
         ),
     )
 
@@ -330,7 +330,7 @@ _PARTS = {
 
 # Facts: name -> (builder, needed intermediates).
 _FIELDS = {
-    "page_url": (lambda: U.href(F.col("url")), ()),
+    "page_url": (lambda: U.href(F.col("url"), browser=True), ()),
     "title": (
         lambda: clean(_first(F.transform(H.elements(F.col("tok"), "title"), lambda x: H.decode_entities(H.inner_raw(x["t"]))))),
         (),
@@ -387,7 +387,7 @@ def _built(name: str, part: bool) -> Column:
 
 @per_session
 def _source() -> dict[str, Column]:
-    return {"base": U.split_url(F.col("url")), "tok": H.tokens(F.col("html"))}
+    return {"base": U.split_url(F.col("url"), browser=True), "tok": H.tokens(F.col("html"))}
 
 
 def extract_facts(pages: DataFrame, *fields: str) -> DataFrame:
@@ -480,19 +480,19 @@ def links(pages: DataFrame) -> DataFrame:
 
 def images(pages: DataFrame) -> DataFrame:
     rows = explode_items(_need(pages, "images"), "images", "url", "base")
-    return rows.withColumn("src", U.absolute_url(F.col("src"), F.col("base"))).drop("base").withColumnRenamed("url", "page_url")
+    return rows.withColumn("src", U.absolute_url(F.col("src"), F.col("base"), browser=True)).drop("base").withColumnRenamed("url", "page_url")
 
 
 def hreflang(pages: DataFrame) -> DataFrame:
     rows = explode_items(_need(pages, "hreflang"), "hreflang", "url", "base")
     return rows.select(
-        "page_id", F.col("url").alias("page_url"), "idx", "lang", U.absolute_url(F.col("ref"), F.col("base")).alias("href")
+        "page_id", F.col("url").alias("page_url"), "idx", "lang", U.absolute_url(F.col("ref"), F.col("base"), browser=True).alias("href")
     )
 
 
 def _asset(rows: DataFrame, ref: str) -> DataFrame:
     """Add url, host and third_party for the reference column ``ref``."""
-    url = _no_fragment(U.absolute_url(F.col(ref), F.col("base")))
+    url = _no_fragment(U.absolute_url(F.col(ref), F.col("base"), browser=True))
     rows = rows.withColumn("asset_url", url).withColumn("parts", U.split_url(F.col("asset_url")))
     return rows.withColumns(
         {
@@ -543,9 +543,18 @@ def resource_hints(pages: DataFrame) -> DataFrame:
     )
 
 
-def dom_resources(pages: DataFrame) -> DataFrame:
-    """Resource URLs referenced by elements and srcset lists, active or passive."""
-    rows = explode_items(_need(pages, "resources"), "resources", "url", "base")
+def dom_resources(pages: DataFrame, insecure: bool = False) -> DataFrame:
+    """Resource URLs referenced by elements and srcset lists, active or passive.
+
+    ``insecure`` keeps the http resources of https pages: as every other reference resolves
+    to https there, the rest goes before anything is exploded or resolved.
+    """
+    facts = _need(pages.where("url ILIKE 'https:%'") if insecure else pages, "resources")
+    if insecure:
+        http = lambda r: F.translate(F.coalesce(r, F.lit("")), "\t\n\r", "").rlike(r"(?i)^[\x00-\x20]*http:")
+        kept = F.transform("resources", lambda x: F.struct(x["tag"].alias("tag"), F.when(http(x["ref"]), x["ref"]).alias("ref"), F.filter(x["srcset"], http).alias("srcset")))
+        facts = facts.withColumn("resources", F.filter(kept, lambda x: x["ref"].isNotNull() | (F.size(x["srcset"]) > 0)))
+    rows = explode_items(facts, "resources", "url", "base")
     pick = lambda index: F.coalesce(
         *[F.when(F.col("tag") == t[0], F.lit(t[index])) for t in RESOURCE_TAGS]
     )
@@ -558,7 +567,7 @@ def dom_resources(pages: DataFrame) -> DataFrame:
     )
     out = rows.select("page_id", "url", "base", F.explode(F.concat(direct, listed)).alias("r")).select("page_id", "url", "base", "r.*")
     resolved = out.where(F.coalesce(F.col("ref"), F.lit("")) != "").withColumn(
-        "resource_url", _no_fragment(U.absolute_url(F.col("ref"), F.col("base")))
+        "resource_url", _no_fragment(U.absolute_url(F.col("ref"), F.col("base"), browser=True))
     )
     return resolved.where(F.col("resource_url").rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:")).select(
         "page_id", F.col("url").alias("page_url"), F.col("resource_url").alias("url"), "kind", "source", "active"

@@ -38,7 +38,7 @@ def tagged(edges: DataFrame) -> DataFrame:
     """Edges with normalised tag, comparable target and comparable source URL."""
     return settled(
         edges,
-        {"tag": normalize_tag(F.col("lang")), "target": U.normalize_url(F.col("href"), "raw"), "source": U.normalize_url(F.col("page_url"), "raw")},
+        {"tag": normalize_tag(F.col("lang")), "target": U.normalize_url(F.col("href"), "raw"), "source": U.normalize_url(F.col("page_url"), "raw", browser=True)},
     )
 
 

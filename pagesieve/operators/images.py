@@ -124,7 +124,7 @@ def image_audit(images: DataFrame, results: DataFrame, dpr: float = 1.0) -> Data
 
     ``results``: ``url, status, redirected, final_url, error, content_type, size_bytes, checked_at``.
     """
-    keyed = settled(results, {"norm": U.normalize_url(F.col("url"), "raw")})
+    keyed = settled(results, {"norm": U.normalize_url(F.col("url"), "raw", browser=True)})
     r = latest(
         keyed.select(
             "norm", "status", "redirected", "final_url", "error", "content_type", F.col("size_bytes").alias("net_bytes"), "checked_at"

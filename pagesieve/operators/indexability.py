@@ -127,7 +127,7 @@ def _verdict_columns(has_status: bool, has_x_robots: bool, has_chain: bool, has_
 
 @per_session
 def comparable_urls() -> dict[str, Column]:
-    return {"norm_url": U.normalize_url(F.col("url")), "norm_canonical": U.normalize_url(F.col("canonical")["href"])}
+    return {"norm_url": U.normalize_url(F.col("url"), browser=True), "norm_canonical": U.normalize_url(F.col("canonical")["href"])}
 
 
 def _changed(a: DataFrame, b: DataFrame, fields: dict[str, str], names: tuple[str, str]) -> DataFrame:

@@ -78,7 +78,7 @@ def anchor_summary(links: DataFrame) -> DataFrame:
 
 def link_results_latest(results: DataFrame) -> DataFrame:
     """Last result per comparable URL: ``norm, status, redirected, final_url, error``."""
-    rows = results.withColumn("norm", U.http_url(F.col("url"))).where("norm <> ''")
+    rows = results.withColumn("norm", U.http_url(F.col("url"), browser=True)).where("norm <> ''")
     return latest(rows.select("norm", "status", "redirected", "final_url", "error", "checked_at"), "norm", "checked_at").select(
         "norm", "status", "redirected", "final_url", "error"
     )

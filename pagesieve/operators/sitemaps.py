@@ -43,7 +43,7 @@ def sitemap_entries(docs: DataFrame) -> DataFrame:
     """``sitemap_url, type, pos, loc, lastmod``; entries without a location are left to the warnings."""
     rows = sitemap_docs(docs).select("sitemap_url", "type", F.posexplode("blocks").alias("pos", "block"))
     rows = rows.withColumn("raw", _tag(F.col("block"), "loc")).where("raw <> ''")
-    loc = F.trim(F.regexp_replace(U.absolute_url(F.col("raw"), U.split_url(F.col("sitemap_url"))), "#.*$", ""))
+    loc = F.trim(F.regexp_replace(U.absolute_url(F.col("raw"), U.split_url(F.col("sitemap_url")), browser=True), "#.*$", ""))
     rows = settled(rows, {"loc": loc, "lastmod": _tag(F.col("block"), "lastmod")})
     return rows.select("sitemap_url", "type", "pos", "loc", "lastmod")
 

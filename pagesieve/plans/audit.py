@@ -21,7 +21,7 @@ def with_response(df: DataFrame, fetch_log: DataFrame) -> DataFrame:
     A page without a response keeps NULLs; the key has one row per URL, so no fan-out.
     """
     meta = latest(response_meta(fetch_log), "norm_url", "captured_at")
-    return df.withColumn("norm_url", U.normalize_url(F.col("url"))).join(meta, "norm_url", "left")
+    return df.withColumn("norm_url", U.normalize_url(F.col("url"), browser=True)).join(meta, "norm_url", "left")
 
 
 def page_facts(pages: DataFrame, *fields: str, fetch_log: DataFrame | None = None) -> DataFrame:

@@ -40,7 +40,7 @@ def response_meta(fetch_log: DataFrame) -> DataFrame:
     rows = fetch_log.withColumn("picked", F.coalesce(merged, F.create_map().cast("map<string,array<string>>")))
     snake = lambda n: n.replace("-", "_")
     rows = settled(
-        rows, {"norm_url": U.normalize_url(F.col("url")), "final_": U.normalize_url(F.col("final_url"))}
+        rows, {"norm_url": U.normalize_url(F.col("url"), browser=True), "final_": U.normalize_url(F.col("final_url"), browser=True)}
     )
     return rows.select(
         "norm_url",

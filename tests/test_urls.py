@@ -1,9 +1,11 @@
+import ipaddress
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 import pytest
 
-from pagesieve.functions import urls as U
+from pagesieve.functions import hosts as H, urls as U
 
 lit = F.lit
 
@@ -29,6 +31,44 @@ def test_normalize_url(value, given_, expected):
     assert value(U.normalize_url(lit(given_))) == expected
 
 
+# Host names as browsers write them; the long ones are the examples of the punycode standard.
+HOSTS = [
+    ("münchen.de", "xn--mnchen-3ya.de"), ("BÜCHER.example", "xn--bcher-kva.example"), ("faß.de", "xn--fa-hia.de"), ("日本語.jp", "xn--wgv71a119e.jp"),
+    ("例え.テスト", "xn--r8jz45g.xn--zckzah"), ("мойдомен.рф", "xn--d1acklchcc.xn--p1ai"), ("ليهمابتكلموشعربي؟", "xn--egbpdaj6bu4bxfgehfvwxn"),
+    ("3年B組金八先生", "xn--3b-ww4c5e180e575a65lsy2b"), ("安室奈美恵-with-super-monkeys", "xn---with-super-monkeys-pc58ag80a8qai00g7n9n"), ("😀.example", "xn--e28h.example"),
+    ("ｅｘａｍｐｌｅ．com", "example.com"), ("例え。jp", "xn--r8jz45g.jp"), ("ex\u00adample.com", "example.com"), ("a%41b", "aab"), ("m%C3%BCnchen.de", "xn--mnchen-3ya.de"), ("a%20b", None), ("a_b.c", "a_b.c"),
+    ("0x7f.1", "127.0.0.1"), ("0300.1", "192.0.0.1"), ("4294967295", "255.255.255.255"), ("4294967296", None), ("256.1", None), ("1.2.3.4.5", None), ("09.1", None), ("0x.0x0", "0.0.0.0"), ("1.2.3.", "1.2.0.3"),
+    ("1e3", "1e3"), ("1.2.3.x", "1.2.3.x"), ("a.1", None), ("0xffffffffffff1", None),
+    ("[::1]", "[::1]"), ("[::]", "[::]"), ("[1:0:0:4:0:0:0:8]", "[1:0:0:4::8]"), ("[1:0:0:2:0:0:3:4]", "[1::2:0:0:3:4]"), ("[0:0:1::]", "[0:0:1::]"), ("[1:0:2:3:4:5:6:7]", "[1:0:2:3:4:5:6:7]"),
+    ("[2001:DB8:0:0:8:800:200C:417A]", "[2001:db8::8:800:200c:417a]"), ("[::ffff:1.2.3.4]", "[::ffff:102:304]"), ("[1:2:3:4:5:6:1.2.3.4]", "[1:2:3:4:5:6:102:304]"),
+    ("[::1.2.3]", None), ("[1:2:3:4:5:6:7]", None), ("[1::2::3]", None), ("[:1]", None), ("[12345::]", None), ("[1:2:3:4:5:6:7:8::]", None), ("[:::]", None), ("[]", None), ("", None), ("a b", None),
+]
+
+
+def test_hosts_as_browsers_write_them(spark):
+    df = spark.createDataFrame(HOSTS, "host string, expected string")
+    got = df.select("host", H.browser_host(F.col("host")).alias("host_"), U.normalize_url(F.concat(lit("http://"), "host", lit(":080/x")), "null", browser=True).alias("url")).collect()
+    assert [(r["host"], r["host_"]) for r in got] == HOSTS
+    # What no browser takes for a host stays as written, if it can be part of a URL.
+    assert [r["url"] for r, (_, h) in zip(got, HOSTS) if h] == [f"http://{h}/x" for _, h in HOSTS if h]
+
+
+def test_urls_with_odd_hosts(value):
+    for given_, expected in [
+        ("https://user@MÜNCHEN.de:8443/ä?ö#ü", "https://user@xn--mnchen-3ya.de:8443/%C3%A4?%C3%B6#%C3%BC"), ("//0x7f.1/x", "https://127.0.0.1/x"), ("http:\\\\[0:0::1]\\a", "http://[::1]/a"),
+        ("/münchen/1.2", "https://ex.com/m%C3%BCnchen/1.2"), ("http://ex.com/1.2", "http://ex.com/1.2"), ("mailto:ü@1.2", "mailto:ü@1.2"),
+    ]:
+        assert value(U.absolute_url(lit(given_), U.split_url(lit("https://ex.com/")), browser=True)) == expected
+    assert value(U.url_host(lit("http://2130706433/"), browser=True)) == "127.0.0.1"
+
+
+@given(st.lists(st.tuples(st.sampled_from([0, 0, 0, 1, 0xFFFF]) | st.integers(0, 0xFFFF)), min_size=8, max_size=8))
+@settings(max_examples=20, deadline=None)
+def test_ipv6_like_the_standard_library(value, groups):
+    text = ":".join(f"{g:x}" for (g,) in groups)
+    assert value(H.browser_host(lit(f"[{text}]"))) == f"[{ipaddress.IPv6Address(text).compressed}]"
+
+
 def test_invalid_input_variants(value):
     assert value(U.normalize_url(lit(" x "), "raw")) == " x "
     assert value(U.http_url(lit("ftp://a/b"))) == ""
@@ -97,7 +137,7 @@ def test_normalising_twice_changes_nothing(value, parts):
 def test_ports_beyond_the_range_are_no_urls(value):
     from pyspark.sql import functions as F
 
-    from pagesieve.functions import urls as U
+    from pagesieve.functions import hosts as H, urls as U
 
     for port, want in (("65535", "https://e.com:65535/"), ("00080", "https://e.com:00080/"), ("65536", ""), ("99999", ""), ("123456789012", "")):
         got = value(U.http_url(F.lit(f"https://e.com:{port}/")))
