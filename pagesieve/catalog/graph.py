@@ -509,6 +509,33 @@ def canonical_walk(spark, sf_dir):
     return canonicals.canonical_walk(pages).select("page_id", F.size("levels").alias("levels"), "loop", "capped")
 
 
+# --- hosts as browsers write them ---
+
+# A host as it may stand in a link, and its serialised form (values of the URL standard).
+_HOSTS = [
+    ("MÜNCHEN.example", "xn--mnchen-3ya.example"), ("faß.example", "xn--fa-hia.example"), ("例え。テスト", "xn--r8jz45g.xn--zckzah"), ("m%C3%BCnchen.example", "xn--mnchen-3ya.example"),
+    ("0x7f.1", "127.0.0.1"), ("2130706433", "127.0.0.1"), ("0300.0250.1", "192.168.0.1"), ("[0:0::1]", "[::1]"), ("[2001:DB8:0:0:8:0:0:C]", "[2001:db8::8:0:0:c]"), ("[::FFFF:1.2.3.4]", "[::ffff:102:304]"), ("Plain.example:443", "plain.example"),
+]
+_HOST_ROWS = ", ".join(f"({i}, '{w}', '{h}')" for i, (w, h) in enumerate(_HOSTS))
+
+
+@query(
+    "browser_hosts",
+    f"""WITH h(i, written, host) AS (VALUES {_HOST_ROWS}), l AS (SELECT page_id, host, page_id % {len(_HOSTS)} AS i FROM pages JOIN h ON i = page_id % {len(_HOSTS)}),
+        t AS (SELECT DISTINCT host FROM h)
+        SELECT 'https://' || host || '/' AS url, host, count(*) AS links, min(page_id) AS first_page, count(DISTINCT i) AS spellings FROM t JOIN l USING (host) GROUP BY host""",
+)
+def browser_hosts(spark, sf_dir):
+    """Links that write hosts in odd ways, joined with pages under their serialised URL."""
+    forms = spark.createDataFrame([(i, w, h) for i, (w, h) in enumerate(_HOSTS)], "i long, written string, host string")
+    linking = keys(spark, sf_dir).withColumn("i", F.col("page_id") % len(_HOSTS)).join(forms, "i")
+    html = F.concat(F.lit('<a href="https://'), "written", F.lit('/">x</a>'))
+    found = X.links(linking.select("page_id", "url", html.alias("html"))).select("page_id", "norm", "raw_href")
+    targets = forms.select(F.concat(F.lit("https://"), "host", F.lit("/")).alias("url"), "host").distinct()
+    rows = targets.join(found, F.col("url") == F.col("norm"))
+    return rows.groupBy("url", "host").agg(F.count("*").alias("links"), F.min("page_id").alias("first_page"), F.countDistinct("raw_href").alias("spellings"))
+
+
 # --- crawl ---
 
 
@@ -531,7 +558,8 @@ def discover_links(spark, sf_dir):
     "crawl",
     f"""WITH {SEED_SQL}, d AS (SELECT p, u, CASE WHEN p % 10 = 0 THEN 0 WHEN ((p - 1) // 2) % 10 = 0 THEN 1 WHEN p >= 3 AND ((((p - 1) // 2) - 1) // 2) % 10 = 0 THEN 2
           WHEN p >= 7 AND ((((((p - 1) // 2) - 1) // 2) - 1) // 2) % 10 = 0 THEN 3 END AS depth FROM s)
-        SELECT d.u AS url, CASE WHEN depth = 0 THEN '' ELSE par.u END AS source, depth::INT AS depth FROM d LEFT JOIN d par ON par.p = (d.p - 1) // 2 WHERE d.depth IS NOT NULL""".replace("CASE WHEN depth = 0", "CASE WHEN d.depth = 0").replace("depth::INT AS depth FROM d LEFT", "d.depth::INT AS depth FROM d LEFT"),
+        SELECT d.u AS url, CASE WHEN d.depth = 0 THEN '' ELSE par.u END AS source, d.depth::INT AS depth, d.depth = 3 AND EXISTS (SELECT 1 FROM d c WHERE c.p IN (2 * d.p + 1, 2 * d.p + 2) AND c.depth IS NULL) AS capped
+        FROM d LEFT JOIN d par ON par.p = (d.p - 1) // 2 WHERE d.depth IS NOT NULL""",
 )
 def crawl(spark, sf_dir):
     pages = keys(spark, sf_dir).select("page_id", F.regexp_replace("url", "#.*$", "").alias("url"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import keep_true
+from ..functions.core import keep_true, let
 from ..session import stored
 
 MAX_LEVELS = 5
@@ -13,60 +13,97 @@ _HOPS = "array<struct<from:string,to:string>>"
 _STEP = f"struct<url:string,next:string,final_url:string,count:int,status:int,redirected:boolean,redirects:{_HOPS},error:string>"
 
 
-def canonical_walk(pages: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
-    """Follow each page's canonical for up to ``max_levels`` targets.
+def _stops(step: Column) -> Column:
+    """Whether a walk ends at this target."""
+    return (step["error"] != "") | (step["status"] == 0) | (step["status"] >= 400) | (step["next"] == "") | (step["next"] == step["final_url"])
 
-    ``pages``: ``page_id, norm_url, norm_canonical, canonical_count, status, redirected,
-    error``, and where known ``final_url`` (after redirects, else ``norm_url``) and
-    ``redirects`` (array of from/to, else ``hops`` counts them). A walk ends at a fetch
-    error, at a missing status or one of 400 and above, and where a target's canonical is
-    missing or its own final URL; it is a loop where the canonical was visited before.
 
-    Targets are one row per URL, written once. Each level joins only the walks still going
-    and is written too; walks that ended are set aside and never shuffled again.
+def _until_repeated(steps: Column) -> Column:
+    """The steps before the first URL that came before."""
+    urls = F.transform(steps, lambda s: s["url"])
+    again = lambda all_: F.array_position(F.transform(all_, lambda u, i: F.array_position(all_, u) <= i), True)
+    cut = lambda at: F.when(at > 0, F.slice(steps, F.lit(1), at.cast("int") - 1)).otherwise(steps)
+    whole = F.size(F.array_distinct(urls)) == F.size(steps)
+    return F.when(whole, steps).otherwise(let(let(urls, again), cut))
+
+
+def _target_chains(pages: DataFrame, max_levels: int | None) -> DataFrame:
+    """``url, steps, end, loop``: each target URL and what follows it, by path doubling.
+
+    In every round a chain that has not ended takes over the chain of the URL at its end, so
+    lengths double: chains of n steps need log2(n) rounds. ``end`` is the next URL of a chain
+    that goes on, NULL where it ended; a chain that comes back to one of its URLs is a loop
+    and ends before it. Chains that ended stay in the files they were written to; only the
+    others are joined, with one row per URL on the right.
     """
     have = set(pages.columns)
     hops = F.coalesce("redirects", F.array().cast(_HOPS)) if "redirects" in have else F.array_repeat(
         F.struct(F.lit("").alias("from"), F.lit("").alias("to")), F.coalesce("hops", F.lit(0)))
     final = F.coalesce(F.nullif("final_url", F.lit("")), "norm_url") if "final_url" in have else F.col("norm_url")
-    facts = F.struct(
-        F.coalesce("norm_canonical", F.lit("")).alias("next"), final.alias("final_url"), F.coalesce("canonical_count", F.lit(0)).alias("count"),
+    step = F.struct(
+        F.col("norm_url").alias("url"), F.coalesce("norm_canonical", F.lit("")).alias("next"), final.alias("final_url"), F.coalesce("canonical_count", F.lit(0)).alias("count"),
         F.coalesce("status", F.lit(0)).alias("status"), F.coalesce("redirected", F.lit(False)).alias("redirected"), hops.cast(_HOPS).alias("redirects"),
         F.coalesce("error", F.lit("")).alias("error"),
-    )
+    ).cast(_STEP)
     # Pages that share a URL count once: the one with the smallest id.
-    node = stored(pages.groupBy(F.col("norm_url").alias("n_url")).agg(F.min_by(facts, "page_id").alias("f")), "canonical-targets")
-    going = pages.where("norm_canonical <> ''").select(
-        "page_id", "norm_url", F.col("norm_canonical").alias("initial"), F.col("norm_canonical").alias("at"), F.array("norm_url").alias("visited"),
-        F.array().cast(f"array<{_STEP}>").alias("levels"),
-    )
-    ended = []
-    for _ in range(max_levels):
-        f = lambda name, missing: F.coalesce(F.col(f"f.{name}"), missing)
-        unseen = F.lit("network")
-        this = F.struct(
-            F.col("at").alias("url"), f("next", F.lit("")).alias("next"), f("final_url", F.col("at")).alias("final_url"), f("count", F.lit(0)).alias("count"),
-            f("status", F.lit(0)).alias("status"), f("redirected", F.lit(False)).alias("redirected"), f("redirects", F.array().cast(_HOPS)).alias("redirects"),
-            f("error", unseen).alias("error"),
-        ).cast(_STEP)
-        rows = going.join(node, F.col("at") == F.col("n_url"), "left").withColumn("this", this)
-        t = lambda name: F.col(f"this.{name}")
-        stops = (t("error") != "") | (t("status") == 0) | (t("status") >= 400) | (t("next") == "") | (t("next") == t("final_url"))
-        visited = F.concat("visited", F.array("at"))
-        loop = ~stops & F.array_contains(visited, t("next"))
-        done = stored(rows.select(
-            "page_id", "norm_url", "initial", t("next").alias("at"), visited.alias("visited"), F.concat("levels", F.array("this")).alias("levels"),
-            (~stops & ~loop).alias("going"), loop.alias("loop"),
-        ), "canonical-level")
-        ended.append(done.where("NOT going").select("page_id", "norm_url", "initial", "levels", F.lit(False).alias("capped"), "loop"))
-        going = done.where("going").drop("going", "loop")
+    targets = pages.groupBy(F.col("norm_url").alias("url")).agg(F.min_by(step, "page_id").alias("step"))
+    again = F.col("step.next") == F.col("url")
+    chains = stored(targets.select(
+        "url", F.array("step").alias("steps"), F.when(~_stops(F.col("step")) & ~again, F.col("step.next")).alias("end"), (~_stops(F.col("step")) & again).alias("loop")), "canonical-chains")
+    ended, going, length = [], chains, 1
+    while max_levels is None or length < max_levels:
+        ended.append(going.where("end IS NULL"))
+        going = going.where("end IS NOT NULL")
         if going.isEmpty():
             break
-    ended.append(going.select("page_id", "norm_url", "initial", "levels", F.lit(True).alias("capped"), F.lit(False).alias("loop")))
-    out = ended[0]
-    for part in ended[1:]:
-        out = out.unionByName(part)
-    return out
+        every = going
+        for part in ended:
+            every = every.unionByName(part)
+        tail = every.select(F.col("url").alias("t_url"), F.col("steps").alias("t_steps"), F.col("end").alias("t_end"), F.col("loop").alias("t_loop"))
+        both = going.join(tail, F.col("end") == F.col("t_url"), "left").select(
+            "url", F.concat("steps", F.coalesce("t_steps", F.array(_unseen(F.col("end"))))).alias("all"), "t_end", F.coalesce("t_loop", F.lit(False)).alias("t_loop"))
+        cut = both.select("*", _until_repeated(F.col("all")).alias("steps"))
+        back = (F.size("steps") < F.size("all")) | F.coalesce(F.exists("steps", lambda s: s["url"] == F.col("t_end")), F.lit(False))
+        going = stored(cut.select("url", "steps", F.when(~back, F.col("t_end")).alias("end"), (back | F.col("t_loop")).alias("loop")), "canonical-chains")
+        length *= 2
+    for part in ended:
+        going = going.unionByName(part)
+    return going
+
+
+def _unseen(url: Column) -> Column:
+    """A target that no page is known for."""
+    return F.struct(
+        url.alias("url"), F.lit("").alias("next"), url.alias("final_url"), F.lit(0).alias("count"), F.lit(0).alias("status"), F.lit(False).alias("redirected"),
+        F.array().cast(_HOPS).alias("redirects"), F.lit("network").alias("error")).cast(_STEP)
+
+
+def canonical_walk(pages: DataFrame, max_levels: int | None = MAX_LEVELS) -> DataFrame:
+    """Follow each page's canonical for up to ``max_levels`` targets, or to the end with None.
+
+    ``pages``: ``page_id, norm_url, norm_canonical, canonical_count, status, redirected,
+    error``, and where known ``final_url`` (after redirects, else ``norm_url``) and
+    ``redirects`` (array of from/to, else ``hops`` counts them). A walk ends at a fetch
+    error, at a missing status or one of 400 and above, and where a target's canonical is
+    missing or its own final URL; it is a loop where the canonical was visited before.
+
+    Chains of targets are built once for all pages (see :func:`_target_chains`); a page takes
+    the chain of its canonical and is a loop where that leads back to the page.
+    """
+    chains = _target_chains(pages, max_levels)
+    walks = pages.where("norm_canonical <> ''").select("page_id", "norm_url", F.col("norm_canonical").alias("initial"))
+    found = walks.join(chains, F.col("initial") == F.col("url"), "left").select(
+        "page_id", "norm_url", "initial", F.coalesce("steps", F.array(_unseen(F.col("initial")))).alias("steps"), "end", F.coalesce("loop", F.lit(False)).alias("loop"))
+    home = F.array_position(F.transform("steps", lambda s: (s["next"] == F.col("norm_url")) & ~_stops(s)), True)
+    levels = F.when(F.col("home") > 0, F.slice("steps", F.lit(1), F.col("home").cast("int"))).otherwise(F.col("steps"))
+    loop = (F.col("home") > 0) | F.col("loop")
+    rows = found.withColumn("home", home).select("page_id", "norm_url", "initial", levels.alias("levels"), loop.alias("loop"), F.col("end").isNotNull().alias("more"))
+    if max_levels is None:
+        return rows.select("page_id", "norm_url", "initial", "levels", F.lit(False).alias("capped"), "loop")
+    over = F.size("levels") > max_levels
+    # A walk that is cut before it comes to its end or loop is neither.
+    return rows.select(
+        "page_id", "norm_url", "initial", F.slice("levels", F.lit(1), F.lit(max_levels)).alias("levels"), (over | (F.col("more") & ~F.col("loop"))).alias("capped"), (F.col("loop") & ~over).alias("loop"))
 
 
 def canonical_chain(walk: DataFrame) -> DataFrame:

@@ -51,3 +51,20 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, label: str, *keys: str, into: str | None = None) -> tuple[DataFrame, str]:
+    """Write a table dealt and sorted by ``keys`` to the shared folder; (table, its name).
+
+    Joins and groupings on these keys read it without a shuffle. It has as many buckets as
+    shuffles have partitions, so what is joined with it is dealt alike. ``into`` adds the
+    rows to a table written before.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = into or f"{label}_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    # Dealt as its reader expects, so a task writes one file of one bucket.
+    dealt = df.repartition(n, *keys)
+    dealt.write.bucketBy(n, *keys).sortBy(*keys).option("path", path).mode("append" if into else "error").format("parquet").saveAsTable(name)
+    return spark.table(name), name

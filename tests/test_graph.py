@@ -1,7 +1,10 @@
+import random
+
 from pyspark.sql import functions as F
 
 from pagesieve.operators import audit_table as A
 from pagesieve.operators import canonicals, crawl, links as L, sitemaps, snapshots as SN
+from pagesieve.session import bucketed
 
 
 def nodes(spark, rows):
@@ -45,6 +48,91 @@ def test_crawl_budget_and_first_source(spark):
     assert crawl.crawl(edges, seeds, depth_limit=0).count() == 1
 
 
+def walked(rows, max_levels):
+    """Each page's walk, one step after the other."""
+    first, out = {}, {}
+    for i, (u, n, s, e) in enumerate(rows):
+        first.setdefault(u, (n, s, e))
+    for i, (u, n, s, e) in enumerate(rows):
+        if not n:
+            continue
+        at, visited, levels, loop, capped = n, [u], [], False, True
+        while max_levels is None or len(levels) < max_levels:
+            nxt, status, error = first.get(at, ("", 0, "network"))
+            levels.append(at)
+            visited.append(at)
+            if error or status == 0 or status >= 400 or not nxt or nxt == at:
+                capped = False
+                break
+            if nxt in visited:
+                loop, capped = True, False
+                break
+            at = nxt
+        out[i] = (levels, loop, capped)
+    return out
+
+
+def test_walks_like_step_by_step(spark):
+    r = random.Random(5)
+    for size in (6, 25):
+        rows = [(f"u{r.randrange(size)}" if r.random() < 0.2 else f"u{i}", f"u{r.randrange(size + 2)}" if r.random() < 0.9 else "", 404 if r.random() < 0.08 else 200, "x" if r.random() < 0.05 else "") for i in range(size)]
+        for limit in (1, 2, 3, 5, None):
+            got = {x["page_id"]: ([s["url"] for s in x["levels"]], x["loop"], x["capped"]) for x in canonicals.canonical_walk(nodes(spark, rows), limit).collect()}
+            assert got == walked(rows, limit), (rows, limit)
+
+
+def test_long_chains_and_loops_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(canonicals, "stored", lambda df, label, f=canonicals.stored: rounds.append(label) or f(df, label))
+    chain_ = [(f"c{i}", f"c{i + 1}", 200, "") for i in range(1000)] + [("c1000", "c1000", 200, "")]
+    loop = [(f"l{i}", f"l{(i + 1) % 300}", 200, "") for i in range(300)]
+    got = {x["page_id"]: x for x in canonicals.canonical_walk(nodes(spark, chain_ + loop), None).select("page_id", F.size("levels").alias("n"), "loop", "capped").collect()}
+    assert len(rounds) <= 12  # the first writing and eleven rounds
+    assert [got[i]["n"] for i in (0, 1, 999, 1000)] == [1000, 999, 1, 1] and not got[0]["loop"]
+    assert all(got[1001 + i]["loop"] and got[1001 + i]["n"] == 299 for i in range(300)) and not any(x["capped"] for x in got.values())
+
+
+def test_crawl_like_step_by_step(spark):
+    r = random.Random(7)
+    links = {(f"p{r.randrange(60)}", f"p{r.randrange(70)}") for _ in range(110)}
+    order = {}
+    edges = []
+    for s, u in sorted(links):
+        order[s] = order.get(s, -1) + 1
+        edges.append((s, u, order[s]))
+    frame = spark.createDataFrame(edges, "source string, url string, idx int")
+    seeds = spark.createDataFrame([("p1",), ("p2",)], "url string")
+    known = spark.createDataFrame([(f"p{i}",) for i in range(55)], "url string")
+    for depth_limit, url_limit, pages in ((None, None, None), (2, None, known), (3, 12, known), (None, 7, None)):
+        visited, now, depth = {"p1": ("", 0), "p2": ("", 0)}, ["p1", "p2"], 0
+        while now and (depth_limit is None or depth < depth_limit):
+            fresh = []
+            for s in now:
+                for _, u, _ in sorted((e for e in edges if e[0] == s), key=lambda e: e[2]):
+                    if u not in visited and (pages is None or int(u[1:]) < 55) and (url_limit is None or len(visited) < url_limit):
+                        visited[u] = (s, depth + 1)
+                        fresh.append(u)
+            now, depth = fresh, depth + 1
+        left_out = {s for s, u, _ in edges if s in visited and u not in visited and (pages is None or int(u[1:]) < 55)}
+        got = {x["url"]: (x["source"], x["depth"], x["capped"]) for x in crawl.crawl(frame, seeds, depth_limit, url_limit, pages).collect()}
+        assert got == {u: (*v, u in left_out) for u, v in visited.items()}
+
+
+def test_crawl_moves_neither_edges_nor_visited(spark):
+    edges = spark.createDataFrame([(f"a{i}", f"a{i + 1}", 0) for i in range(50)], "source string, url string, idx int")
+    kept, _ = bucketed(edges, "edges_", "source")
+    seen, name = bucketed(spark.createDataFrame([("a1", 0)], "url string, rank long"), "seen_", "url")
+    seen, _ = bucketed(spark.createDataFrame([("a2", 1)], "url string, rank long"), "seen_", "url", into=name)
+    found = seen.select(F.col("url").alias("source"), "rank").join(kept, "source").select("url", "source", "rank", "idx")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = crawl.next_frontier(found, seen, None)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # The links found are dealt out by URL; the tables on both sides are read as they lie.
+    assert plan.count("Exchange") == 1 and {r["url"] for r in crawl.next_frontier(found, seen, None).collect()} == {"a3"}
+
+
 def test_crawl_options(value):
     assert value(crawl.clamp_int(F.lit("2.5"), 9, 0, 3)) == 3
     assert value(crawl.clamp_int(F.lit("x"), 9, 0, 3)) == 9
