@@ -89,7 +89,8 @@ def duplicate_titles(spark, sf_dir):
 
 @query("duplicate_groups", f"WITH {AUDIT_SQL}, {_LONG} SELECT field, key, pages FROM dg")
 def duplicate_groups(spark, sf_dir):
-    return A.duplicate_groups(_rows(spark, sf_dir)).select("field", "key", "pages")
+    facts = X.extract_facts(seeded_pages(spark, sf_dir), "title", "description", "headings")
+    return A.duplicate_groups(A.text_fields(facts)).select("field", "key", "pages")
 
 
 @query("duplicate_members", f"WITH {AUDIT_SQL}, {_LONG} SELECT p AS page_id, field, pages FROM dl JOIN dg USING (field, key)")
@@ -99,11 +100,12 @@ def duplicate_members(spark, sf_dir):
 
 @query(
     "document_duplicates",
-    "SELECT lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))[:100] AS key_start, count(*) AS pages FROM (SELECT lower(trim(left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 2000))) AS text FROM documents) WHERE text <> '' GROUP BY text HAVING count(*) > 1",
+    # Whole texts, as the operator groups them; a group is named by its smallest doc_id.
+    "SELECT min(doc_id) AS first_doc, count(*) AS pages FROM (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS key FROM documents) WHERE key <> '' GROUP BY key HAVING count(*) > 1",
 )
 def document_duplicates(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.col("text").alias("description"), F.lit(True).alias("available"))
-    return A.duplicate_groups(docs, ["description"]).select(F.left("key", F.lit(100)).alias("key_start"), "pages")
+    return A.duplicate_groups(docs, ["description"]).select(F.col("first_page").alias("first_doc"), "pages")
 
 
 @query(

@@ -428,7 +428,7 @@ mx AS (SELECT p, url, kind, bool_or(active) AS active FROM (
 
 
 def _mixed(spark, sf_dir):
-    dom = X.dom_resources(seeded_pages(spark, sf_dir)).select("page_id", "page_url", "url", "kind", "active")
+    dom = X.dom_resources(seeded_pages(spark, sf_dir), insecure=True).select("page_id", "page_url", "url", "kind", "active")
     return SEC.mixed_content(dom.unionByName(SEC.timing_candidates(_resources(spark, sf_dir))))
 
 

@@ -99,6 +99,13 @@ def error_rows(failed: DataFrame, like: DataFrame) -> DataFrame:
     )
 
 
+def text_fields(facts: DataFrame) -> DataFrame:
+    """What duplicates are judged by, as in :func:`audit_rows`, from ``title``, ``description`` and ``headings`` alone."""
+    h1 = F.get(F.filter("headings", lambda h: h["level"] == 1), F.lit(0))["text"]
+    texts = {"title": clean(F.col("title")), "description": clean(F.col("description")), "h1": F.coalesce(clean(h1), F.lit(""))}
+    return facts.select("page_id", "url", F.lit(True).alias("available"), *[v.alias(k) for k, v in texts.items()])
+
+
 def duplicate_key(value: Column) -> Column:
     return F.lower(clean(value))
 
@@ -111,14 +118,14 @@ def _long(rows: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def duplicate_groups(rows: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    """``field, key, value, pages`` of every value shared by more than one page.
+    """``field, key, value, first_page, pages`` of every value shared by more than one page.
 
     Only counts and one sample travel to a key, so a value on a third of all pages is
     combined map-side like any other; the members stay rows (:func:`duplicate_members`).
     """
     long = _long(rows, fields or DUPLICATE_FIELDS)
     groups = long.groupBy("field", "key").agg(
-        F.count("*").alias("pages"), F.min_by(clean(F.col("value")), "page_id").alias("value")
+        F.count("*").alias("pages"), F.min_by(clean(F.col("value")), "page_id").alias("value"), F.min("page_id").alias("first_page")
     )
     return groups.where("pages > 1")
 
