@@ -543,6 +543,11 @@ def resource_hints(pages: DataFrame) -> DataFrame:
     )
 
 
+@per_session
+def _resource_url() -> Column:
+    return _no_fragment(U.absolute_url(F.col("ref"), F.col("base"), browser=True))
+
+
 def dom_resources(pages: DataFrame, insecure: bool = False) -> DataFrame:
     """Resource URLs referenced by elements and srcset lists, active or passive.
 
@@ -566,9 +571,7 @@ def dom_resources(pages: DataFrame, insecure: bool = False) -> DataFrame:
         lambda r: F.struct(r.alias("ref"), F.lit("image").alias("kind"), F.lit("srcset").alias("source"), F.lit(False).alias("active")),
     )
     out = rows.select("page_id", "url", "base", F.explode(F.concat(direct, listed)).alias("r")).select("page_id", "url", "base", "r.*")
-    resolved = out.where(F.coalesce(F.col("ref"), F.lit("")) != "").withColumn(
-        "resource_url", _no_fragment(U.absolute_url(F.col("ref"), F.col("base"), browser=True))
-    )
+    resolved = settled(out.where(F.coalesce(F.col("ref"), F.lit("")) != ""), {"resource_url": _resource_url()})
     return resolved.where(F.col("resource_url").rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:")).select(
         "page_id", F.col("url").alias("page_url"), F.col("resource_url").alias("url"), "kind", "source", "active"
     )
