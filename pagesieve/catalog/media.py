@@ -11,6 +11,7 @@ from ..operators import timing as T
 from ..plans.audit import with_response
 from ..sources.fetch import response_meta
 from .facts import IMAGES_SQL, RESOURCES_SQL, SCRIPTS_SQL, STYLES_SQL
+from ..sources.io import spread
 from .registry import keys, query, table
 from .seed import SEED_SQL, fetch_log, seeded_pages
 
@@ -23,8 +24,8 @@ def resource_log(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
     e, kind = F.col("event_id"), F.col("event_type")
     s = lambda n: (e % n).cast("string")
-    # Dealt out by key: broadcasting the narrow events would leave all their URLs to the few tasks that read the pages.
-    rows = ev.join(pages.hint("merge"), F.col("user_id") == F.col("page_id"))
+    # Whichever side is broadcast or however few bytes are shuffled, the URLs are worked on by all cores.
+    rows = spread(ev.join(pages, F.col("user_id") == F.col("page_id")))
     url = (
         F.when(kind == "view", F.concat(F.lit("https://cdn"), s(5), F.lit(".example.net/i/"), s(20), F.lit(".png#x")))
         .when((kind == "click") & (e % 3 == 0), F.lit("https://www.google-analytics.com/ga.js"))
