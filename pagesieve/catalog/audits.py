@@ -16,7 +16,7 @@ from ..sources.fetch import response_meta
 from .facts import HREFLANG_SQL, LINKS_SQL
 from .graph import link_results, robots_docs, ROBOTS_SQL
 from .media import TIMING_SQL, _resources
-from .pages import ISSUES_SQL, SCORES, VERDICT, BASE_SQL
+from .pages import BASE_SQL, ISSUES_SQL, SCORES, TYPE_RAW_SQL, VERDICT
 from .registry import keys, query, table
 from .seed import SEED_SQL, fetch_log, seeded_pages
 
@@ -207,10 +207,9 @@ def annotate_pagination(spark, sf_dir):
 
 @query(
     "pagination_link_status",
-    f"""WITH {SEED_SQL} SELECT p AS page_id, 12::BIGINT AS links, 12::BIGINT AS unchecked FROM s WHERE p % 4 = 2""",
+    f"""WITH {SEED_SQL} SELECT p AS page_id, n AS links, n AS unchecked FROM (SELECT p, (CASE WHEN p % 4 = 2 THEN 12 ELSE 0 END + (p % 11 = 5 AND p > 0)::INT)::BIGINT AS n FROM s) WHERE n > 0""",
 )
 def pagination_link_status(spark, sf_dir):
-    # The SQL states the links of the seeded lists only.
     rows = A.pagination_link_status(CM.pager_links(X.links(seeded_pages(spark, sf_dir))), link_results(spark, sf_dir))
     return rows.groupBy("page_id").agg(F.count("*").alias("links"), F.count_if(F.col("state") == "unchecked").alias("unchecked"))
 
@@ -280,13 +279,13 @@ def product_summary(spark, sf_dir):
 
 
 PRODUCT_SQL = (
-    SEED_SQL
+    TYPE_RAW_SQL
     + """,
 pd AS (SELECT *, p % 4 = 1 AS is_product, CASE WHEN p % 4 <> 1 OR p % 10 = 1 THEN '' ELSE 'Item ' || p END AS pname, CASE WHEN p % 4 <> 1 OR p % 10 = 3 THEN '' ELSE '/img/' || p || '.png' END AS pimage,
    CASE WHEN p % 4 <> 1 OR p % 10 = 5 THEN '' ELSE 'S' || p END AS psku, CASE WHEN p % 4 <> 1 OR p % 10 = 7 THEN '' ELSE lpad(p::VARCHAR, 13, '0') END AS pgtin, CASE WHEN p % 4 <> 1 OR p % 10 = 9 THEN '' ELSE 'Brand ' || (p % 6) END AS pbrand,
    CASE WHEN p % 4 <> 1 THEN '' WHEN p % 12 = 5 THEN p || '.50' WHEN p % 12 = 9 THEN p::VARCHAR ELSE '' END AS price, CASE WHEN p % 4 = 1 AND p % 12 = 5 THEN 'EUR' ELSE '' END AS currency,
    CASE WHEN p % 4 <> 1 THEN '' WHEN p % 12 = 5 THEN 'https://schema.org/InStock' WHEN p % 12 = 9 THEN 'http://schema.org/OutOfStock' ELSE '' END AS availability,
-   CASE WHEN p % 4 = 1 AND p % 24 = 5 THEN '4.5' ELSE '' END AS rating, CASE WHEN p % 4 = 1 AND p % 24 = 5 THEN p::VARCHAR ELSE '' END AS reviews FROM s)"""
+   CASE WHEN p % 4 = 1 AND p % 24 = 5 THEN '4.5' ELSE '' END AS rating, CASE WHEN p % 4 = 1 AND p % 24 = 5 THEN p::VARCHAR ELSE '' END AS reviews, p % 4 = 1 OR primary_ = 'product' AS applies FROM ptp)"""
 )
 
 
@@ -298,11 +297,10 @@ def _products(spark, sf_dir, *extra):
 @query(
     "product_offers",
     f"""WITH {PRODUCT_SQL} SELECT p AS page_id, (p % 12 IN (5, 9))::INT AS offer_count, price, currency, availability, CASE WHEN p % 12 = 9 THEN p::VARCHAR ELSE '' END AS low_price, CASE WHEN p % 12 = 9 THEN (p + 5)::VARCHAR ELSE '' END AS high_price,
-        CASE WHEN p % 12 = 5 THEN 'instock' WHEN p % 12 = 9 THEN 'outofstock' ELSE '' END AS states FROM pd WHERE is_product""",
+        CASE WHEN p % 12 = 5 THEN 'instock' WHEN p % 12 = 9 THEN 'outofstock' ELSE '' END AS states FROM pd""",
 )
 def product_offers(spark, sf_dir):
     facts = page_facts(seeded_pages(spark, sf_dir), "jsonld")
-    # The SQL states pages with a Product node only, here and below; tests/test_whole.py covers the others.
     rows = S.product_offers(S.with_product_nodes(facts))
     return rows.select("page_id", "offer_count", "price", "currency", "availability", "low_price", "high_price", F.array_join("states", ",").alias("states"))
 
@@ -311,7 +309,7 @@ def product_offers(spark, sf_dir):
     "product_fields",
     f"""WITH {PRODUCT_SQL} SELECT p AS page_id, pname AS name, pimage AS image, psku AS sku, pgtin AS gtin, pbrand AS brand, price, currency, availability, rating, reviews,
         floor(((pname <> '')::INT + (pimage <> '')::INT + (psku <> '')::INT + (pgtin <> '')::INT + (pbrand <> '')::INT + (price <> '')::INT + (currency <> '')::INT + (availability <> '')::INT + (rating <> '')::INT + (reviews <> '')::INT) * 10)::INT AS completeness
-        FROM pd WHERE is_product""",
+        FROM pd""",
 )
 def product_fields(spark, sf_dir):
     return _products(spark, sf_dir).select(
@@ -329,7 +327,7 @@ _CROSS = "(canon_href <> '' AND regexp_extract(canon_href, '^(https?://[^/]+)',
         CASE WHEN NOT is_product THEN 'product.schema.missing' END, CASE WHEN is_product AND pname = '' THEN 'product.name.missing' END, CASE WHEN is_product AND pimage = '' THEN 'product.image.missing' END,
         CASE WHEN is_product AND p % 12 NOT IN (5, 9) THEN 'product.offers.missing' END, CASE WHEN is_product AND p % 12 = 9 THEN 'product.currency.missing' END, CASE WHEN NOT (p % 8 = 1) THEN 'product.breadcrumb.missing' END,
         CASE WHEN canon_href = '' THEN 'product.canonical.missing' WHEN canon_count > 1 THEN 'product.canonical.multiple' WHEN {_CROSS} THEN 'product.canonical.cross_origin' WHEN NOT {_SELF} THEN 'product.canonical.different' END,
-        CASE WHEN is_product AND p % 12 = 9 AND p % 7 IN (0, 2) THEN 'product.stock.noindex' END], lambda x: x IS NOT NULL)) AS id FROM pd WHERE is_product)
+        CASE WHEN is_product AND p % 12 = 9 AND p % 7 IN (0, 2) THEN 'product.stock.noindex' END], lambda x: x IS NOT NULL)) AS id FROM pd WHERE applies)
         SELECT p AS page_id, id FROM i""",
 )
 def product_audit(spark, sf_dir):
@@ -340,8 +338,8 @@ def product_audit(spark, sf_dir):
 
 @query(
     "product_hints",
-    f"""WITH {PRODUCT_SQL} SELECT p AS page_id, array_to_string(list_filter([CASE WHEN pgtin = '' THEN 'gtin' END, CASE WHEN psku = '' THEN 'sku' END, CASE WHEN pbrand = '' THEN 'brand' END, CASE WHEN rating = '' THEN 'reviews' END,
-        CASE WHEN p % 12 = 9 THEN 'out-of-stock' END], lambda x: x IS NOT NULL), ',') AS hints, p % 12 = 9 AS out_of_stock FROM pd WHERE is_product""",
+    f"""WITH {PRODUCT_SQL} SELECT p AS page_id, CASE WHEN NOT applies THEN '' ELSE array_to_string(list_filter([CASE WHEN pgtin = '' THEN 'gtin' END, CASE WHEN psku = '' THEN 'sku' END, CASE WHEN pbrand = '' THEN 'brand' END, CASE WHEN rating = '' THEN 'reviews' END,
+        CASE WHEN p % 12 = 9 THEN 'out-of-stock' END], lambda x: x IS NOT NULL), ',') END AS hints, p % 12 = 9 AS out_of_stock FROM pd""",
 )
 def product_hints(spark, sf_dir):
     df = T.page_type(_products(spark, sf_dir, *T.FACTS_NEEDED, "canonical", "robots"))
@@ -350,7 +348,7 @@ def product_hints(spark, sf_dir):
 
 
 LISTING_SQL = (
-    SEED_SQL
+    TYPE_RAW_SQL
     + """,
 li AS (SELECT p, origin || '/item/' || p || '-' || i AS url FROM s, (SELECT unnest([1, 2, 3]) AS i) WHERE p % 4 = 2
   UNION ALL SELECT p, origin || '/p/' || p FROM s WHERE p % 11 = 5 UNION ALL SELECT p, origin || '/i/1' FROM s WHERE p % 11 = 6 UNION ALL SELECT p, origin || '/i/2' FROM s WHERE p % 11 = 6)"""
@@ -389,18 +387,17 @@ def pager_links(spark, sf_dir):
 
 @query(
     "category_audit",
-    f"""WITH {LISTING_SQL}, k AS (SELECT s.*, query LIKE '%page=2%' AS deep, query LIKE '%utm_source%' AS tracked, (p % 11 = 4 AND prv IS NOT NULL) AS has_prev, (SELECT count(*) FROM li WHERE li.p = s.p) AS items FROM s WHERE p % 4 = 2 OR p % 11 = 6),
+    f"""WITH {LISTING_SQL}, k AS (SELECT s.*, query LIKE '%page=2%' AS deep, query LIKE '%utm_source%' AS tracked, (p % 11 = 4 AND prv IS NOT NULL) AS has_prev, (SELECT count(*) FROM li WHERE li.p = s.p) AS items FROM ptp s WHERE p % 4 = 2 OR p % 11 = 6 OR primary_ = 'category'),
         i AS (SELECT p, unnest(list_filter([
           CASE WHEN canon_href = '' THEN 'category.canonical.missing' WHEN canon_count > 1 THEN 'category.canonical.multiple' WHEN {_CROSS} THEN 'category.canonical.cross_origin' WHEN NOT {_SELF} AND NOT deep THEN 'category.canonical.different' END,
           CASE WHEN tracked AND {_SELF} AND p % 7 NOT IN (0, 2) THEN 'category.params.noncontent_canonical' END, CASE WHEN tracked AND p % 7 = 2 THEN 'category.params.robots_conflict' END,
-          CASE WHEN p % 4 = 2 THEN 'category.facets.internal_links' END, CASE WHEN deep AND canon_href = '' THEN 'category.pagination.canonical_missing' END, CASE WHEN deep AND NOT has_prev THEN 'category.pagination.prev_missing' END], lambda x: x IS NOT NULL)) AS id FROM k)
+          CASE WHEN p % 4 = 2 THEN 'category.facets.internal_links' END, CASE WHEN deep AND canon_href = '' THEN 'category.pagination.canonical_missing' END, CASE WHEN deep AND NOT has_prev THEN 'category.pagination.prev_missing' END,
+          CASE WHEN items = 0 THEN 'category.items.empty' WHEN items <= 2 AND words < 120 THEN 'category.items.thin' END, CASE WHEN p % 5 = 4 AND query = '?page=2' THEN 'category.pagination.canonical_first_page' END], lambda x: x IS NOT NULL)) AS id FROM k)
         SELECT p AS page_id, id FROM i""",
 )
 def category_audit(spark, sf_dir):
     facts = page_facts(seeded_pages(spark, sf_dir), *dict.fromkeys(("jsonld", *T.FACTS_NEEDED, "canonical", "robots", "links")))
     df = T.page_type(S.listing_items(S.with_product_nodes(facts)))
-    # The SQL leaves out pages that are listings by type alone and issues that follow from a page's own words and paging;
-    # tests/test_whole.py covers those.
     return CM.category_audit(df).select("page_id", F.explode("category_issues").alias("i")).select("page_id", "i.id")
 
 
