@@ -16,7 +16,8 @@ from ..session import checkpoint_dir
 from ..sources.io import AUDIT_COLUMNS, CRAWL_COLUMNS, issue_text, usable_pages, write_audit_csv, write_crawl_csv
 from .audits import AUDIT_SQL, NODES_SQL, _rows
 from .facts import LINKS_SQL
-from .pages import CHECKS, ISSUES_SQL, SCORES, VERDICT
+from .media import _H
+from .pages import CHECKS, ISSUES_SQL, MESSAGE, MESSAGES_SQL, SCORES, TITLES, VERDICT, _evaluated
 from .registry import keys, query, table
 from .seed import BASE_SQL, SEED_SQL, fetch_log, seeded_pages
 
@@ -61,6 +62,7 @@ def _pairs(spark, sf_dir):
 COMPARE_SQL = (
     DIFF_SQL
     + """,
+""" + _H.strip() + """,
 lc AS (SELECT s.p, count(lk.p) FILTER (kind = 'http') AS http, count(*) FILTER (internal) AS inside, count(*) FILTER (kind = 'http' AND nofollow) AS nofollow,
          count(*) FILTER (kind = 'http' AND sponsored) AS sponsored, count(*) FILTER (kind = 'http' AND ugc) AS ugc FROM s LEFT JOIN lk ON lk.p = s.p GROUP BY s.p),
 cv AS (SELECT p, field, coalesce(nullif(v, ''), '—') AS v FROM (
@@ -71,7 +73,19 @@ cv AS (SELECT p, field, coalesce(nullif(v, ''), '—') AS v FROM (
   UNION ALL SELECT p, 'nofollow links', nofollow::VARCHAR FROM lc UNION ALL SELECT p, 'sponsored links', sponsored::VARCHAR FROM lc UNION ALL SELECT p, 'UGC links', ugc::VARCHAR FROM lc
   UNION ALL SELECT p, CASE field WHEN 'title' THEN 'Title' WHEN 'description' THEN 'Description' WHEN 'canonical' THEN 'Canonical' WHEN 'robots' THEN 'Robots' WHEN 'headingCount' THEN 'Heading count' WHEN 'linkCount' THEN 'Total links' WHEN 'imageCount' THEN 'Total images' WHEN 'hreflangCount' THEN 'Hreflang count' WHEN 'score' THEN 'SEO score' WHEN 'schemaTypes' THEN 'Schema types' WHEN 'issueIds' THEN 'Issue IDs' END,
     CASE WHEN field IN ('schemaTypes', 'issueIds') THEN replace(v, ',', chr(10)) ELSE v END FROM cell WHERE field <> 'h1'
-  UNION ALL SELECT p, 'H1', string_agg(text, chr(10) ORDER BY o) FILTER (level = 1) FROM hs GROUP BY p))"""
+  UNION ALL SELECT p, 'H1', string_agg(text, chr(10) ORDER BY o) FILTER (level = 1) FROM hs GROUP BY p
+  UNION ALL SELECT p, 'URL', u FROM s UNION ALL SELECT p, 'Missing dimensions', (CASE WHEN p % 5 = 0 THEN 0 ELSE p % 3 END)::VARCHAR FROM s
+  UNION ALL SELECT p, 'Image sources', array_to_string(list_transform(range(0, p % 3), lambda i: origin || '/img/' || p || '-' || i || '.png'), chr(10)) FROM s
+  UNION ALL SELECT s.p, 'HTTP targets', array_to_string(list_sort(list(DISTINCT array_to_string(list_transform(string_split(href, ''), lambda c: CASE WHEN regexp_matches(c, '[^\\x00-\\x7f]') THEN url_encode(c) ELSE c END), '')) FILTER (kind = 'http')), chr(10)) FROM s LEFT JOIN lk ON lk.p = s.p GROUP BY s.p
+  UNION ALL SELECT p, 'Outline', string_agg(trim('H' || level || ' ' || text), chr(10) ORDER BY o) FROM hs GROUP BY p
+  UNION ALL SELECT s.p, 'Declarations', string_agg(lower(tag) || ' → ' || href, chr(10) ORDER BY lower(tag) || ' → ' || href) FROM s LEFT JOIN hl ON hl.p = s.p GROUP BY s.p
+  UNION ALL SELECT p, 'Content-Type', 'text/html; charset=utf-8' FROM s UNION ALL SELECT p, 'Cache-Control', '' FROM s
+  UNION ALL SELECT p, 'Content-Language', CASE p % 4 WHEN 0 THEN 'de, en' WHEN 1 THEN 'en-US;q=1' ELSE '' END FROM s
+  UNION ALL SELECT p, CASE key WHEN 'csp' THEN 'Content-Security-Policy' WHEN 'hsts' THEN 'Strict-Transport-Security' WHEN 'xfo' THEN 'X-Frame-Options' WHEN 'referrer' THEN 'Referrer-Policy' WHEN 'permissions' THEN 'Permissions-Policy' ELSE 'X-Content-Type-Options' END,
+    state || coalesce(' · ' || CASE key WHEN 'csp' THEN CASE p % 6 WHEN 0 THEN 'default-src ''self''; script-src * ''unsafe-eval''' WHEN 1 THEN 'default-src ''self''; frame-ancestors ''none''' END
+      WHEN 'hsts' THEN CASE p % 5 WHEN 0 THEN 'max-age=31536000; includeSubDomains' WHEN 1 THEN 'max-age=0' END WHEN 'xfo' THEN CASE p % 7 WHEN 0 THEN 'DENY' WHEN 1 THEN 'ALLOWALL' END
+      WHEN 'referrer' THEN CASE p % 3 WHEN 0 THEN 'strict-origin' WHEN 1 THEN 'no-referrer, unsafe-url' END WHEN 'permissions' THEN CASE p % 2 WHEN 0 THEN 'geolocation=()' END
+      ELSE CASE p % 4 WHEN 0 THEN 'nosniff' WHEN 1 THEN 'none' END END, '') FROM hr))"""
 )
 
 
@@ -80,7 +94,6 @@ cv AS (SELECT p, field, coalesce(nullif(v, ''), '—') AS v FROM (
     f"""WITH {COMPARE_SQL} SELECT l.p AS pair_id, l.field, l.v AS "left", r.v AS "right", l.v = r.v AS equal FROM cv l JOIN cv r ON r.p = l.p + 1 AND r.field = l.field WHERE l.p % 2 = 0""",
 )
 def compare_pages(spark, sf_dir):
-    # The SQL states 25 of the 40 fields; tests/test_whole.py covers the others.
     rows = CP.compare_pages(_summaries(spark, sf_dir), _pairs(spark, sf_dir))
     return rows.select("pair_id", "field", "left", "right", "equal")
 
@@ -358,14 +371,12 @@ def usable(spark, sf_dir):
 
 @query(
     "issue_text",
-    f"""WITH {BASE_SQL} SELECT p AS page_id, '[WARNING] Missing canonical: No canonical link element was found.' AS line FROM b""",
+    f"""WITH {MESSAGES_SQL}, t AS (SELECT i.p, i.id, severity, {MESSAGE} AS message FROM iss i JOIN s ON s.p = i.p LEFT JOIN rs_ r ON r.p = i.p AND r.id = i.id)
+        SELECT p AS page_id, '[' || upper(severity) || '] ' || CASE id {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TITLES.items())} ELSE 'HTTP ' || (SELECT status FROM s WHERE s.p = t.p) END || ': ' || message AS line FROM t""",
 )
 def issue_lines(spark, sf_dir):
-    from ..operators.extract import extract_facts
-    from ..operators.schema import with_schemas
-
-    rows = I.issue_rows(I.evaluate(with_schemas(extract_facts(table(spark, sf_dir, "pages"), *I.FACTS_NEEDED))))
-    return rows.where("id = 'canonical.missing'").select("page_id", issue_text(rows).alias("line"))
+    rows = I.issue_rows(_evaluated(spark, sf_dir))
+    return rows.select("page_id", issue_text(rows).alias("line"))
 
 
 def _csv_sql(columns, own):

@@ -107,13 +107,21 @@ _SAID = {
     "html.lang.missing": "The root HTML element has no language value.", "schema.product.name": "A Product JSON-LD object was found without a name.",
     "schema.product.offers": "A Product JSON-LD object was found without offers.", "http.error": "The main document returned an error status.",
 }
+TITLES = {
+    "title.missing": "Missing title", "title.short": "Title is short", "title.long": "Title is long", "description.missing": "Missing meta description", "description.short": "Meta description is short",
+    "description.long": "Meta description is long", "viewport.missing": "Missing viewport meta tag", "canonical.missing": "Missing canonical", "canonical.multiple": "Multiple canonicals",
+    "canonical.different": "Canonical points elsewhere", "robots.meta.noindex": "Meta robots contains noindex", "robots.header.noindex": "X-Robots-Tag contains noindex", "robots.nofollow": "Page-level nofollow found",
+    "headings.h1.multiple": "Multiple H1 headings", "headings.jump": "Heading levels are skipped", "html.lang.missing": "Missing html lang attribute", "hreflang.duplicate": "Duplicate hreflang values",
+    "images.alt.missing": "Images missing alt attributes", "images.dimensions.missing": "Images missing explicit dimensions", "links.label.missing": "Links without descriptive text", "links.javascript": "javascript: links found",
+    "schema.invalid": "Invalid JSON-LD", "schema.product.name": "Product schema missing name", "schema.product.offers": "Product schema missing offers",
+}
 # What is counted, by id: the noun and what follows it.
 _COUNTED = {
     "headings.jump": ("heading transition", " skip one or more levels."), "hreflang.duplicate": ("duplicate hreflang declaration", " found."), "images.alt.missing": ("image", " have no alt attribute."),
     "images.dimensions.missing": ("image", " lack a width or height attribute."), "links.label.missing": ("HTTP link", " have no text, aria-label, title, or image alt label."),
     "links.javascript": ("javascript: link", " found."), "schema.invalid": ("JSON-LD block", " could not be parsed."),
 }
-_MESSAGES_SQL = (
+MESSAGES_SQL = (
     ISSUES_SQL + "," + LINKS_SQL.removeprefix(SEED_SQL + ",")
     + """,
 hd AS (SELECT p, level, o, row_number() OVER (PARTITION BY p ORDER BY o) - 1 AS idx FROM (
@@ -129,7 +137,7 @@ rf AS (
   UNION ALL SELECT p, 'schema.invalid', 0 FROM s),
 rs_ AS (SELECT p, id, count(*) AS n, string_agg(idx::VARCHAR, ',' ORDER BY idx) AS refs FROM rf GROUP BY p, id)"""
 )
-_MESSAGE = (
+MESSAGE = (
     "CASE i.id WHEN 'canonical.different' THEN canon_href "
     + " ".join(f"WHEN '{k}' THEN length({'trim(title)' if k.startswith('title') else 'description'}) || ' characters; configured {v}.'" for k, v in _LEAST.items())
     + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _SAID.items())
@@ -139,7 +147,7 @@ _MESSAGE = (
 
 @query(
     "issue_messages",
-    f"""WITH {_MESSAGES_SQL} SELECT i.p AS page_id, i.id, {_MESSAGE} AS message, coalesce(r.refs, '') AS refs FROM iss i JOIN s ON s.p = i.p LEFT JOIN rs_ r ON r.p = i.p AND r.id = i.id""",
+    f"""WITH {MESSAGES_SQL} SELECT i.p AS page_id, i.id, {MESSAGE} AS message, coalesce(r.refs, '') AS refs FROM iss i JOIN s ON s.p = i.p LEFT JOIN rs_ r ON r.p = i.p AND r.id = i.id""",
 )
 def issue_messages(spark, sf_dir):
     rows = I.issue_rows(_evaluated(spark, sf_dir))
