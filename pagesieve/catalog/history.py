@@ -74,7 +74,7 @@ cv AS (SELECT p, field, coalesce(nullif(v, ''), '—') AS v FROM (
   UNION ALL SELECT p, CASE field WHEN 'title' THEN 'Title' WHEN 'description' THEN 'Description' WHEN 'canonical' THEN 'Canonical' WHEN 'robots' THEN 'Robots' WHEN 'headingCount' THEN 'Heading count' WHEN 'linkCount' THEN 'Total links' WHEN 'imageCount' THEN 'Total images' WHEN 'hreflangCount' THEN 'Hreflang count' WHEN 'score' THEN 'SEO score' WHEN 'schemaTypes' THEN 'Schema types' WHEN 'issueIds' THEN 'Issue IDs' END,
     CASE WHEN field IN ('schemaTypes', 'issueIds') THEN replace(v, ',', chr(10)) ELSE v END FROM cell WHERE field <> 'h1'
   UNION ALL SELECT p, 'H1', string_agg(text, chr(10) ORDER BY o) FILTER (level = 1) FROM hs GROUP BY p
-  UNION ALL SELECT p, 'URL', u FROM s UNION ALL SELECT p, 'Missing dimensions', (CASE WHEN p % 5 = 0 THEN 0 ELSE p % 3 END)::VARCHAR FROM s
+  UNION ALL SELECT p, 'URL', url FROM s UNION ALL SELECT p, 'Missing dimensions', (CASE WHEN p % 5 = 0 THEN 0 ELSE p % 3 END)::VARCHAR FROM s
   UNION ALL SELECT p, 'Image sources', array_to_string(list_transform(range(0, p % 3), lambda i: origin || '/img/' || p || '-' || i || '.png'), chr(10)) FROM s
   UNION ALL SELECT s.p, 'HTTP targets', array_to_string(list_sort(list(DISTINCT array_to_string(list_transform(string_split(href, ''), lambda c: CASE WHEN regexp_matches(c, '[^\\x00-\\x7f]') THEN url_encode(c) ELSE c END), '')) FILTER (kind = 'http')), chr(10)) FROM s LEFT JOIN lk ON lk.p = s.p GROUP BY s.p
   UNION ALL SELECT p, 'Outline', string_agg(trim('H' || level || ' ' || text), chr(10) ORDER BY o) FROM hs GROUP BY p
