@@ -152,8 +152,10 @@ def read_chunks(archives: DataFrame, folder: str, chunk: int = CHUNK, with_data:
                         rows, held = [], 0
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
-    # One row a file: dealt out by path so that files are read side by side.
-    return archives.repartition("path").mapInArrow(run, CHUNKS)
+    # One row a file, dealt out so that files are read side by side; with a number, as a few
+    # short rows would else be folded into one task.
+    n = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return archives.repartition(n, "path").mapInArrow(run, CHUNKS)
 
 
 def _records(fs: pafs.FileSystem, path: str, chunk: int, with_data: bool) -> Iterator[tuple]:

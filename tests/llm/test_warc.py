@@ -77,3 +77,11 @@ def test_query_stores_the_bytes(spark, pages, tmp_path, monkeypatch):
     html = {r["page_id"]: (r["html"] or "").encode() for r in some.collect()}
     top = {h: p for p, h in sorted(html.items())}
     assert whole == {p: h if top[h] == p else b"" for p, h in html.items()}
+
+
+def test_archives_are_read_side_by_side(spark, tmp_path):
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("https://e.com/").alias("url"), F.concat(F.lit("body "), F.col("id")).alias("html")).repartition(8)
+    folder = str(tmp_path)
+    archives = W.write_archives(pages, folder)
+    tasks = W.read_chunks(archives, folder).select(F.spark_partition_id().alias("task")).distinct().count()
+    assert tasks > 1 and archives.count() > 1
