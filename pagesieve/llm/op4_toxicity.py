@@ -19,7 +19,7 @@ TRAIN_DOCS, FEATURES, SENTENCES = 30_000, 600, 10_000
 TOKEN = re.compile(r"[^\W\d_]+")
 # A sentence is a run without end of line or of sentence; each is one chain.
 SENTENCE = re.compile(r"[^.!?\n]+")
-LONGEST = 5_000  # tokens of one chain; a longer run is cut into several chains
+CELLS = 2_000_000  # tokens, with padding, of the chains that are run side by side
 PREFIXES = range(3, 9)
 REMEMBER = 100_000  # words whose features a worker keeps in mind
 
@@ -29,6 +29,19 @@ def features_of(word: str) -> list[str]:
     return ["=" + word, *("^" + word[:k] for k in PREFIXES if len(word) >= k)]
 
 
+class _Memo(dict):
+    """Kinds of the words met last."""
+
+    def __init__(self, model: Crf):
+        self.model = model
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBER:
+            self.clear()
+        k = self[word] = self.model.kind(word)
+        return k
+
+
 @dataclass
 class Crf:
     """Two tags (0 clean, 1 toxic). A token's weight is that of its known features and of feature 0, which all have."""
@@ -42,38 +55,52 @@ class Crf:
         if len(self.emit) <= len(self.index):
             self.emit = np.zeros((len(self.index) + 1, 2))
         self.kinds: dict[tuple[int, ...], int] = {(): 0}
-        self.memo: dict[str, int] = {}
+        self.memo = _Memo(self)
         self.begin = {f[:4] for f in self.index if f[0] == "^"}
         self.weights = [self.emit[0]]
 
     def kind(self, word: str) -> int:
         """Number of the token's set of known features; 0 is the empty set."""
-        k = self.memo.get(word)
+        known: tuple[int, ...] = ()
+        if "=" + word in self.index or "^" + word[:3] in self.begin:
+            known = tuple(self.index[f] for f in features_of(word) if f in self.index)
+        k = self.kinds.get(known)
         if k is None:
-            known: tuple[int, ...] = ()
-            if "=" + word in self.index or "^" + word[:3] in self.begin:
-                known = tuple(self.index[f] for f in features_of(word) if f in self.index)
-            k = self.kinds.get(known)
-            if k is None:
-                k = self.kinds[known] = len(self.kinds)
-                self.weights.append(self.emit[[0, *known]].sum(axis=0))
-            if len(self.memo) >= REMEMBER:
-                self.memo.clear()
-            self.memo[word] = k
+            k = self.kinds[known] = len(self.kinds)
+            self.weights.append(self.emit[[0, *known]].sum(axis=0))
         return k
 
+    def chain(self, words: list[str]) -> list[int]:
+        memo = self.memo
+        return [memo[w] for w in words]
+
+    def __getstate__(self):
+        return self.index, self.emit, self.step, self.scale
+
+    def __setstate__(self, state):
+        self.index, self.emit, self.step, self.scale = state
+        self.__post_init__()
+
     def marginals(self, chains: list[np.ndarray]) -> list[np.ndarray]:
         """P(tag of token = toxic) for every token of every chain of kinds, by forward-backward."""
         emit = np.array(self.weights)
         order = sorted(range(len(chains)), key=lambda i: -len(chains[i]))
         out: list = [np.empty(0)] * len(chains)
-        for k in range(0, len(order), 1024):
-            part = [i for i in order[k : k + 1024] if len(chains[i])]
-            for i, p in zip(part, _marginals([chains[i] for i in part], emit, self.step)[0] if part else []):
+        for part in _side_by_side([i for i in order if len(chains[i])], chains):
+            for i, p in zip(part, _marginals([chains[i] for i in part], emit, self.step)[0]):
                 out[i] = p
         return out
 
 
+def _side_by_side(order: list[int], chains: list[np.ndarray]) -> Iterator[list[int]]:
+    """Chains, longest first, in parts that stay below ``CELLS`` when padded; a longer chain is a part of its own."""
+    start = 0
+    while start < len(order):
+        n = max(1, min(1024, CELLS // max(1, len(chains[order[start]]))))
+        yield order[start : start + n]
+        start += n
+
+
 def _padded(chains: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(c) for c in chains])
     x = np.zeros((lengths.max(), len(chains)), dtype=np.int64)
@@ -113,18 +140,18 @@ def _marginals(chains: list[np.ndarray], emit: np.ndarray, step: np.ndarray):
 
 def _fit_words(hits: list[list[int]], toxic: np.ndarray, n: int, rounds: int = 150, ridge: float = 0.3) -> np.ndarray:
     """Ridge logistic regression of the document label on which features occur, by gradient steps of adaptive size."""
-    x = np.zeros((len(hits), n + 1), dtype=np.float32)
-    x[:, 0] = 1
-    for i, h in enumerate(hits):
-        x[i, h] = 1
-    y = toxic.astype(np.float32)
+    rows = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
+    cols = np.concatenate([np.asarray(h, dtype=np.int64) for h in hits]) if len(rows) else np.empty(0, dtype=np.int64)
+    y = toxic.astype(float)
     balance = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
-    w, seen = np.zeros(n + 1, dtype=np.float32), np.zeros(n + 1, dtype=np.float32)
+    w, seen = np.zeros(n + 1), np.zeros(n + 1)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = (x.T @ (balance * (p - y)).astype(np.float32) + ridge * w * (np.arange(n + 1) > 0)).astype(np.float32)
+        at = w[0] + np.bincount(rows, weights=w[cols], minlength=len(hits))
+        off = balance * (1 / (1 + np.exp(-np.clip(at, -30, 30))) - y)
+        g = np.bincount(cols, weights=off[rows], minlength=n + 1) + ridge * w
+        g[0] = off.sum()
         seen += g**2
-        w -= (0.3 * g / np.sqrt(seen + 1e-6)).astype(np.float32)
+        w -= 0.3 * g / np.sqrt(seen + 1e-6)
     return w
 
 
@@ -136,6 +163,7 @@ def _fit_crf(chains: list[np.ndarray], tags: list[np.ndarray], of_kind: np.ndarr
     """
     order = sorted(range(len(chains)), key=lambda i: -len(chains[i]))
     chains, tags = [chains[i] for i in order], [tags[i] for i in order]
+    parts = [[chains[i] for i in part] for part in _side_by_side(list(range(len(chains))), chains)]
     kinds, n = of_kind.shape
     had = np.bincount(np.concatenate(chains), weights=np.concatenate(tags), minlength=kinds)
     had_s = np.zeros((2, 2))
@@ -147,9 +175,10 @@ def _fit_crf(chains: list[np.ndarray], tags: list[np.ndarray], of_kind: np.ndarr
     seen_e, seen_s = np.zeros(n), np.zeros((2, 2))
     for _ in range(rounds):
         want, want_s = np.zeros(kinds), np.zeros((2, 2))
-        for k in range(0, len(chains), 1024):
-            p, _z, pairs = _marginals(chains[k : k + 1024], of_kind @ emit, step)
-            want += np.bincount(np.concatenate(chains[k : k + 1024]), weights=np.concatenate(p), minlength=kinds)
+        weights = of_kind @ emit
+        for part in parts:
+            p, _z, pairs = _marginals(part, weights, step)
+            want += np.bincount(np.concatenate(part), weights=np.concatenate(p), minlength=kinds)
             want_s += pairs
         ge, gs = of_kind.T @ (had - want) - ridge * emit[:, 1] * (np.arange(n) > 0), had_s - want_s - ridge * step
         seen_e += ge**2
@@ -217,21 +246,34 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, feat
         own = Crf(index)
         for batch in batches:
             rows = []
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text in batch.column(1).to_pylist():
                 chains = [c for c in sentences_of(text, own) if c.any()]
-                known = list(own.kinds)
-                rows.append((y, [[list(known[k]) for k in c.tolist()] for c in chains]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.list_(pa.list_(pa.int32()))))], ["toxic", "chains"])
-
-    found = sample.mapInArrow(cut, "toxic int, chains array<array<array<int>>>").toArrow()  # bounded by train_docs
+                tokens = np.concatenate(chains) if chains else np.empty(0, dtype=np.int64)
+                met, number = np.unique(tokens, return_inverse=True)
+                sets = list(own.kinds)
+                rows.append((number.astype(np.int32), [len(c) for c in chains], [sets[k] for k in met.tolist()]))
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(2), pa.array([r[0] for r in rows], pa.list_(pa.int32())),
+                pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.list_(pa.list_(pa.int32())))], ["toxic", "h", "tokens", "lengths", "sets"])
+
+    # A number a token of the sentences with a feature word, and the sets of features once a document.
+    told = sample.select("toxic", "text", F.xxhash64("text").alias("h"))
+    found = told.mapInArrow(cut, "toxic int, h long, tokens array<int>, lengths array<int>, sets array<array<int>>").toArrow()  # bounded by train_docs
+    found = found.sort_by([("h", "ascending"), ("toxic", "ascending")])
     toxic = found.column("toxic").to_numpy()
     kinds: dict[tuple, int] = {(): 0}
-    docs_ = [[np.array([kinds.setdefault(tuple(t), len(kinds)) for t in c]) for c in doc] for doc in found.column("chains").to_pylist()]
+    docs_ = []
+    for batch in found.select(["tokens", "lengths", "sets"]).to_batches(max_chunksize=1000):
+        for tokens, lengths, sets in zip(*batch.columns):
+            ours = np.array([kinds.setdefault(tuple(t), len(kinds)) for t in sets.as_py()], dtype=np.int32)
+            docs_.append(np.split(ours[tokens.values.to_numpy()], np.cumsum(lengths.values.to_numpy())[:-1]) if len(ours) else [])
     of_kind = np.zeros((len(kinds), len(index) + 1))
     of_kind[:, 0] = 1
     for t, k in kinds.items():
         of_kind[k, list(t)] = 1
-    weight = _fit_words([sorted({f for c in doc for k in {*c.tolist()} for f in np.flatnonzero(of_kind[k])}) for doc in docs_], toxic, len(index))
+    features_in = [np.flatnonzero(row) for row in of_kind]
+    features_in = [f[f > 0] for f in features_in]
+    weight = _fit_words([np.unique(np.concatenate([features_in[k] for k in np.unique(np.concatenate(doc))])) if doc else [] for doc in docs_], toxic, len(index))
     total = of_kind[:, 1:] @ weight[1:]
     bad = total >= 0.3 * np.quantile(total[total > 0], 0.95) if (total > 0).any() else np.zeros(len(kinds), dtype=bool)
     picked_ = [(c, (bad[c] & (y == 1)).astype(np.int64)) for y, doc in zip(toxic.tolist(), docs_) for c in doc][:sentences]
@@ -240,19 +282,19 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, feat
     emit, step = _fit_crf([c for c, _ in picked_], [t for _, t in picked_], of_kind)
     model = Crf(index, emit, step)
     model.weights, model.kinds = list(of_kind @ emit), kinds
-    raw = np.array([_aggregate(model.marginals(doc)) for doc in docs_])
+    raw = []
+    for start in range(0, len(docs_), 1000):
+        part = docs_[start : start + 1000]
+        each = iter(model.marginals([c for doc in part for c in doc]))
+        raw += [_aggregate([next(each) for _ in doc]) for doc in part]
+    raw = np.array(raw)
     fitted = Crf(index, emit, step, _fit_scale(raw, toxic))
     return fitted
 
 
 def sentences_of(text: str | None, model: Crf) -> list[np.ndarray]:
     """Kinds of the tokens of each sentence."""
-    out = []
-    for s in SENTENCE.findall((text or "").lower()):
-        words = TOKEN.findall(s)
-        for i in range(0, len(words), LONGEST):
-            out.append(np.array([model.kind(w) for w in words[i : i + LONGEST]], dtype=np.int64))
-    return out
+    return [np.array(model.chain(TOKEN.findall(s)), dtype=np.int64) for s in SENTENCE.findall((text or "").lower())]
 
 
 def _aggregate(parts: list[np.ndarray]) -> tuple[float, float]:
@@ -298,17 +340,12 @@ def score(docs: DataFrame, model: Crf, out: str = "toxicity", text: str = "text"
             owner, chains, places = [], [], []
             for k, t in enumerate(part):
                 low = t.lower()
-                exact = len(low) == len(t)
-                if not any(map(m.kind, TOKEN.findall(low))):
-                    continue
                 for s in SENTENCE.finditer(low):
-                    found = list(TOKEN.finditer(low, s.start(), s.end()))
-                    for i in range(0, len(found), LONGEST):
-                        x = np.array([m.kind(f.group()) for f in found[i : i + LONGEST]], dtype=np.int64)
-                        if x.any():
-                            owner.append(k)
-                            chains.append(x)
-                            places.append([(f.start(), f.end()) if exact else (_origin(t, f.start()), _origin(t, f.end())) for f in found[i : i + LONGEST]])
+                    x = m.chain(TOKEN.findall(s.group()))
+                    if any(x):
+                        owner.append(k)
+                        chains.append(np.array(x, dtype=np.int64))
+                        places.append((low, s.start(), s.end()))
             got: dict[int, list] = {}
             for k, p, at in zip(owner, m.marginals(chains), places):
                 got.setdefault(k, []).append((p, at))
@@ -317,21 +354,20 @@ def score(docs: DataFrame, model: Crf, out: str = "toxicity", text: str = "text"
                 if mine is None:
                     rows.append((base, 0, []))
                     continue
-                spans = [s for p, at in mine for s in _spans(p, at)]
+                spans = _offsets([s for p, at in mine if (p >= 0.5).any() for s in _spans(p, [f.span() for f in TOKEN.finditer(*at)])], part[k])
                 rows.append((_scaled(_aggregate([p for p, _ in mine]), m), sum(int((p >= 0.5).sum()) for p, _ in mine), spans))
         return pd.DataFrame(rows, columns=["score", "n_toxic", "spans"])
 
     return docs.withColumn(out, run(F.col(text)))
 
 
-def _origin(text: str, at: int) -> int:
-    """Offset in ``text`` of offset ``at`` of its lower-case form, where the two differ in length."""
-    size = 0
-    for i, c in enumerate(text):
-        if size >= at:
-            return i
-        size += len(c.lower())
-    return len(text)
+def _offsets(spans: list[tuple[int, int, float]], text: str) -> list[tuple[int, int, float]]:
+    """Spans of the lower-case form as spans of ``text``, where the two differ in length."""
+    if not spans or len(text.lower()) == len(text):
+        return spans
+    before = np.cumsum([0] + [len(c.lower()) for c in text])
+    at = lambda x: min(int(np.searchsorted(before, x)), len(text))
+    return [(at(a), at(b), p) for a, b, p in spans]
 
 
 def _spans(p: np.ndarray, at: list[tuple[int, int]]) -> list[tuple[int, int, float]]:

@@ -77,3 +77,31 @@ def test_fold_never_learnt_from(spark):
     ids = spark.range(200).withColumnRenamed("id", "doc_id")
     got = {r["doc_id"]: r["h"] for r in ids.select("doc_id", T.is_held_out().alias("h")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in range(200)}
+
+
+def test_long_texts_whose_lower_case_is_longer():
+    import time
+
+    text = "İ " + "word İx " * 100_000
+    start = time.time()
+    low = text.lower()
+    spans = [(m.start(), m.end(), 1.0) for m in T.TOKEN.finditer(low)][:: 97]
+    got = T._offsets(spans, text)
+    assert time.time() - start < 20 and len(low) > len(text)
+    for (a, b, _), (c, d, _) in zip(spans[:200], got[:200]):
+        assert text[c:d].lower().startswith(low[a:b][:1]) and text[c:d].strip() == text[c:d]
+    assert T._offsets([(0, 2, 0.9)], "plain") == [(0, 2, 0.9)]
+
+
+def test_one_chain_however_long(monkeypatch):
+    model = T.Crf({"=bad": 1}, np.array([[0.0, -2.0], [0.0, 1.5]]), np.array([[0.3, -0.4], [-0.2, 0.8]]))
+    words = (["bad"] + ["fine"] * 3) * 4_000
+    whole = T.sentences_of(" ".join(words), model)
+    assert len(whole) == 1 and len(whole[0]) == 16_000
+    want = model.marginals(whole)[0]
+    monkeypatch.setattr(T, "CELLS", 50)
+    short = T.sentences_of("bad fine. fine. bad bad fine fine", model)
+    got = model.marginals([*short, whole[0], *short])
+    assert np.allclose(got[len(short)], want)
+    alone = [model.marginals([c])[0] for c in short]
+    assert all(np.allclose(a, b) for a, b in zip(got[: len(short)], alone))
