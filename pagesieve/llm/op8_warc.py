@@ -212,4 +212,4 @@ def op8(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     folder = scratch(spark, "warc")
     archives = write_archives(pages, folder)
-    return payloads(stored(read_chunks(archives, folder), "chunks"))
+    return payloads(stored(read_chunks(archives, folder), "chunks", compression="zstd"))
