@@ -15,6 +15,7 @@ from ..operators import sitemaps as SM
 from ..plans.audit import page_facts, stored
 from .facts import HREFLANG_SQL, LINKS_SQL
 from .pages import VERDICT
+from ..functions.sql import register
 from .registry import keys, query, table
 from .seed import BASE_SQL, SEED_SQL, fetch_log, seeded_pages
 
@@ -536,6 +537,25 @@ def browser_hosts(spark, sf_dir):
     return rows.groupBy("url", "host").agg(F.count("*").alias("links"), F.min("page_id").alias("first_page"), F.countDistinct("raw_href").alias("spellings"))
 
 
+# --- SQL functions ---
+
+
+@query(
+    "sql_functions",
+    f"""WITH {LINKS_SQL}, c AS (SELECT s.p, s.host AS host, count(*) FILTER (kind = 'http') AS links, count(*) FILTER (kind = 'http' AND href LIKE '%/list?%') AS lists, count(*) FILTER (kind <> 'http') AS others FROM s JOIN lk ON lk.p = s.p GROUP BY s.p, s.host)
+        SELECT host, count(*) AS pages, sum(links)::BIGINT AS links, sum(lists)::BIGINT AS filtered, sum(others)::BIGINT AS others FROM c GROUP BY host""",
+)
+def sql_functions(spark, sf_dir):
+    """Plain SQL over the pages, with the library's functions."""
+    register(spark)
+    seeded_pages(spark, sf_dir).createOrReplaceTempView("seeded_pages_")
+    return spark.sql("""
+        SELECT url_host(url) AS host, count(DISTINCT page_id) AS pages, count_if(kind = 'http') AS links,
+          count_if(kind = 'http' AND classify_param(regexp_extract(normalize_url(href), '[?]([^=]*)=', 1)) = 'filter') AS filtered, count_if(kind <> 'http') AS others
+        FROM (SELECT page_id, url, inline(links) FROM (SELECT page_id, url, page_links(url, html) AS links FROM seeded_pages_))
+        GROUP BY url_host(url)""")
+
+
 # --- crawl ---
 
 

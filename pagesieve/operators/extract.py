@@ -409,6 +409,13 @@ def extract_facts(pages: DataFrame, *fields: str) -> DataFrame:
     return staged.select(*kept, *[F.col(f"{k}_").alias(k) for k in made])
 
 
+def stages(field: str) -> list[dict[str, Column]]:
+    """The columns that lead from ``url`` and ``html`` to a field, step by step."""
+    needed = {q for p in _FIELDS[field][1] for q in (p, *_PARTS[p][1])}
+    parts = lambda later: {p: _built(p, True) for p in _PARTS if p in needed and bool(_PARTS[p][1]) == later}
+    return [s for s in (_source(), parts(False), parts(True)) if s]
+
+
 def head_signals(pages: DataFrame) -> DataFrame:
     """Canonical, hreflang and robots of the head alone; text after ``</head>`` is never read, a page without it is read whole."""
     head = F.regexp_extract(F.col("html"), r"(?is)^(.*?</head)\s*>", 1)
