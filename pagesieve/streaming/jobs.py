@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import sys
 import uuid
 from collections.abc import Iterator
@@ -11,7 +10,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.regression import regressions
 from ..operators.snapshots import newest
@@ -21,7 +20,8 @@ from ..session import checkpoint_dir
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHAIN = "request_id string, final_url string, status int, hops int, chain string"
-STATE = "open string, waiting string"
+WAITING = "ts long, event_id long, kind string, url string, target string, status int"
+HOPS = "url string, target string, status int"
 
 
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -44,31 +44,55 @@ def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     return rows.where(F.col("batch_id") == F.lit(newest)).drop("batch_id")
 
 
-def _assemble(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Hold a request's events until the watermark has passed them, then read them in order of time."""
-    hops, waiting = (json.loads(x) for x in state.get) if state.exists else ([], [])
-    for b in () if state.hasTimedOut else batches:
-        waiting += [[int(e.ts.value // 1000), int(e.event_id), e.kind, e.url, e.target, int(e.status)] for e in b.itertuples()]
-    mark = state.getCurrentWatermarkMs()
-    waiting.sort(key=lambda e: e[:2])
-    ready = [e for e in waiting if e[0] // 1000 + 1 < mark]
-    waiting = waiting[len(ready):]
-    done = []
-    for _, _, kind, url, target, status in ready:
-        if kind == "redirect":
-            hops.append([url, target, status])
-        elif kind == "headers":
-            done.append((key[0], url, status, len(hops), " > ".join([h[0] for h in hops] + [url])))
-        elif kind in ("complete", "error"):
-            hops = []
-    if waiting or hops:
-        state.update((json.dumps(hops), json.dumps(waiting)))
-        if waiting:
-            state.setTimeoutTimestamp(max(mark + 1, waiting[0][0] // 1000 + 1))
-    elif state.exists:
-        state.remove()
-    if done:
-        yield pd.DataFrame(done, columns=["request_id", "final_url", "status", "hops", "chain"])
+class _Chains(StatefulProcessor):
+    """Holds a request's events until the watermark has passed them, then reads them in order of time.
+
+    State are two lists with typed rows: events not yet passed, and the open hops. A timer at
+    the earliest event that waits wakes the request when the watermark gets there.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", WAITING)
+        self.hops = handle.getListState("hops", HOPS)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = [(int(e.ts.value // 1000), int(e.event_id), e.kind, e.url, e.target, int(e.status)) for b in rows for e in b.itertuples()]
+        # Events that still wait are only added to; the list is read again when its turn has come.
+        self.waiting.appendList(new)
+        yield from self._read(key, timerValues, min(e[0] for e in new))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._read(key, timerValues, 0)
+
+    def _read(self, key, timerValues, earliest: int) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        if earliest // 1000 + 1 >= mark:
+            self.handle.registerTimer(max(mark + 1, earliest // 1000 + 1))
+            return
+        events = sorted(tuple(e) for e in self.waiting.get())
+        ready = [e for e in events if e[0] // 1000 + 1 < mark]
+        left = events[len(ready):]
+        hops, done = [tuple(h) for h in self.hops.get()], []
+        for _, _, kind, url, target, status in ready:
+            if kind == "redirect":
+                hops.append((url, target, status))
+            elif kind == "headers":
+                done.append((key[0], url, status, len(hops), " > ".join([h[0] for h in hops] + [url])))
+            elif kind in ("complete", "error"):
+                hops = []
+        for state, rows in ((self.waiting, left), (self.hops, hops)):
+            if rows:
+                state.put(rows)
+            else:
+                state.clear()
+        if left:
+            self.handle.registerTimer(max(mark + 1, left[0][0] // 1000 + 1))
+        if done:
+            yield pd.DataFrame(done, columns=["request_id", "final_url", "status", "hops", "chain"])
+
+    def close(self) -> None:
+        pass
 
 
 def redirect_chains(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -81,7 +105,13 @@ def redirect_chains(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     the request completes.
     """
     keyed = events.withWatermark("ts", delay).groupBy("request_id")
-    return keyed.applyInPandasWithState(_assemble, CHAIN, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return keyed.transformWithStateInPandas(_Chains(), CHAIN, "Append", "EventTime")
+
+
+def open_state(spark: SparkSession, checkpoint: str, variable: str) -> DataFrame:
+    """A state variable of a stateful job (``hops`` or ``waiting`` of :func:`redirect_chains`) as a table."""
+    reader = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", variable)
+    return reader.option("flattenCollectionTypes", "true").load().select("key.*", "list_element.*")
 
 
 def debounce_changes(events: DataFrame, key: str, gap: str = "800 milliseconds", delay: str = "10 minutes") -> DataFrame:
