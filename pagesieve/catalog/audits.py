@@ -11,6 +11,7 @@ from ..operators import extract as X
 from ..operators import pagetype as T
 from ..operators import robots as RB
 from ..operators import schema as S
+from ..operators import sketches as SK
 from ..plans.audit import page_facts, page_reports, stored
 from ..sources.fetch import response_meta
 from .facts import HREFLANG_SQL, LINKS_SQL
@@ -476,6 +477,25 @@ def resource_census(spark, sf_dir):
     return CN.resource_census(_resources(spark, sf_dir))
 
 
+@query(
+    "resource_sketches",
+    f"""WITH {SEED_SQL}, {TIMING_SQL} SELECT kind, count(*) AS requests, count(DISTINCT url || '#' || e % 997) AS urls, true AS urls_within, true AS median_within, true AS q95_within FROM rs GROUP BY kind""",
+)
+def resource_sketches(spark, sf_dir):
+    """Sketches of two rounds, stored and united, beside exact counts: whether they keep within their stated errors."""
+    rows = _resources(spark, sf_dir).select("kind", F.concat("url", F.lit("#"), (F.col("resource_id") % 997).cast("string")).alias("url"), "size_bytes", (F.col("resource_id") % 2).alias("round"))
+    rounds = stored(SK.sketch(rows, ["round", "kind"], F.col("url"), F.col("size_bytes")))
+    told = SK.estimates(SK.merge(rounds, ["kind"]))
+    exact = rows.groupBy("kind").agg(F.count("*").alias("requests"), F.countDistinct("url").alias("urls"))
+    share = lambda c: F.avg(c.cast("double"))
+    # A quantile is right where its share of smaller and of not larger sizes enclose it, give or take the error.
+    ranks = rows.join(told, "kind").groupBy("kind").agg(*[f(F.col("size_bytes"), F.col(q)) for q in ("q50", "q95") for f in (lambda a, b, q=q: share(a < b).alias(f"{q}_low"), lambda a, b, q=q: share(a <= b).alias(f"{q}_high"))])
+    both = told.drop("rows").join(exact, "kind").join(ranks, "kind")
+    within = lambda q, at: (F.col(f"{q}_low") <= at + 0.03) & (F.col(f"{q}_high") >= at - 0.03)
+    return both.select("kind", "requests", "urls", (F.abs(F.col("distinct") - F.col("urls")) <= F.greatest(F.col("urls") * SK.distinct_error(), F.lit(1.0))).alias("urls_within"),
+                       within("q50", 0.5).alias("median_within"), within("q95", 0.95).alias("q95_within"))
+
+
 @query(
     "policy_census",
     f"""WITH {SEED_SQL} SELECT policy, item, count(*) AS responses FROM (
