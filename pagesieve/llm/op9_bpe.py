@@ -19,7 +19,7 @@ from .registry import fresh, query, table
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Words remembered between texts, characters of new words merged at once, and the longest
 # word that is remembered: bounds on a task's memory that do not change the result.
-REMEMBER = 150_000
+REMEMBER = 600_000
 TOGETHER = 1 << 20
 LONGEST = 64
 NONE = -1
@@ -53,6 +53,7 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of = {i: bytes(value[c] for c in t) for t, i in vocab.items() if t not in self.special}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
+        self.digits = [str(i) for i in range(max(self.bytes_of) + 1)]
         self.special_at = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.word_at = regex.compile(PATTERN)
         self.known: dict[str, tuple[str, int, bytes]] = {}
@@ -145,10 +146,11 @@ class Bpe:
     def _learn(self, words: Iterable[str]) -> dict[str, tuple[str, int, bytes]]:
         """(ids joined by commas, number of ids, decoded bytes) of words not yet known."""
         out, batch, size = {}, [], 0
+        digits, decoded = self.digits.__getitem__, self.bytes_of.__getitem__
 
         def settle():
             for w, ids in zip(batch, self.merge([x.encode() for x in batch])):
-                out[w] = (",".join(map(str, ids)), len(ids), b"".join(map(self.bytes_of.__getitem__, ids)))
+                out[w] = (",".join(map(digits, ids)), len(ids), b"".join(map(decoded, ids)))
 
         for w in words:
             batch.append(w)
@@ -186,8 +188,8 @@ class Bpe:
         found = self._table({w for words in cut for w in words})
         out = []
         for words in cut:
-            rows = [found[w] for w in words]
-            out.append(([r[0] for r in rows], [r[1] for r in rows], b"".join([r[2] for r in rows]).decode("utf-8", "replace")))
+            ids, counts, raw = zip(*[found[w] for w in words]) if words else ((), (), ())
+            out.append((ids, counts, b"".join(raw).decode("utf-8", "replace")))
         return out
 
 
