@@ -70,7 +70,7 @@ def test_query_stores_the_bytes(spark, pages, tmp_path, monkeypatch):
     some = pages.where("page_id IS NOT NULL AND page_id <> 8")
     some.write.parquet(f"{tmp_path}/pages.parquet")
     kept, store = {}, W.stored
-    monkeypatch.setattr(W, "stored", lambda df, name: kept.setdefault(name, store(df, name)))
+    monkeypatch.setattr(W, "stored", lambda df, name, **options: kept.setdefault(name, store(df, name, **options)))
     assert W.op8(spark, str(tmp_path)).count() == some.count()
     whole = {}
     for r in sorted(kept["chunks"].collect(), key=lambda r: (r["page_id"], r["chunk"])):
