@@ -13,8 +13,11 @@ from ..operators import security as SEC
 from ..operators import snapshots as SN
 from ..plans.audit import page_reports, stored
 from ..session import checkpoint_dir
-from ..sources.io import AUDIT_COLUMNS, CRAWL_COLUMNS, issue_text, usable_pages, write_audit_csv, write_crawl_csv
-from .audits import AUDIT_SQL, NODES_SQL, _rows
+from ..operators.audit_table import duplicate_groups
+from ..sources.io import (
+    AUDIT_COLUMNS, CRAWL_COLUMNS, issue_text, read_profiles, read_snapshots, usable_pages, write_audit_csv, write_audit_json, write_crawl_csv, write_reports, write_snapshots,
+)
+from .audits import _LONG, AUDIT_SQL, NODES_SQL, _rows
 from .facts import LINKS_SQL
 from .media import _H
 from .pages import CHECKS, ISSUES_SQL, MESSAGE, MESSAGES_SQL, SCORES, TITLES, VERDICT, _evaluated
@@ -413,3 +416,52 @@ def crawl_csv(spark, sf_dir):
 @query("audit_csv", f"WITH {AUDIT_SQL} SELECT {_csv_sql(_AUDIT, _OWN)} FROM ar")
 def audit_csv(spark, sf_dir):
     return _written(spark, write_audit_csv, _rows(spark, sf_dir), AUDIT_COLUMNS, "audit-csv")
+
+
+def _folder(spark, label):
+    return f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@query(
+    "snapshot_files",
+    f"WITH {_HIST} SELECT url, id, created_at, price AS score FROM (SELECT *, {_RANK} AS rn FROM h) WHERE rn <= 50",
+)
+def snapshot_files(spark, sf_dir):
+    """The history as exported and imported again."""
+    path = _folder(spark, "snapshots")
+    write_snapshots(SN.newest(history(spark, sf_dir)), path)
+    back = read_snapshots(spark, path, lines=True)
+    return back.select("url", "id", F.to_timestamp("created_at").alias("created_at"), F.get_json_object("snapshot", "$.score").cast("double").alias("score"))
+
+
+@query("report_files", f"WITH {AUDIT_SQL} SELECT p AS page_id, score::INT AS score, verdict, n::INT AS issues FROM ar")
+def report_files(spark, sf_dir):
+    path = _folder(spark, "reports")
+    write_reports(_reports(spark, sf_dir), path)
+    return spark.read.parquet(path).select("page_id", "score", "verdict", F.size("issues").alias("issues"))
+
+
+@query(
+    "audit_json",
+    f"""WITH {AUDIT_SQL}, {_LONG} SELECT 'row' AS part, url AS key, n::BIGINT AS number FROM ar UNION ALL SELECT field, key, pages FROM dg""",
+)
+def audit_json(spark, sf_dir):
+    """Rows and duplicate groups as read back from their JSON lines."""
+    path, rows = _folder(spark, "audit-json"), stored(_rows(spark, sf_dir))
+    write_audit_json(rows, duplicate_groups(rows), path)
+    lines = spark.read.schema("url string, issue_count bigint").json(f"{path}/rows").select(F.lit("row").alias("part"), F.col("url").alias("key"), F.col("issue_count").alias("number"))
+    return lines.unionByName(spark.read.schema("field string, key string, pages bigint").json(f"{path}/duplicates").select(F.col("field").alias("part"), "key", F.col("pages").alias("number")))
+
+
+@query(
+    "profile_files",
+    f"""WITH {BASE_SQL} SELECT host AS hostname, 'Host of ' || count(*) || ' pages' AS label, min(p) % 2 = 0 AS enabled, CASE WHEN min(p) % 3 = 0 THEN 'Product' ELSE 'Article,Person' END AS types FROM b GROUP BY host""",
+)
+def profile_files(spark, sf_dir):
+    """A profile for every host of the pages, written as JSON lines and read back."""
+    path, first = _folder(spark, "profiles"), F.min("page_id")
+    hosts = keys(spark, sf_dir).groupBy(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("hostname")).agg(
+        F.concat(F.lit("Host of "), F.count("*"), F.lit(" pages")).alias("label"), (first % 2 == 0).alias("enabled"),
+        F.when(first % 3 == 0, F.array(F.lit("Product"))).otherwise(F.array(F.lit("Article"), F.lit("Person"))).alias("schema_types"))
+    hosts.write.json(path)
+    return read_profiles(spark, path).select("hostname", "label", "enabled", F.array_join("schema_types", ",").alias("types"))
