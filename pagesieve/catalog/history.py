@@ -13,14 +13,15 @@ from ..operators import security as SEC
 from ..operators import snapshots as SN
 from ..plans.audit import page_reports, stored
 from ..session import checkpoint_dir
-from ..operators.audit_table import duplicate_groups
+from ..operators.audit_table import annotate_duplicates, duplicate_groups
+from ..operators.pagetype import LABELS
 from ..sources.io import (
     AUDIT_COLUMNS, CRAWL_COLUMNS, issue_text, read_profiles, read_snapshots, usable_pages, write_audit_csv, write_audit_json, write_crawl_csv, write_reports, write_snapshots,
 )
 from .audits import _LONG, AUDIT_SQL, NODES_SQL, _rows
 from .facts import LINKS_SQL
 from .media import _H
-from .pages import CHECKS, ISSUES_SQL, MESSAGE, MESSAGES_SQL, SCORES, TITLES, VERDICT, _evaluated
+from .pages import CHECKS, ISSUES_SQL, MESSAGE, MESSAGES_SQL, SCORES, TITLES, TYPE_SQL, VERDICT, _evaluated
 from .registry import keys, query, table
 from .seed import BASE_SQL, SEED_SQL, fetch_log, seeded_pages
 
@@ -390,32 +391,32 @@ def _csv_sql(columns, own):
 _OWN = {"requested_url": "url", "url": "url", "status": "status::VARCHAR", "redirected": "redirected::VARCHAR", "title": "title", "indexability": "verdict",
         "score": "score::VARCHAR", "critical": "critical::VARCHAR", "issue_count": "n::VARCHAR", "available": "'true'", "description": "description", "h1": "h1",
         "canonical": "canonical", "robots": "robots", "warnings": "warning::VARCHAR"}
-# Columns of the files that other queries hold against SQL (audit_rows, duplicate_groups).
-_ELSEWHERE = ["page_type", "page_type_confidence", "page_traits", "h1_count", "link_count", "duplicate_title", "duplicate_description", "duplicate_h1"]
+_LABEL = "CASE primary_ " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LABELS.items()) + " END"
+_OWN |= {"page_type": _LABEL, "page_type_confidence": "CASE WHEN points >= 7 THEN 'high' WHEN points >= 4 THEN 'medium' ELSE 'low' END", "page_traits": "CASE WHEN paginated THEN 'Pagination' ELSE '' END",
+         "h1_count": "(1 + (p % 13 = 0)::INT)::VARCHAR", "link_count": "coalesce(http_links, 0)::VARCHAR",
+         **{f"duplicate_{f}": f"(p IN (SELECT p FROM dl JOIN dg USING (field, key) WHERE field = '{f}'))::VARCHAR" for f in ("title", "description", "h1")}}
+_FILE_SQL = f"""{AUDIT_SQL}{TYPE_SQL[len(SEED_SQL):]}{LINKS_SQL[len(SEED_SQL):]}, {_LONG.strip()},
+file AS (SELECT ar.*, primary_, points, paginated, http_links FROM ar JOIN (SELECT p, primary_, points, paginated FROM ptp) USING (p) LEFT JOIN (SELECT p, count(*) FILTER (kind = 'http') AS http_links FROM lk GROUP BY p) USING (p))"""
 
 
 def _written(spark, write, rows, columns, label):
-    """The file as read back from disk, without the columns checked elsewhere."""
+    """The file as read back from disk."""
     path = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
     write(rows, path)
     back = spark.read.csv(path, header=True, quote='"', escape='"', lineSep="\r\n", multiLine=True, nullValue=None, emptyValue="")
     if back.columns != [h for _, h in columns]:
         raise ValueError(f"columns of the file: {back.columns}")
-    return back.select(*[F.coalesce(F.col(f"`{h}`"), F.lit("")).alias(h) for f, h in columns if f not in _ELSEWHERE])
+    return back.select(*[F.coalesce(F.col(f"`{h}`"), F.lit("")).alias(h) for _, h in columns])
 
 
-_CRAWL = [(f, h) for f, h in CRAWL_COLUMNS if f not in _ELSEWHERE]
-_AUDIT = [(f, h) for f, h in AUDIT_COLUMNS if f not in _ELSEWHERE]
-
-
-@query("crawl_csv", f"WITH {AUDIT_SQL} SELECT {_csv_sql(_CRAWL, _OWN | {'depth': chr(39) + '0' + chr(39)})} FROM ar")
+@query("crawl_csv", f"WITH {_FILE_SQL} SELECT {_csv_sql(CRAWL_COLUMNS, _OWN | {'depth': chr(39) + '0' + chr(39)})} FROM file")
 def crawl_csv(spark, sf_dir):
-    return _written(spark, write_crawl_csv, _rows(spark, sf_dir), CRAWL_COLUMNS, "crawl-csv")
+    return _written(spark, write_crawl_csv, annotate_duplicates(stored(_rows(spark, sf_dir))), CRAWL_COLUMNS, "crawl-csv")
 
 
-@query("audit_csv", f"WITH {AUDIT_SQL} SELECT {_csv_sql(_AUDIT, _OWN)} FROM ar")
+@query("audit_csv", f"WITH {_FILE_SQL} SELECT {_csv_sql(AUDIT_COLUMNS, _OWN)} FROM file")
 def audit_csv(spark, sf_dir):
-    return _written(spark, write_audit_csv, _rows(spark, sf_dir), AUDIT_COLUMNS, "audit-csv")
+    return _written(spark, write_audit_csv, annotate_duplicates(stored(_rows(spark, sf_dir))), AUDIT_COLUMNS, "audit-csv")
 
 
 def _folder(spark, label):
