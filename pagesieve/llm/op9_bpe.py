@@ -19,7 +19,7 @@ from .registry import fresh, query, table
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Words remembered between texts, characters of new words merged at once, and the longest
 # word that is remembered: bounds on a task's memory that do not change the result.
-REMEMBER = 600_000
+REMEMBER = 150_000
 TOGETHER = 1 << 20
 LONGEST = 64
 NONE = -1
