@@ -56,7 +56,7 @@ def _requests(stream):
         WHERE a.kind = 'headers' GROUP BY a.r, a.event_id""",
 )
 def redirect_chains(spark, sf_dir):
-    rows = jobs.run_to_table(jobs.redirect_chains(_requests(event_stream(spark, sf_dir))))
+    rows = jobs.run_to_table(jobs.redirect_chains(_requests(event_stream(spark, sf_dir))), typed=True)
     return rows.select("request_id", "final_url", "hops")
 
 

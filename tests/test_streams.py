@@ -44,3 +44,19 @@ def test_same_with_one_file_a_trigger_and_all(spark, tmp_path):
         assert sorted((r["request_id"], r["kind"]) for r in waiting.collect()) == [("y", "headers"), ("z", "request")]
         assert dict(hops.dtypes) == {"request_id": "string", "url": "string", "target": "string", "status": "int"}
         assert waiting.where(F.col("ts").isNull()).count() == 0
+
+
+def test_runs_without_the_provider_set(spark, tmp_path):
+    kept = spark.conf.get(jobs.PROVIDER)
+    spark.conf.set(jobs.PROVIDER, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        other = spark.conf.get(jobs.PROVIDER)
+        for rows in FILES:
+            spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in"))
+        rows = jobs.run_to_table(jobs.redirect_chains(stream), typed=True).collect()
+        assert sorted((r["request_id"], r["final_url"], r["hops"]) for r in rows) == [("a", "a3", 2), ("a", "a9", 0), ("c", "c9", 0)]
+        # The session's own setting is back.
+        assert spark.conf.get(jobs.PROVIDER) == other
+    finally:
+        spark.conf.set(jobs.PROVIDER, kept)
