@@ -24,7 +24,8 @@ def header(name: str):
 def response_meta(fetch_log: DataFrame) -> DataFrame:
     """One row per fetched URL: status, redirects and the audited headers, names lower-cased.
 
-    A header that occurs under several spellings keeps all its values.
+    A header that occurs under several spellings keeps all its values. ``page_id`` is kept
+    where the log has it.
     """
     wanted = SEO_HEADERS + SECURITY_HEADERS
     entries = F.filter(F.map_entries("headers"), lambda e: F.lower(e["key"]).isin(wanted))
@@ -43,6 +44,7 @@ def response_meta(fetch_log: DataFrame) -> DataFrame:
         rows, {"norm_url": U.normalize_url(F.col("url"), browser=True), "final_": U.normalize_url(F.col("final_url"), browser=True)}
     )
     return rows.select(
+        *[c for c in ("page_id",) if c in fetch_log.columns],
         "norm_url",
         "status",
         "redirected",
