@@ -104,5 +104,5 @@ def stream_regressions(spark, sf_dir):
     stream = spark.readStream.schema(spark.read.parquet(f"{root}/in").schema).parquet(f"{root}/in")
     jobs.stream_regressions(stream, before, root).awaitTermination()
     changes = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/changes")
-    kept = jobs.stream_history(spark, root).select("url", "id", F.lit("kept").alias("direction"))
+    kept = jobs.stream_history(spark, root, fields=("created_at",)).select("url", "id", F.lit("kept").alias("direction"))
     return changes.select("url", "id", "direction").unionByName(kept)

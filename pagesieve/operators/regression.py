@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import per_session, settled
+from ..functions.core import let, per_session, settled
 
 # Performance metrics: key, smallest absolute change (fixed values); the smallest ratio is 20 %.
 METRICS = [
@@ -41,8 +41,12 @@ def _noindex(values: Column) -> Column:
 
 
 @per_session
-def _changes(fields: tuple[str, ...]) -> Column:
-    """All changes of a pair; ``fields`` are those both snapshots have."""
+def _changes(fields: tuple[str, ...]) -> dict[str, Column]:
+    """All changes of a pair in three arrays, NULL where nothing changed; ``fields`` are those both snapshots have.
+
+    They are not yet one array without NULLs: whatever a higher-order function takes as its
+    argument is interpreted, row by row, and not compiled.
+    """
     b, a = F.col("b"), F.col("a")
     text = lambda v: v.cast("string")
     joined = lambda v: F.array_join(v, ",")
@@ -155,15 +159,21 @@ def _changes(fields: tuple[str, ...]) -> Column:
     keys = F.array_sort(F.array_intersect(F.map_keys(b["headers"]), F.map_keys(a["headers"])))
 
     def header(k: Column) -> Column:
-        old, new = b["headers"][k], a["headers"][k]
-        s0, s1 = header_strength(old["state"]), header_strength(new["state"])
-        direction = F.when(F.coalesce(s0 == s1, F.lit(True)), "changed").when(s1 < s0, "regression").otherwise("improvement")
-        return entry(
-            ~old.eqNullSafe(new), F.concat(F.lit("security.header."), k), "Security", old["state"], new["state"], direction,
-            bad(direction == "regression", "warning"),
-        )
+        def judged(p: Column) -> Column:
+            old, new = p["old"], p["new"]
+            strengths = F.struct(header_strength(old["state"]).alias("s0"), header_strength(new["state"]).alias("s1"))
+            direction = let(
+                strengths,
+                lambda s: F.when(F.coalesce(s["s0"] == s["s1"], F.lit(True)), "changed").when(s["s1"] < s["s0"], "regression").otherwise("improvement"),
+            )
+            row = lambda d: entry(
+                F.lit(True), F.concat(F.lit("security.header."), k), "Security", old["state"], new["state"], d, bad(d == "regression", "warning")
+            )
+            return F.when(~old.eqNullSafe(new), let(direction, row))
+
+        return let(F.struct(b["headers"][k].alias("old"), a["headers"][k].alias("new")), judged)
 
-    return F.array_compact(F.concat(F.array(*rows), F.transform(keys, header), F.array(last)))
+    return {"fixed_": F.array(*rows), "headers_": F.transform(keys, header), "last_": F.array(last)}
 
 
 def regressions(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -176,7 +186,8 @@ def regressions(before: DataFrame, after: DataFrame) -> DataFrame:
     pair = before.select("url", F.col("snapshot").alias("b")).join(after.select("url", F.col("snapshot").alias("a")), "url")
     names = lambda df: df.schema["snapshot"].dataType.names
     both = tuple(f for f in names(before) if f in names(after))
-    return settled(pair, {"changes": _changes(both)}).select("url", F.explode("changes").alias("c")).select("url", "c.*")
+    found = settled(pair, _changes(both)).select("url", F.array_compact(F.concat("fixed_", "headers_", "last_")).alias("changes"))
+    return found.select("url", F.explode("changes").alias("c")).select("url", "c.*")
 
 
 def regression_summary(changes: DataFrame) -> DataFrame:
