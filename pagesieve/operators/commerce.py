@@ -113,11 +113,13 @@ def product_audit(df: DataFrame) -> DataFrame:
         (c("out_of_stock"), F.when(c("discontinued"), F.lit("discontinued")).otherwise(F.lit("out-of-stock"))),
     )
     none = F.array().cast("array<struct<id:string,severity:string>>")
-    return out.withColumns(
+    # Whoever explodes the issues would have them computed twice, for a filter on their number and for themselves.
+    return settled(
+        out,
         {
             "product_issues": F.when(c("applicable"), issues).otherwise(none),
             "product_hints": F.when(c("applicable"), hints).otherwise(str_array([])),
-        }
+        },
     )
 
 
