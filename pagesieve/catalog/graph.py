@@ -546,13 +546,16 @@ def browser_hosts(spark, sf_dir):
         SELECT host, count(*) AS pages, sum(links)::BIGINT AS links, sum(lists)::BIGINT AS filtered, sum(others)::BIGINT AS others FROM c GROUP BY host""",
 )
 def sql_functions(spark, sf_dir):
-    """Plain SQL over the pages, with the library's functions."""
+    """Plain SQL over the pages, with the library's functions.
+
+    Taken apart as a bare column, the links would be filtered by their number first, with a second reading of each page.
+    """
     register(spark)
     seeded_pages(spark, sf_dir).createOrReplaceTempView("seeded_pages_")
     return spark.sql("""
         SELECT url_host(url) AS host, count(DISTINCT page_id) AS pages, count_if(kind = 'http') AS links,
           count_if(kind = 'http' AND classify_param(regexp_extract(normalize_url(href), '[?]([^=]*)=', 1)) = 'filter') AS filtered, count_if(kind <> 'http') AS others
-        FROM (SELECT page_id, url, inline(links) FROM (SELECT page_id, url, page_links(url, html) AS links FROM seeded_pages_))
+        FROM (SELECT page_id, url, inline(coalesce(links, array())) FROM (SELECT page_id, url, page_links(url, html) AS links FROM seeded_pages_))
         GROUP BY url_host(url)""")
 
 

@@ -55,15 +55,19 @@ def register(spark: SparkSession) -> list[str]:
     for name, (parameters, kind, body) in scalar_functions().items():
         text = to_sql(body)
         if "base_url" in parameters:
-            # The base is split once, below the expression that uses its parts.
-            base = to_sql(U.split_url(F.col("base_url"), browser=True))
-            text = f"(SELECT {text} FROM (SELECT {base} AS base))"
+            text = _bound("base", to_sql(U.split_url(F.col("base_url"), browser=True)), text)
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {text}")
         names.append(name)
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION page_links(page_url STRING, source STRING) RETURNS ARRAY<{LINK}> RETURN ({_links_sql()})")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION page_links(page_url STRING, source STRING) RETURNS ARRAY<{LINK}> RETURN {_links_sql()}")
     return [*names, "page_links"]
 
 
+def _bound(name: str, value: str, body: str) -> str:
+    """``body`` with ``value`` worked out once under a name: the columns of a subquery in a function are
+    written out wherever they are used, in a lambda once per element."""
+    return f"get(transform(array({value}), `{name}` -> {body}), 0)"
+
+
 def _links_sql() -> str:
     from ..operators import extract as X
 
@@ -72,7 +76,8 @@ def _links_sql() -> str:
         target = F.when(kind == "http", U.absolute_url(link["raw_href"], F.col("base"), browser=True)).otherwise(link["raw_href"])
         return F.struct(link["idx"].alias("idx"), target.alias("href"), link["raw_href"].alias("raw_href"), link["label"].alias("label"), kind.alias("kind"))
 
-    rows = "SELECT page_url AS url, source AS html"
-    for stage in X.stages("links"):
-        rows = f"SELECT *, {', '.join(f'{to_sql(c)} AS `{k}`' for k, c in stage.items())} FROM ({rows})"
-    return f"SELECT {to_sql(F.transform('links', one))} FROM ({rows})"
+    body = to_sql(F.transform("links", one))
+    for stage in reversed(X.stages("links")):
+        for k, c in stage.items():
+            body = _bound(k, to_sql(c), body)
+    return _bound("url", "page_url", _bound("html", "source", body))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pagesieve.catalog import load
 from pagesieve.functions import html as H
+from pagesieve.functions import sql as Q
 from pagesieve.functions import urls as U
 from pagesieve.functions.core import NOT_SPACE, SPACE, clean
 from pagesieve.operators import extract as X
@@ -61,3 +62,11 @@ def test_listing_links_are_those_of_the_walk(spark):
 def test_product_issues_are_computed_once(spark):
     plan = load()[0]["product_audit"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.split("\n") if re.match(r"[\s:|+-]*Filter ", line) and "CASE" in line]
+
+
+def test_links_in_sql_read_a_page_once(spark):
+    plan = load()[0]["sql_functions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<!--(?:.*?-->") == 1
+    # The page's own URL is split once, not for each link.
+    assert not [line for line in plan.split("\n") if re.match(r"[\s:|+-]*Filter ", line) and "transform(" in line]
+    assert "(SELECT" not in Q._links_sql()
