@@ -88,15 +88,19 @@ def duplicate_titles(spark, sf_dir):
     return A.duplicate_groups(facts, ["title"]).select("field", "key", "pages")
 
 
+def _texts(spark, sf_dir):
+    """Audit rows with no more than duplicates are judged by."""
+    return A.text_fields(X.extract_facts(seeded_pages(spark, sf_dir), "title", "description", "headings"))
+
+
 @query("duplicate_groups", f"WITH {AUDIT_SQL}, {_LONG} SELECT field, key, pages FROM dg")
 def duplicate_groups(spark, sf_dir):
-    facts = X.extract_facts(seeded_pages(spark, sf_dir), "title", "description", "headings")
-    return A.duplicate_groups(A.text_fields(facts)).select("field", "key", "pages")
+    return A.duplicate_groups(_texts(spark, sf_dir)).select("field", "key", "pages")
 
 
 @query("duplicate_members", f"WITH {AUDIT_SQL}, {_LONG} SELECT p AS page_id, field, pages FROM dl JOIN dg USING (field, key)")
 def duplicate_members(spark, sf_dir):
-    return A.duplicate_members(stored(_rows(spark, sf_dir))).select("page_id", "field", "pages")
+    return A.duplicate_members(stored(_texts(spark, sf_dir))).select("page_id", "field", "pages")
 
 
 @query(
@@ -115,7 +119,8 @@ def document_duplicates(spark, sf_dir):
         p IN (SELECT p FROM m WHERE field = 'description') AS duplicate_description, p IN (SELECT p FROM m WHERE field = 'h1') AS duplicate_h1 FROM ar""",
 )
 def annotate_duplicates(spark, sf_dir):
-    return A.annotate_duplicates(stored(_rows(spark, sf_dir))).select("page_id", "duplicate_title", "duplicate_description", "duplicate_h1")
+    rows = _texts(spark, sf_dir)
+    return A.annotate_duplicates(stored(rows)).select("page_id", "duplicate_title", "duplicate_description", "duplicate_h1")
 
 
 @query(

@@ -103,7 +103,7 @@ def text_fields(facts: DataFrame) -> DataFrame:
     """What duplicates are judged by, as in :func:`audit_rows`, from ``title``, ``description`` and ``headings`` alone."""
     h1 = F.get(F.filter("headings", lambda h: h["level"] == 1), F.lit(0))["text"]
     texts = {"title": clean(F.col("title")), "description": clean(F.col("description")), "h1": F.coalesce(clean(h1), F.lit(""))}
-    return facts.select("page_id", "url", F.lit(True).alias("available"), *[v.alias(k) for k, v in texts.items()])
+    return facts.select("page_id", U.http_url(F.col("url")).alias("url"), F.lit(True).alias("available"), *[v.alias(k) for k, v in texts.items()])
 
 
 def duplicate_key(value: Column) -> Column:

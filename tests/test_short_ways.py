@@ -4,11 +4,12 @@ import re
 
 from pyspark.sql import functions as F
 
-from pagesieve.catalog import load
+from pagesieve.catalog import audits, load
 from pagesieve.functions import html as H
 from pagesieve.functions import sql as Q
 from pagesieve.functions import urls as U
 from pagesieve.functions.core import NOT_SPACE, SPACE, clean
+from pagesieve.operators import audit_table as A
 from pagesieve.operators import extract as X
 
 _SPACE = "[\\s ﻿  -     　]"
@@ -70,3 +71,22 @@ def test_links_in_sql_read_a_page_once(spark):
     # The page's own URL is split once, not for each link.
     assert not [line for line in plan.split("\n") if re.match(r"[\s:|+-]*Filter ", line) and "transform(" in line]
     assert "(SELECT" not in Q._links_sql()
+
+
+def test_duplicate_flags_need_no_reports(spark):
+    """Titles, descriptions and headings decide; issues, scores and page types are not worked out for them."""
+    rows = A.text_fields(spark.createDataFrame(
+        [(1, "https://E.com/a#x", "T", "", []), (2, "https://e.com/a", "u", "", []), (3, "https://e.com/b", " t ", "d", []), (4, "https://e.com/c", "v", "", [])],
+        "page_id long, url string, title string, description string, headings array<struct<level:int,text:string>>"))
+    flags = {r["page_id"]: r["duplicate_title"] for r in A.annotate_duplicates(rows).collect()}
+    # Pages 1 and 2 are one URL, as in the audit rows.
+    assert flags == {1: True, 2: True, 3: True, 4: False}
+    kept = []
+    audits_stored = audits.stored
+    audits.stored = lambda df: kept.append(df.columns) or audits_stored(df)
+    try:
+        for name in ("annotate_duplicates", "duplicate_members"):
+            load()[0][name](spark, "/root/testdata/sf0.001")
+    finally:
+        audits.stored = audits_stored
+    assert kept == [["page_id", "url", "available", "title", "description", "h1"]] * 2
