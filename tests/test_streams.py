@@ -1,5 +1,6 @@
 """Redirect chains from typed state: batch borders, timers, and the state read back as a table."""
 
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -60,3 +61,31 @@ def test_runs_without_the_provider_set(spark, tmp_path):
         assert spark.conf.get(jobs.PROVIDER) == other
     finally:
         spark.conf.set(jobs.PROVIDER, kept)
+
+
+def test_requests_share_keys_of_the_state(spark, tmp_path):
+    """Hundreds of requests in two buckets: few keys in the state, the chains of a plain reading."""
+    rng, kinds = random.Random(7), ["redirect", "redirect", "headers", "complete", "error", "request"]
+    rows = [at(i // 60, f"r{rng.randrange(300)}", i, rng.choice(kinds), f"u{i}", f"t{i}") for i in range(1800)]
+    for part in (rows[:700], rows[700:1300], rows[1300:]):
+        spark.createDataFrame(rng.sample(part, len(part)), EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = jobs.redirect_chains(stream, "15 minutes", buckets=2).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    mark, hops, want = rows[-1][2] - timedelta(minutes=15), {}, []
+    for request, number, ts, kind, url, _, status in rows:
+        if ts + timedelta(milliseconds=1) >= mark:
+            continue
+        mine = hops.setdefault(request, [])
+        if kind == "redirect":
+            mine.append(url)
+        elif kind == "headers":
+            want.append((request, url, status, len(mine), " > ".join([*mine, url])))
+        elif kind != "request":
+            mine.clear()
+    assert sorted(tuple(r) for r in spark.read.schema(jobs.CHAIN).parquet(str(tmp_path / "out")).collect()) == sorted(want)
+    state = str(tmp_path / "state")
+    assert sorted(r["url"] for r in jobs.open_state(spark, state, "hops").collect()) == sorted(u for mine in hops.values() for u in mine)
+    assert jobs.open_state(spark, state, "waiting").count() == sum(r[2] + timedelta(milliseconds=1) >= mark for r in rows)
+    keys = spark.read.format("statestore").option("path", state).option("stateVarName", "waiting").load().select("key").distinct()
+    assert keys.count() <= 2
