@@ -120,7 +120,7 @@ def document_duplicates(spark, sf_dir):
 )
 def annotate_duplicates(spark, sf_dir):
     rows = _texts(spark, sf_dir)
-    return A.annotate_duplicates(stored(rows)).select("page_id", "duplicate_title", "duplicate_description", "duplicate_h1")
+    return A.annotate_duplicates(stored(rows), "page_id").select("page_id", "duplicate_title", "duplicate_description", "duplicate_h1")
 
 
 @query(

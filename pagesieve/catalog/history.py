@@ -411,12 +411,12 @@ def _written(spark, write, rows, columns, label):
 
 @query("crawl_csv", f"WITH {_FILE_SQL} SELECT {_csv_sql(CRAWL_COLUMNS, _OWN | {'depth': chr(39) + '0' + chr(39)})} FROM file")
 def crawl_csv(spark, sf_dir):
-    return _written(spark, write_crawl_csv, annotate_duplicates(stored(_rows(spark, sf_dir))), CRAWL_COLUMNS, "crawl-csv")
+    return _written(spark, write_crawl_csv, annotate_duplicates(stored(_rows(spark, sf_dir)), "page_id"), CRAWL_COLUMNS, "crawl-csv")
 
 
 @query("audit_csv", f"WITH {_FILE_SQL} SELECT {_csv_sql(AUDIT_COLUMNS, _OWN)} FROM file")
 def audit_csv(spark, sf_dir):
-    return _written(spark, write_audit_csv, annotate_duplicates(stored(_rows(spark, sf_dir))), AUDIT_COLUMNS, "audit-csv")
+    return _written(spark, write_audit_csv, annotate_duplicates(stored(_rows(spark, sf_dir)), "page_id"), AUDIT_COLUMNS, "audit-csv")
 
 
 def _folder(spark, label):
