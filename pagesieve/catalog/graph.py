@@ -477,7 +477,7 @@ def canonical_chain(spark, sf_dir):
     )
     hops = F.transform("redirect_chain", lambda h: F.struct(U.normalize_url(h["from"]).alias("from"), U.normalize_url(h["to"]).alias("to")))
     pages = pages.withColumns({"redirects": hops, "final_url": F.col("fetched")}).drop("redirect_chain", "fetched")
-    c = canonicals.canonical_chain(canonicals.canonical_walk(pages))
+    c = canonicals.canonical_chain(canonicals.canonical_walk(pages, own=True))
     return c.select("page_id", F.size("path").alias("path_length"), "levels", "redirect_hops", "final_status", "stable", F.array_join("codes", ",").alias("codes"))
 
 

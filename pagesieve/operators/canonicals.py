@@ -27,6 +27,19 @@ def _until_repeated(steps: Column) -> Column:
     return F.when(whole, steps).otherwise(let(let(urls, again), cut))
 
 
+def _page_step(pages: DataFrame) -> Column:
+    """What a fetch of a page gives."""
+    have = set(pages.columns)
+    hops = F.coalesce("redirects", F.array().cast(_HOPS)) if "redirects" in have else F.array_repeat(
+        F.struct(F.lit("").alias("from"), F.lit("").alias("to")), F.coalesce("hops", F.lit(0)))
+    final = F.coalesce(F.nullif("final_url", F.lit("")), "norm_url") if "final_url" in have else F.col("norm_url")
+    return F.struct(
+        F.col("norm_url").alias("url"), F.coalesce("norm_canonical", F.lit("")).alias("next"), final.alias("final_url"), F.coalesce("canonical_count", F.lit(0)).alias("count"),
+        F.coalesce("status", F.lit(0)).alias("status"), F.coalesce("redirected", F.lit(False)).alias("redirected"), hops.cast(_HOPS).alias("redirects"),
+        F.coalesce("error", F.lit("")).alias("error"),
+    ).cast(_STEP)
+
+
 def _target_chains(pages: DataFrame, max_levels: int | None) -> DataFrame:
     """``url, steps, end, loop``: each target URL and what follows it, by path doubling.
 
@@ -36,15 +49,7 @@ def _target_chains(pages: DataFrame, max_levels: int | None) -> DataFrame:
     and ends before it. Chains that ended stay in the files they were written to; only the
     others are joined, with one row per URL on the right.
     """
-    have = set(pages.columns)
-    hops = F.coalesce("redirects", F.array().cast(_HOPS)) if "redirects" in have else F.array_repeat(
-        F.struct(F.lit("").alias("from"), F.lit("").alias("to")), F.coalesce("hops", F.lit(0)))
-    final = F.coalesce(F.nullif("final_url", F.lit("")), "norm_url") if "final_url" in have else F.col("norm_url")
-    step = F.struct(
-        F.col("norm_url").alias("url"), F.coalesce("norm_canonical", F.lit("")).alias("next"), final.alias("final_url"), F.coalesce("canonical_count", F.lit(0)).alias("count"),
-        F.coalesce("status", F.lit(0)).alias("status"), F.coalesce("redirected", F.lit(False)).alias("redirected"), hops.cast(_HOPS).alias("redirects"),
-        F.coalesce("error", F.lit("")).alias("error"),
-    ).cast(_STEP)
+    step = _page_step(pages)
     # Pages that share a URL count once: the one with the smallest id.
     targets = pages.groupBy(F.col("norm_url").alias("url")).agg(F.min_by(step, "page_id").alias("step"))
     again = F.col("step.next") == F.col("url")
@@ -78,7 +83,7 @@ def _unseen(url: Column) -> Column:
         F.array().cast(_HOPS).alias("redirects"), F.lit("network").alias("error")).cast(_STEP)
 
 
-def canonical_walk(pages: DataFrame, max_levels: int | None = MAX_LEVELS) -> DataFrame:
+def canonical_walk(pages: DataFrame, max_levels: int | None = MAX_LEVELS, own: bool = False) -> DataFrame:
     """Follow each page's canonical for up to ``max_levels`` targets, or to the end with None.
 
     ``pages``: ``page_id, norm_url, norm_canonical, canonical_count, status, redirected,
@@ -88,12 +93,18 @@ def canonical_walk(pages: DataFrame, max_levels: int | None = MAX_LEVELS) -> Dat
     missing or its own final URL; it is a loop where the canonical was visited before.
 
     Chains of targets are built once for all pages (see :func:`_target_chains`); a page takes
-    the chain of its canonical and is a loop where that leads back to the page.
+    the chain of its canonical and is a loop where that leads back to the page. Of pages that
+    share a URL the one with the smallest id stands for it; with ``own`` a page that names
+    itself as canonical is judged by its own response.
     """
     chains = _target_chains(pages, max_levels)
-    walks = pages.where("norm_canonical <> ''").select("page_id", "norm_url", F.col("norm_canonical").alias("initial"))
-    found = walks.join(chains, F.col("initial") == F.col("url"), "left").select(
-        "page_id", "norm_url", "initial", F.coalesce("steps", F.array(_unseen(F.col("initial")))).alias("steps"), "end", F.coalesce("loop", F.lit(False)).alias("loop"))
+    itself = (F.col("norm_canonical") == F.col("norm_url")) if own else F.lit(False)
+    walks = pages.where("norm_canonical <> ''").select(
+        "page_id", "norm_url", F.col("norm_canonical").alias("initial"), F.when(itself, F.array(_page_step(pages))).alias("self"))
+    # Such a page needs no chain: it ends there, or comes back to itself after a redirect.
+    again = F.exists("self", lambda s: ~_stops(s))
+    found = walks.join(chains, F.when(F.col("self").isNull(), F.col("initial")) == F.col("url"), "left").select(
+        "page_id", "norm_url", "initial", F.coalesce("self", "steps", F.array(_unseen(F.col("initial")))).alias("steps"), "end", F.coalesce(again, "loop", F.lit(False)).alias("loop"))
     home = F.array_position(F.transform("steps", lambda s: (s["next"] == F.col("norm_url")) & ~_stops(s)), True)
     levels = F.when(F.col("home") > 0, F.slice("steps", F.lit(1), F.col("home").cast("int"))).otherwise(F.col("steps"))
     loop = (F.col("home") > 0) | F.col("loop")
@@ -114,9 +125,8 @@ def canonical_chain(walk: DataFrame) -> DataFrame:
         (u != "") & (F.coalesce(F.try_element_at(path, F.lit(-1)), F.lit("")) != u), F.concat(path, F.array(u))
     ).otherwise(path)
     start = append(F.array("norm_url"), c("initial"))
-    path = F.aggregate(
-        "levels", start, lambda acc, l: F.when((l["next"] == "") | (l["next"] == l["final_url"]), acc).otherwise(append(acc, l["next"]))
-    )
+    # A target that failed has shown no canonical.
+    path = F.aggregate("levels", start, lambda acc, l: F.when(_stops(l), acc).otherwise(append(acc, l["next"])))
     out = walk.withColumns({"path": path, "last": F.try_element_at("levels", F.lit(-1)), "first": F.try_element_at("levels", F.lit(1))})
     loop = c("loop") | (F.size("path") > F.size(F.array_distinct("path")))
     chain = F.flatten(F.transform("levels", lambda l: l["redirects"]))

@@ -81,6 +81,23 @@ def test_walks_like_step_by_step(spark):
             assert got == walked(rows, limit), (rows, limit)
 
 
+def test_a_page_that_names_itself_keeps_its_response(spark):
+    """Two pages share u0 and u1; each names itself but for the first of u0."""
+    rows = nodes(spark, [("u0", "u2", 200, ""), ("u0", "u0", 404, ""), ("u1", "u1", 200, ""), ("u1", "u1", 200, "timeout"), ("u2", "u2", 200, ""), ("u3", "u0", 200, ""), ("u4", "", 200, ""), ("u5", "gone", 200, "")])
+    walk = canonicals.canonical_walk(rows, own=True)
+    got = {r["page_id"]: (r["path"], r["stable"], list(r["codes"])) for r in canonicals.canonical_chain(walk).collect()}
+    assert got == {
+        0: (["u0", "u2"], True, []), 1: (["u0"], False, ["http-4xx"]), 2: (["u1"], True, []), 3: (["u1"], False, ["network-error"]),
+        4: (["u2"], True, []), 5: (["u3", "u0", "u2"], True, ["multi-hop-canonical"]), 7: (["u5", "gone"], False, ["network-error"]),
+    }
+
+
+def test_a_failed_target_adds_nothing_to_the_path(spark):
+    got = chain(spark, [("a", "b", 200, ""), ("b", "a", 404, ""), ("c", "d", 200, ""), ("d", "e", 200, "timeout"), ("f", "g", 200, ""), ("g", "h", 0, "")])
+    assert [(got[i]["path"], got[i]["codes"], got[i]["loop"]) for i in (0, 2, 4)] == [
+        (["a", "b"], ["http-4xx"], False), (["c", "d"], ["network-error"], False), (["f", "g"], ["missing-status"], False)]
+
+
 def test_long_chains_and_loops_take_few_rounds(spark, monkeypatch):
     rounds = []
     monkeypatch.setattr(canonicals, "stored", lambda df, label, f=canonicals.stored: rounds.append(label) or f(df, label))
